@@ -69,7 +69,7 @@ def term_bucket(t: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _bucket_counts_to_unit(buckets: pd.Series, dims: pd.Series) -> pd.Series:
     # One vectorised scatter-add per Arrow batch, then l2 normalisation.
     n = len(buckets)
@@ -84,12 +84,12 @@ def _bucket_counts_to_unit(buckets: pd.Series, dims: pd.Series) -> pd.Series:
         np.add.at(mat, (rows, cols), 1.0)
     norms = np.linalg.norm(mat, axis=1, keepdims=True)
     np.divide(mat, norms, out=mat, where=norms > 0)
-    return pd.Series(list(mat.astype(np.float32)))
+    return pd.Series(list(mat))
 
 
 def hashed_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """Default lexical embedder: term counts hashed into ``dim`` buckets,
-    unit length. Deterministic and model-free; a stand-in for a neural model,
+    unit length, in double precision. Deterministic and model-free; a stand-in for a neural model,
     which plugs in through ``embed(..., embedder=fn)``."""
     buckets = F.transform(tx.standard_terms(text), lambda t: term_bucket(t, dim).cast("int"))
     return _bucket_counts_to_unit(buckets, F.lit(dim))

@@ -164,8 +164,9 @@ def _analysed_sql() -> str:
     return "\n  UNION ALL ".join(parts)
 
 
-MULTIFIELD_SQL = f"""
-WITH {CLEAN_INV_SQL},
+def multifield_ctes() -> str:
+    """CTEs up to ``kwr``: every (query, doc) with best-field score and rank."""
+    return f"""{CLEAN_INV_SQL},
 a AS (
   {_analysed_sql()}
 ),
@@ -222,12 +223,15 @@ bf AS (
   SELECT b.query_id, b.id, round(b.s9, 4) AS score, max(b.field) AS best_field
   FROM b JOIN best USING (query_id, id, s9) GROUP BY b.query_id, b.id, b.s9
 ),
-r AS (
+kwr AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank,
          count(*) OVER (PARTITION BY query_id) AS total_hits
   FROM bf
-)
-SELECT query_id, rank, id, score, best_field, total_hits FROM r WHERE rank <= 10
+)"""
+
+
+MULTIFIELD_SQL = f"""WITH {multifield_ctes()}
+SELECT query_id, rank, id, score, best_field, total_hits FROM kwr WHERE rank <= 10
 """
 
 
@@ -298,3 +302,103 @@ def vector_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     q = v.withColumnRenamed("id", "query_id")
     return vx.recall_at_k(vx.knn_ivf(q, v, k=10, n_cells=16, nprobe=4), vx.knn(q, v, k=10))
+
+
+# --------------------------------------------------------------------------- H1-H5, P5-P7, V1, V2
+
+from altfinder.operators import hybrid as hy  # noqa: E402
+
+HYBRID_TOP_K = 20
+HYBRID_DIM = 128
+
+
+def hybrid_candidates(spark: SparkSession, sf_dir: str, top_k: int = HYBRID_TOP_K,
+                      dim: int = HYBRID_DIM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates with payload, sources, clean catalogue) for every item of
+    the catalogue as a source: keyword leg (2 x top_k), vector leg (2 x top_k)
+    over the lexical embedding of the combined text, merged by id."""
+    raw = inventory(spark, sf_dir)
+    clean = cl.transform(raw)
+    sources = hy.source_query_text(hy.source_lookup(raw, raw.select("item_number")))
+    sources = sources.where("found").withColumnRenamed("id", "query_id")
+    index = kw.KeywordIndex.build(clean, TEXT_FIELDS, edge=True)
+    kw_hits = kw.search(index, sources.select("query_id", F.col("query_text").alias("text")), TEXT_FIELDS,
+                        k=2 * top_k, edge=True, fuzzy=True, prefix_length=2, max_expansions=50,
+                        with_total=False)
+    vdocs = vx.embed(raw.withColumn("text_combined", tx.combine_fields(TEXT_FIELDS)), dim=dim)
+    vdocs = vx.valid_vectors(vdocs.where(F.col("reject_reason").isNull()).drop("reject_reason"), dim)
+    qv = vx.embed(sources.select("query_id", F.col("query_text").alias("text_combined")), dim=dim)
+    qv = vx.check_dimension(qv.drop("reject_reason"), dim)
+    with_vec = qv.where(F.col("reject_reason").isNull()).select("query_id", "embedding")
+    no_vec = qv.where(F.col("reject_reason").isNotNull()).select("query_id")
+    vec_hits = vx.knn(with_vec, vdocs, k=2 * top_k)
+    merged = hy.merge_legs(kw_hits.join(with_vec.select("query_id"), "query_id", "left_semi"), vec_hits) \
+        .withColumn("warning", F.lit(None).cast("string"))
+    cands = merged.unionByName(hy.keyword_only(kw_hits, no_vec, top_k))
+    return hy.attach_payload(cands, clean, raw), sources, clean
+
+
+def _hybrid_vec_ctes(dim: int) -> str:
+    bucket = f"(('0x' || substr(md5(term), 1, 8))::BIGINT) % {dim}"
+    return f"""vdoc AS (SELECT id, {combine_sql(TEXT_FIELDS)} AS t FROM inv),
+vterm AS (SELECT id, unnest({std_terms_sql('t')}) AS term FROM vdoc WHERE t <> ''),
+vb AS (SELECT id, {bucket} AS b, count(*) AS c FROM vterm GROUP BY ALL),
+vn AS (SELECT id, sqrt(sum(c * c)) AS nrm FROM vb GROUP BY id),
+qterm AS (SELECT query_id, unnest({std_terms_sql('text')}) AS term FROM qv),
+qb AS (SELECT query_id, {bucket} AS b, count(*) AS c FROM qterm GROUP BY ALL),
+qn AS (SELECT query_id, sqrt(sum(c * c)) AS nrm FROM qb GROUP BY query_id),
+dot AS (SELECT qb.query_id, vb.id, sum(qb.c * vb.c) AS d FROM qb JOIN vb USING (b) GROUP BY ALL),
+vs AS (
+  SELECT qn.query_id, vn.id, round(coalesce(dot.d, 0) / (qn.nrm * vn.nrm), 6) AS cosine
+  FROM qn CROSS JOIN vn LEFT JOIN dot ON dot.query_id = qn.query_id AND dot.id = vn.id
+),
+vr AS (SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM vs)"""
+
+
+def hybrid_ctes(top_k: int = HYBRID_TOP_K, dim: int = HYBRID_DIM) -> str:
+    k2 = 2 * top_k
+    payload_k = ", ".join(f"d.{f} AS _k_{f}" for f in TEXT_FIELDS)
+    payload_v = ", ".join(f"i.{f} AS _v_{f}" for f in TEXT_FIELDS)
+    pick = ", ".join(f"CASE WHEN in_keyword THEN _k_{f} ELSE _v_{f} END AS {f}" for f in TEXT_FIELDS)
+    return f"""{multifield_ctes()},
+{_hybrid_vec_ctes(dim)},
+vh AS (SELECT query_id, id, rank AS vec_rank, (1 + cosine) / 2 AS vec_score FROM vr WHERE rank <= {k2}),
+kh AS (SELECT query_id, id, rank AS kw_rank, score AS kw_score FROM kwr WHERE rank <= {k2}),
+withvec AS (SELECT DISTINCT query_id FROM qn),
+m AS (
+  SELECT coalesce(kh.query_id, vh.query_id) AS query_id, coalesce(kh.id, vh.id) AS id,
+         kw_rank, kw_score, vec_rank, vec_score
+  FROM (SELECT * FROM kh WHERE query_id IN (SELECT query_id FROM withvec)) kh
+  FULL OUTER JOIN vh ON kh.query_id = vh.query_id AND kh.id = vh.id
+),
+mm AS (
+  SELECT query_id, id, coalesce(kw_score, 0.0) AS keyword_score, coalesce(vec_score, 0.0) AS vector_score,
+         kw_rank IS NOT NULL AS in_keyword, vec_rank IS NOT NULL AS in_vector,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY kw_rank IS NULL, kw_rank, vec_rank) AS INTEGER)
+           AS position
+  FROM m
+  UNION ALL
+  SELECT query_id, id, kw_score, 0.0, true, false, CAST(kw_rank AS INTEGER)
+  FROM kh WHERE query_id NOT IN (SELECT query_id FROM withvec) AND kw_rank <= {top_k}
+),
+cand AS (
+  SELECT mm.*, {pick} FROM (
+    SELECT mm.*, {payload_k}, {payload_v}
+    FROM mm LEFT JOIN docs d ON d.id = mm.id LEFT JOIN inv i ON i.id = mm.id
+  ) mm
+)"""
+
+
+HYBRID_SQL = f"""WITH {hybrid_ctes()}
+SELECT query_id, id, position, keyword_score, vector_score, in_keyword, in_vector,
+       {truthy_sql(TEXT_FIELDS)} AS text_combined
+FROM cand
+"""
+
+
+@register("hybrid_candidates_inventory", HYBRID_SQL)
+def hybrid_candidates_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged keyword + vector candidates (2 x 20 each) for every item."""
+    cands, _, _ = hybrid_candidates(spark, sf_dir)
+    return cands.select("query_id", "id", F.col("position").cast("int").alias("position"), "keyword_score",
+                        "vector_score", "in_keyword", "in_vector", "text_combined")
