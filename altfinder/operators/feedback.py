@@ -46,7 +46,7 @@ def _running(j: DataFrame, chunk_seconds: int) -> DataFrame:
     """Running like / dislike counts per (source_item, pos) in (ts, event_id)
     order, by the two-phase scan described in the module docstring."""
     key = ["source_item", "pos"]
-    j = j.withColumn("chunk", F.floor(F.unix_micros("ts") / F.lit(chunk_seconds * 1_000_000)))
+    j = j.withColumn("chunk", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(chunk_seconds * 1_000_000)))
     tot = j.groupBy(*key, "chunk").agg(F.sum("is_like").alias("_cl"), F.sum("is_dislike").alias("_cd"))
     wk = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*key, "chunk", F.coalesce(F.sum("_cl").over(wk), F.lit(0)).alias("off_l"),

@@ -402,3 +402,307 @@ def hybrid_candidates_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands, _, _ = hybrid_candidates(spark, sf_dir)
     return cands.select("query_id", "id", F.col("position").cast("int").alias("position"), "keyword_score",
                         "vector_score", "in_keyword", "in_vector", "text_combined")
+
+
+# --------------------------------------------------------------------------- C1-C8 over the event-derived table
+
+from altfinder.operators import crossref as xr  # noqa: E402
+from altfinder.operators import feedback as fbk  # noqa: E402
+from altfinder.sources import derived as dv  # noqa: E402
+
+RUN_TS = "2025-01-01 00:00:00"
+
+
+def parsed_entries_sql(src: str, bad_score: int) -> str:
+    """SQL for M6 over (item_number, pos, r) rows of ``src``."""
+    st = lambda e: strip_sql(e)
+    return f"""(
+  SELECT item_number, pos, r, {st('parts[1]')} AS item,
+         coalesce(CASE WHEN regexp_matches({st('parts[2]')}, '^[+-]?[0-9]+$')
+                       THEN TRY_CAST({st('parts[2]')} AS INTEGER) END, {bad_score}) AS score,
+         CASE WHEN len(parts) >= 3 AND parts[3] <> ''
+              THEN list_filter(list_transform(string_split(parts[3], ','), lambda a: {st('a')}), lambda a: a <> '')
+              ELSE []::VARCHAR[] END AS attrs
+  FROM (SELECT *, string_split(r, '|') AS parts FROM {src}) WHERE r IS NOT NULL AND r <> '' AND len(parts) >= 2
+)"""
+
+
+BEST_ALT_SQL = f"""WITH {dv.CROSSREF_ENTRIES_SQL},
+pe AS {parsed_entries_sql('xr', 0)},
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_number ORDER BY score DESC, pos) AS rn
+  FROM pe WHERE item <> item_number
+)
+SELECT item_number, item AS alt_item_number, score AS match_score,
+       array_to_string(attrs, ',') AS varying_attributes
+FROM r WHERE rn = 1
+"""
+
+
+@register("crossref_best_alternative", BEST_ALT_SQL)
+def crossref_best_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 (+ M6 with bad score 0): best non-self alternative per source."""
+    b = xr.best_alternative(dv.crossref_from_events(spark, sf_dir))
+    return b.withColumn("varying_attributes", F.array_join("varying_attributes", ","))
+
+
+LOOKUP_SQL = f"""WITH {dv.CROSSREF_ENTRIES_SQL},
+req AS (SELECT DISTINCT source_item AS item_number FROM ({dv.FEEDBACK_SQL})),
+pe AS {parsed_entries_sql('xr', 50)},
+r AS (
+  SELECT pe.*, CAST(row_number() OVER (PARTITION BY item_number ORDER BY score DESC, pos) AS INTEGER) AS rank
+  FROM pe JOIN req USING (item_number) WHERE item <> item_number
+)
+SELECT item_number, rank, item AS matched_item, score AS match_score,
+       array_to_string(attrs, ',') AS varying_attributes, 0 AS likes, 0 AS dislikes
+FROM r WHERE rank <= 3
+"""
+
+
+@register("crossref_lookup_top3", LOOKUP_SQL)
+def crossref_lookup_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 + C5: stored matches of every source that received feedback, sorted
+    by score (stable), source removed, cut to 3 (no enrichment: the event
+    table's items are not catalogue items)."""
+    req = dv.match_feedback(spark, sf_dir).select(F.col("source_item").alias("item_number")).distinct()
+    out = xr.cross_references_for(dv.crossref_from_events(spark, sf_dir), req, None, top_k=3, enrich=False)
+    return out.select("item_number", F.col("rank").cast("int").alias("rank"), "matched_item", "match_score",
+                      F.array_join("varying_attributes", ",").alias("varying_attributes"), "likes", "dislikes")
+
+
+def _deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletion requests derived from click events of high value."""
+    ev = read_table(spark, sf_dir, "events").where((F.col("event_type") == "click") & (F.col("value") > 45))
+    return ev.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("source_item"),
+                     F.concat(F.lit("M"), (F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int") % 5)
+                              .cast("string")).alias("matched_item")).distinct()
+
+
+DELETIONS_SQL = """SELECT DISTINCT concat('U', CAST(user_id AS VARCHAR)) AS source_item,
+       concat('M', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 5 AS VARCHAR)) AS matched_item
+FROM events WHERE event_type = 'click' AND value > 45"""
+
+DELETE_TABLE_SQL = f"""WITH {dv.CROSSREF_ENTRIES_SQL},
+del AS ({DELETIONS_SQL}),
+kept AS (
+  SELECT xr.* FROM xr
+  WHERE NOT EXISTS (
+    SELECT 1 FROM del WHERE del.source_item = xr.item_number AND instr(xr.r, '|') > 0
+      AND split_part(xr.r, '|', 1) = del.matched_item)
+)
+SELECT item_number, CAST(row_number() OVER (PARTITION BY item_number ORDER BY pos) - 1 AS INTEGER) AS pos, r
+FROM kept
+"""
+
+
+@register("crossref_after_delete", DELETE_TABLE_SQL)
+def crossref_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after removing every entry named by a deletion request."""
+    new, _ = xr.delete_matches(dv.crossref_from_events(spark, sf_dir), _deletions(spark, sf_dir), RUN_TS)
+    return new.select("item_number", F.posexplode("matches").alias("pos", "m")).select(
+        "item_number", F.col("pos").cast("int").alias("pos"), F.col("m.r").alias("r"))
+
+
+DELETE_STATUS_SQL = f"""WITH {dv.CROSSREF_ENTRIES_SQL},
+del AS ({DELETIONS_SQL}),
+hit AS (
+  SELECT DISTINCT del.source_item, del.matched_item FROM del JOIN xr
+    ON xr.item_number = del.source_item AND instr(xr.r, '|') > 0 AND split_part(xr.r, '|', 1) = del.matched_item
+),
+sz AS (SELECT item_number AS source_item, count(*) AS n FROM xr GROUP BY 1),
+rem AS (
+  SELECT sz.source_item, sz.n - coalesce(x.removed, 0) AS remaining FROM sz LEFT JOIN (
+    SELECT xr.item_number AS source_item, count(*) AS removed FROM xr JOIN del
+      ON del.source_item = xr.item_number AND instr(xr.r, '|') > 0 AND split_part(xr.r, '|', 1) = del.matched_item
+    GROUP BY 1) x USING (source_item)
+)
+SELECT del.source_item, del.matched_item,
+       CASE WHEN sz.n IS NULL THEN 'no_crossref' WHEN hit.source_item IS NULL THEN 'not_found' ELSE 'removed' END
+         AS status,
+       CAST(CASE WHEN sz.n IS NULL THEN 0 ELSE rem.remaining END AS INTEGER) AS remaining_matches
+FROM del LEFT JOIN hit USING (source_item, matched_item) LEFT JOIN sz USING (source_item)
+LEFT JOIN rem USING (source_item)
+"""
+
+
+@register("crossref_delete_status", DELETE_STATUS_SQL)
+def crossref_delete_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per deletion request: removed / not_found / no_crossref and the
+    number of entries left."""
+    _, status = xr.delete_matches(dv.crossref_from_events(spark, sf_dir), _deletions(spark, sf_dir), RUN_TS)
+    return status.select("source_item", "matched_item", "status",
+                         F.col("remaining_matches").cast("int").alias("remaining_matches"))
+
+
+def _bulk_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk cross-reference entries from view events, in event order."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    k = F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int")
+    r = F.concat(F.lit("M"), (k % 5).cast("string"), F.lit("|"), (F.lit(40) + k % 61).cast("string"), F.lit("|view"))
+    return ev.select(F.col("event_id").alias("ordinal"),
+                     F.concat(F.when(F.col("value") > 25, F.lit("U")).otherwise(F.lit("N")),
+                              F.col("user_id").cast("string")).alias("item_number"),
+                     F.array(F.struct(r.alias("r"), F.lit(None).cast("int").alias("l"),
+                                      F.lit(None).cast("int").alias("d"))).alias("matches"))
+
+
+BULK_SQL_CTE = """bulk AS (
+  SELECT event_id AS ordinal,
+         concat(CASE WHEN value > 25 THEN 'U' ELSE 'N' END, CAST(user_id AS VARCHAR)) AS item_number,
+         concat('M', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 5 AS VARCHAR), '|',
+                CAST(40 + CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 61 AS VARCHAR), '|view') AS r
+  FROM events WHERE event_type = 'view'
+)"""
+
+BULK_COUNTS_SQL = f"""WITH {dv.CROSSREF_ENTRIES_SQL}, {BULK_SQL_CTE},
+stored AS (SELECT DISTINCT item_number FROM xr),
+f AS (
+  SELECT CASE WHEN item_number IN (SELECT item_number FROM stored)
+                OR row_number() OVER (PARTITION BY item_number ORDER BY ordinal) > 1
+              THEN 'updated' ELSE 'saved' END AS outcome
+  FROM bulk
+)
+SELECT outcome, count(*) AS n FROM f GROUP BY outcome
+"""
+
+
+@register("crossref_bulk_upsert_counts", BULK_COUNTS_SQL)
+def crossref_bulk_upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved / updated counts of a bulk save (repeats count as updates)."""
+    _, counts = xr.bulk_upsert(dv.crossref_from_events(spark, sf_dir), _bulk_entries(spark, sf_dir), RUN_TS)
+    return counts
+
+
+BULK_TABLE_SQL = f"""WITH {dv.CROSSREF_ENTRIES_SQL}, {BULK_SQL_CTE},
+last AS (
+  SELECT item_number, r FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_number ORDER BY ordinal DESC) AS rn FROM bulk) WHERE rn = 1
+),
+merged AS (
+  SELECT item_number, 0 AS pos, r, true AS changed FROM last
+  UNION ALL
+  SELECT item_number, pos, r, false AS changed FROM xr WHERE item_number NOT IN (SELECT item_number FROM last)
+)
+SELECT item_number, CAST(pos AS INTEGER) AS pos, r, changed FROM merged
+"""
+
+
+@register("crossref_bulk_upsert_table", BULK_TABLE_SQL)
+def crossref_bulk_upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 + C2 + C8: the table after the bulk save; ``changed`` marks rows
+    whose updated_at was set by this run (created_at is kept)."""
+    new, _ = xr.bulk_upsert(dv.crossref_from_events(spark, sf_dir), _bulk_entries(spark, sf_dir), RUN_TS)
+    return new.select("item_number", F.posexplode("matches").alias("pos", "m"),
+                      (F.col("updated_at") == F.lit(RUN_TS).cast("timestamp")).alias("changed")).select(
+        "item_number", F.col("pos").cast("int").alias("pos"), F.col("m.r").alias("r"), "changed")
+
+
+# --------------------------------------------------------------------------- F1-F4
+
+FOLD_CTES = f"""{dv.CROSSREF_ENTRIES_SQL},
+fb AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS o FROM ({dv.FEEDBACK_SQL})),
+ent AS (
+  SELECT item_number AS source_item, pos, r,
+         CASE WHEN instr(r, '|') > 0 THEN split_part(r, '|', 1) END AS matched_item
+  FROM xr
+),
+j AS (
+  SELECT fb.event_id, fb.o, fb.source_item, fb.matched_item, ent.pos, ent.r,
+         CASE WHEN feedback = 'like' THEN 1 ELSE 0 END AS is_like,
+         CASE WHEN feedback = 'dislike' THEN 1 ELSE 0 END AS is_dislike
+  FROM fb JOIN ent USING (source_item, matched_item)
+),
+rj AS (
+  SELECT *, sum(is_like) OVER w AS cum_l, sum(is_dislike) OVER w AS cum_d FROM j
+  WINDOW w AS (PARTITION BY source_item, pos ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+rm AS (SELECT source_item, pos, min(o) AS rm_o FROM rj WHERE cum_d > 5 GROUP BY source_item, pos),
+ja AS (
+  SELECT rj.*, (rm.rm_o IS NULL OR rj.o <= rm.rm_o) AS applied, coalesce(rj.o = rm.rm_o, false) AS removed_here
+  FROM rj LEFT JOIN rm USING (source_item, pos)
+),
+sizes AS (SELECT item_number AS source_item, count(*) AS size FROM xr GROUP BY 1),
+emptied AS (
+  SELECT rm.source_item, max(rm.rm_o) AS empty_o FROM rm JOIN sizes USING (source_item)
+  GROUP BY rm.source_item, sizes.size HAVING count(*) = sizes.size
+),
+st AS (
+  SELECT source_item, pos, max(cum_l) AS l, max(cum_d) AS d, bool_or(removed_here) AS removed
+  FROM ja WHERE applied GROUP BY source_item, pos
+)"""
+
+FOLD_REPLIES_SQL = f"""WITH {FOLD_CTES},
+pe AS (
+  SELECT event_id, arg_max(cum_l, pos) AS cl, arg_max(cum_d, pos) AS cd, bool_or(removed_here) AS removed
+  FROM ja WHERE applied GROUP BY event_id
+),
+x AS (
+  SELECT fb.event_id, fb.source_item, fb.matched_item,
+         CASE WHEN coalesce(sizes.size, 0) = 0 OR (emptied.empty_o IS NOT NULL AND fb.o > emptied.empty_o)
+              THEN 'no_crossref' WHEN pe.event_id IS NULL THEN 'not_found' ELSE 'updated' END AS status,
+         pe.cl, pe.cd, pe.removed
+  FROM fb LEFT JOIN sizes USING (source_item) LEFT JOIN emptied USING (source_item) LEFT JOIN pe USING (event_id)
+)
+SELECT event_id, source_item, matched_item, status,
+       CAST(CASE WHEN status = 'updated' THEN cl ELSE 0 END AS INTEGER) AS likes,
+       CAST(CASE WHEN status = 'updated' THEN cd ELSE 0 END AS INTEGER) AS dislikes,
+       CASE WHEN status = 'updated' THEN removed ELSE false END AS removed
+FROM x
+"""
+
+
+@register("feedback_replies", FOLD_REPLIES_SQL)
+def feedback_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 + F2 + F4: one reply per like / dislike event, folded in time order
+    (removal above 5 dislikes; emptied lists answer no_crossref)."""
+    _, replies = fbk.fold(dv.crossref_from_events(spark, sf_dir), dv.match_feedback(spark, sf_dir))
+    return replies
+
+
+FOLD_TABLE_SQL = f"""WITH {FOLD_CTES},
+nt AS (
+  SELECT xr.item_number, xr.pos AS old_pos, xr.r, st.l, st.d
+  FROM xr LEFT JOIN st ON st.source_item = xr.item_number AND st.pos = xr.pos
+  WHERE NOT coalesce(st.removed, false)
+)
+SELECT item_number, CAST(row_number() OVER (PARTITION BY item_number ORDER BY old_pos) - 1 AS INTEGER) AS pos,
+       r, CAST(l AS INTEGER) AS likes, CAST(d AS INTEGER) AS dislikes
+FROM nt
+"""
+
+
+@register("feedback_table_after", FOLD_TABLE_SQL)
+def feedback_table_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 + F2: the cross-reference table after all feedback (touched entries
+    carry counts, removed entries are gone)."""
+    new, _ = fbk.fold(dv.crossref_from_events(spark, sf_dir), dv.match_feedback(spark, sf_dir))
+    return new.select("item_number", F.posexplode("matches").alias("pos", "m")).select(
+        "item_number", F.col("pos").cast("int").alias("pos"), F.col("m.r").alias("r"),
+        F.col("m.l").alias("likes"), F.col("m.d").alias("dislikes"))
+
+
+FEEDBACK_COUNTS_SQL = f"""WITH {FOLD_CTES},
+pairs AS (SELECT DISTINCT source_item, matched_item FROM fb),
+nt AS (
+  SELECT xr.item_number AS source_item, xr.pos, CASE WHEN instr(xr.r, '|') > 0 THEN split_part(xr.r, '|', 1) END
+           AS matched_item, coalesce(st.l, 0) AS l, coalesce(st.d, 0) AS d
+  FROM xr LEFT JOIN st ON st.source_item = xr.item_number AND st.pos = xr.pos
+  WHERE NOT coalesce(st.removed, false)
+),
+first AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY source_item, matched_item ORDER BY pos) AS rn FROM nt) WHERE rn = 1
+)
+SELECT p.source_item, p.matched_item, f.source_item IS NOT NULL AS success,
+       CAST(coalesce(f.l, 0) AS INTEGER) AS likes, CAST(coalesce(f.d, 0) AS INTEGER) AS dislikes
+FROM pairs p LEFT JOIN first f USING (source_item, matched_item)
+"""
+
+
+@register("feedback_read_counts", FEEDBACK_COUNTS_SQL)
+def feedback_read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """counts of every (source, item) pair that got feedback, read from
+    the table after the fold."""
+    new, _ = fbk.fold(dv.crossref_from_events(spark, sf_dir), dv.match_feedback(spark, sf_dir))
+    pairs = dv.match_feedback(spark, sf_dir)
+    return fbk.read_counts(new, pairs)
