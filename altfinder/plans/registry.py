@@ -706,3 +706,186 @@ def feedback_read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, _ = fbk.fold(dv.crossref_from_events(spark, sf_dir), dv.match_feedback(spark, sf_dir))
     pairs = dv.match_feedback(spark, sf_dir)
     return fbk.read_counts(new, pairs)
+
+
+# --------------------------------------------------------------------------- lifecycle A: substitutes
+
+from altfinder.operators import matching as mt  # noqa: E402
+from altfinder.plans import substitutes as sb  # noqa: E402
+
+
+def substitutes(spark: SparkSession, sf_dir: str, top_k: int = 20):
+    raw = inventory(spark, sf_dir)
+    return sb.find_substitutes(raw, raw.select("item_number"), top_k=top_k, dim=HYBRID_DIM, run_ts=RUN_TS)
+
+
+@register("substitutes_inventory")
+def substitutes_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: top 20 substitutes for every catalogue item -- hybrid
+    candidates, rule scores, cut at 50, ranked, enriched."""
+    res = substitutes(spark, sf_dir).results
+    return res.select("source_item", F.col("match_rank").cast("int").alias("match_rank"), "item_number",
+                      "match_score", F.array_join("varying_attributes", ",").alias("varying_attributes"),
+                      F.col("id").alias("matched_id"), "from_cache")
+
+
+@register("substitutes_source_counts")
+def substitutes_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5: per source keyword / vector / merged candidate counts and matches."""
+    return substitutes(spark, sf_dir).counts
+
+
+@register("substitutes_crossref_lists")
+def substitutes_crossref_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 + C1: the compact lists written to the cross-reference table."""
+    t = substitutes(spark, sf_dir).crossref
+    return t.select("item_number", F.posexplode("matches").alias("pos", "m")).select(
+        "item_number", F.col("pos").cast("int").alias("pos"), F.col("m.r").alias("r"))
+
+
+FLAGSHIP = "substitutes_inventory"
+
+
+# --------------------------------------------------------------------------- P1-P5, P9, V1, V6
+
+@register("clean_catalog_rows", f"""WITH {CLEAN_INV_SQL}
+SELECT id, {', '.join(TEXT_FIELDS)} FROM docs""")
+def clean_catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 + P2: cleaned catalogue rows (id kept, all-null rows dropped)."""
+    return clean_inventory(spark, sf_dir).select("id", *TEXT_FIELDS)
+
+
+@register("clean_outcome_counts", f"""WITH {CLEAN_INV_SQL},
+r AS (
+  SELECT CASE WHEN id IS NULL THEN 'missing_id'
+              WHEN coalesce({', '.join(TEXT_FIELDS)}) IS NULL THEN 'all_fields_null' ELSE 'valid' END AS outcome
+  FROM (SELECT id, {', '.join(f'{clean_sql(f)} AS {f}' for f in TEXT_FIELDS)} FROM inv)
+)
+SELECT outcome, count(*) AS n_rows FROM r GROUP BY outcome""")
+def clean_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 + B5: rows kept and skipped, by reason."""
+    return cl.transform_counts(inventory(spark, sf_dir))
+
+
+_COMPLETENESS_ROWS = " UNION ALL ".join(
+    f"SELECT '{f}' AS field, count({clean_sql(f)}) AS non_null, count(*) AS total FROM inv" for f in TEXT_FIELDS)
+
+
+@register("field_completeness", f"""WITH inv AS ({INVENTORY_SQL}), s AS ({_COMPLETENESS_ROWS})
+SELECT field, non_null, total - non_null AS null_count,
+       CASE WHEN total > 0 THEN round(non_null * 100.0 / total, 4) ELSE 0.0 END AS completeness,
+       total AS total_records
+FROM s""")
+def field_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field non-null, null and completeness percent."""
+    return cl.field_completeness(inventory(spark, sf_dir))
+
+
+@register("combined_text_catalog", f"""WITH inv AS ({INVENTORY_SQL}),
+t AS (SELECT id, {combine_sql(TEXT_FIELDS)} AS text_combined FROM inv)
+SELECT id, text_combined, CAST(length(text_combined) AS INTEGER) AS text_length,
+       CASE WHEN text_combined = '' THEN 'no_text' END AS reject_reason
+FROM t""")
+def combined_text_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 + P9 + V6: combined text per row, its length, and the failure
+    reason for rows without any text."""
+    t = cl.with_combined_text(inventory(spark, sf_dir))
+    return t.select("id", "text_combined", F.length("text_combined").cast("int").alias("text_length"),
+                    "reject_reason")
+
+
+@register("embedding_bookkeeping", f"""WITH inv AS ({INVENTORY_SQL}),
+vdoc AS (SELECT id, {combine_sql(TEXT_FIELDS)} AS t FROM inv),
+vterm AS (SELECT id, unnest({std_terms_sql('t')}) AS term FROM vdoc WHERE t <> ''),
+vb AS (SELECT DISTINCT id, (('0x' || substr(md5(term), 1, 8))::BIGINT) % {HYBRID_DIM} AS b FROM vterm)
+SELECT vdoc.id, CAST({HYBRID_DIM} AS INTEGER) AS embedding_dimension, CAST(length(vdoc.t) AS INTEGER) AS text_length,
+       count(vb.b) AS nonzero
+FROM vdoc JOIN vb USING (id) GROUP BY vdoc.id, vdoc.t""")
+def embedding_bookkeeping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 + V5 + V6: lexical embedding of every catalogue row with text:
+    dimension, text length and number of non-zero components."""
+    raw = inventory(spark, sf_dir).withColumn("text_combined", tx.combine_fields(TEXT_FIELDS))
+    e = vx.embed(raw, dim=HYBRID_DIM)
+    e = vx.valid_vectors(e.where(F.col("reject_reason").isNull()).drop("reject_reason"), HYBRID_DIM)
+    return vx.bookkeeping(e).select("id", "embedding_dimension", "text_length",
+                                    F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nonzero"))
+
+
+# --------------------------------------------------------------------------- S2, S3
+
+@register("catalog_profile", """SELECT CAST(column_index AS INTEGER) AS position, column_name,
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int'
+                 WHEN 'DOUBLE' THEN 'double' ELSE lower(data_type) END AS data_type,
+  (SELECT count(*) FROM part) AS row_count
+FROM duckdb_columns() WHERE table_name = 'part'""")
+def catalog_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: columns, types and row count of a source table."""
+    from altfinder.sources.catalog import profile
+    return profile(read_table(spark, sf_dir, "part"))
+
+
+# --------------------------------------------------------------------------- I1-I5 over documents
+
+from altfinder.operators import ingest as ing  # noqa: E402
+
+
+def _first_run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress after a first run that covered the English and French
+    documents: completed when the text has words, failed otherwise."""
+    docs = read_table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr"))
+    ok = F.size(tx.standard_terms(F.col("text"))) > 0
+    rows = docs.select(F.col("doc_id").alias("product_id"),
+                       F.when(ok, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
+                       F.when(ok, F.lit(EMB_DIM)).alias("embedding_dimension"),
+                       F.length("text").alias("text_length"))
+    empty = spark.createDataFrame([], ing.PROGRESS_SCHEMA)
+    return ing.record(empty, rows, RUN_TS)
+
+
+_PROGRESS_SQL = f"""prog AS (
+  SELECT doc_id AS product_id,
+         CASE WHEN len({std_terms_sql('text')}) > 0 THEN 'completed' ELSE 'failed' END AS status
+  FROM documents WHERE lang IN ('en', 'fr')
+)"""
+
+
+@register("progress_stats", f"""WITH {_PROGRESS_SQL}
+SELECT count(*) AS total_processed, count(*) FILTER (WHERE status = 'completed') AS completed,
+       count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped,
+       max(product_id) FILTER (WHERE status = 'completed') AS last_processed_id
+FROM prog""")
+def progress_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1 + I3 + I4: counts by status and the high-water mark."""
+    return ing.progress_stats(_first_run_progress(spark, sf_dir))
+
+
+@register("progress_is_processed", f"""WITH {_PROGRESS_SQL}
+SELECT d.doc_id AS product_id, coalesce(p.status = 'completed', false) AS processed
+FROM documents d LEFT JOIN prog p ON p.product_id = d.doc_id""")
+def progress_is_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed flag for every document id."""
+    ids = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"))
+    return ing.is_processed(_first_run_progress(spark, sf_dir), ids)
+
+
+@register("resume_pending", f"""WITH {_PROGRESS_SQL}
+SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT product_id FROM prog WHERE status = 'completed')""")
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I5 (default): documents still to embed -- every row not completed."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return ing.pending(docs, _first_run_progress(spark, sf_dir), mode="anti")
+
+
+@register("resume_next_batch", f"""WITH {_PROGRESS_SQL}
+SELECT doc_id AS id, lang FROM documents
+WHERE doc_id > (SELECT coalesce(max(product_id), -1) FROM prog WHERE status = 'completed')
+ORDER BY doc_id LIMIT 100""")
+def resume_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I5 (reference mode) + S2: the next batch of 100 rows above the
+    high-water mark, in id order (a key-range scan; the limit is the batch)."""
+    from altfinder.sources.catalog import key_range
+
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    mark = ing.high_water_mark(_first_run_progress(spark, sf_dir))
+    pend = ing.pending(docs, _first_run_progress(spark, sf_dir), mode="mark")
+    return pend.orderBy("id").limit(100) if mark is not None else key_range(docs, -1, 100)
