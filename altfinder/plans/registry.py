@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from altfinder.functions import text as tx
@@ -889,3 +889,189 @@ def resume_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = ing.high_water_mark(_first_run_progress(spark, sf_dir))
     pend = ing.pending(docs, _first_run_progress(spark, sf_dir), mode="mark")
     return pend.orderBy("id").limit(100) if mark is not None else key_range(docs, -1, 100)
+
+
+# --------------------------------------------------------------------------- B1, R1-R5
+
+from altfinder.operators import browse as br  # noqa: E402
+from altfinder.operators import upload as upl  # noqa: E402
+
+
+def _upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload built from the part table: most rows update stored items,
+    expensive parts arrive as new items (some repeated), some cells blank."""
+    p = read_table(spark, sf_dir, "part")
+    item = F.when(F.col("p_retailprice") > 1950, F.concat(F.lit("NW"), (F.col("p_partkey") % 97).cast("string"))) \
+        .otherwise(F.concat(F.lit("IT"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")))
+    return upl.valid_rows(p.select(
+        (F.col("p_partkey") + 1).alias("ordinal"), item.alias("item_number"),
+        F.when(F.col("p_size") > 40, F.lit("")).otherwise(F.concat("p_name", F.lit(" v2"))).alias("item_name"),
+        F.when(F.col("p_retailprice") < 950, F.lit("  ")).otherwise(F.col("p_brand")).alias("brand"),
+        F.lit("").alias("catalog_number"),
+        F.concat("p_type", F.lit(" rev")).alias("description")))
+
+
+_UPLOAD_FIELDS_SQL = ["item_name", "brand", "catalog_number", "description"]
+UPLOAD_CTES = f"""inv AS ({INVENTORY_SQL}),
+up0 AS (
+  SELECT p_partkey + 1 AS ordinal,
+         CASE WHEN p_retailprice > 1950 THEN concat('NW', CAST(p_partkey % 97 AS VARCHAR))
+              ELSE concat('IT', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) END AS item_number,
+         CASE WHEN p_size > 40 THEN '' ELSE concat(p_name, ' v2') END AS item_name,
+         CASE WHEN p_retailprice < 950 THEN '  ' ELSE p_brand END AS brand,
+         '' AS catalog_number, concat(p_type, ' rev') AS description
+  FROM part
+),
+up AS (
+  SELECT ordinal, item_number, {', '.join(f'{clean_sql(f)} AS {f}' for f in _UPLOAD_FIELDS_SQL)}
+  FROM up0 WHERE item_number <> '' OR item_name <> '' OR brand <> ''
+),
+stored AS (SELECT DISTINCT item_number FROM inv WHERE item_number IS NOT NULL),
+agg AS (
+  SELECT item_number, min(ordinal) AS first_ord,
+         {', '.join(f'arg_max({f}, ordinal) FILTER (WHERE {f} IS NOT NULL) AS n_{f}' for f in _UPLOAD_FIELDS_SQL)}
+  FROM up GROUP BY item_number
+)"""
+
+
+@register("catalog_upsert_outcomes", f"""WITH {UPLOAD_CTES},
+o AS (
+  SELECT CASE WHEN item_number IN (SELECT item_number FROM stored)
+                OR row_number() OVER (PARTITION BY item_number ORDER BY ordinal) > 1
+              THEN 'updated' ELSE 'inserted' END AS outcome
+  FROM up WHERE item_number IS NOT NULL AND item_number <> ''
+)
+SELECT outcome, count(*) AS n FROM o GROUP BY outcome""")
+def catalog_upsert_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: inserted / updated counts of a bulk catalogue upload."""
+    _, outcome, _ = upl.upsert_catalog(inventory(spark, sf_dir), _upload_rows(spark, sf_dir))
+    return outcome.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("catalog_after_upsert", f"""WITH {UPLOAD_CTES},
+merged_old AS (
+  SELECT i.id, i.item_number, {', '.join(f'coalesce(a.n_{f}, i.{f}) AS {f}' for f in _UPLOAD_FIELDS_SQL)},
+         i.supplier, a.item_number IS NOT NULL AS changed
+  FROM inv i LEFT JOIN agg a USING (item_number)
+),
+newi AS (
+  SELECT a.*, row_number() OVER (ORDER BY first_ord) AS rk FROM agg a
+  WHERE item_number NOT IN (SELECT item_number FROM stored)
+),
+ins AS (
+  SELECT (SELECT coalesce(max(id), 0) FROM inv) + rk AS id, item_number,
+         {', '.join(f'n_{f} AS {f}' for f in _UPLOAD_FIELDS_SQL)}, CAST(NULL AS VARCHAR) AS supplier, true AS changed
+  FROM newi
+)
+SELECT * FROM merged_old UNION ALL SELECT * FROM ins""")
+def catalog_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 + B2: the catalogue after the upload; ``changed`` marks rows to
+    re-embed and re-index."""
+    cat, _, changed = upl.upsert_catalog(inventory(spark, sf_dir), _upload_rows(spark, sf_dir))
+    ch = changed.withColumn("changed", F.lit(True))
+    return (cat.join(ch, "id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+            .select("id", "item_number", *_UPLOAD_FIELDS_SQL, "supplier", "changed"))
+
+
+@register("catalog_page_rows", f"""WITH {CLEAN_INV_SQL}
+SELECT * FROM docs ORDER BY id LIMIT 50 OFFSET 100""")
+def catalog_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 3 (50 rows per page) of the cleaned catalogue by id."""
+    rows, _ = br.page(clean_inventory(spark, sf_dir), 3, 50)
+    return rows
+
+
+@register("catalog_page_meta", f"""WITH {CLEAN_INV_SQL}
+SELECT count(*) AS total, 3 AS page, 50 AS page_size, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages,
+       3 < CAST(ceil(count(*) / 50.0) AS BIGINT) AS has_next, true AS has_previous
+FROM docs""")
+def catalog_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paging facts for page 3."""
+    _, meta = br.page(clean_inventory(spark, sf_dir), 3, 50)
+    return meta
+
+
+@register("catalog_sorted_by_name", f"""WITH {CLEAN_INV_SQL}
+SELECT id, item_name, coalesce(nullif(brand, ''), nullif(supplier, ''), 'N/A') AS vendor,
+       row_number() OVER (ORDER BY lower(coalesce(item_name, '')) DESC, id) - 1 AS row_index
+FROM docs""")
+def catalog_sorted_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 + R5: the whole cleaned catalogue by name (descending, case-blind,
+    null as empty, ties by id) with its vendor label and position."""
+    ranked = br.rank_rows(br.vendor_label(clean_inventory(spark, sf_dir)), "name_desc")
+    return ranked.select("id", "item_name", "vendor", "row_index")
+
+
+@register("catalog_brand_filter", f"""WITH {CLEAN_INV_SQL}
+SELECT id, item_number, brand FROM docs WHERE brand = 'Brand#1'""")
+def catalog_brand_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact brand filter."""
+    return br.brand_filter(clean_inventory(spark, sf_dir), "Brand#1").select("id", "item_number", "brand")
+
+
+@register("catalog_brands", f"""WITH {CLEAN_INV_SQL}
+SELECT DISTINCT brand FROM docs WHERE brand IS NOT NULL AND trim(brand) <> ''""")
+def catalog_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct non-blank brands."""
+    return br.brands(clean_inventory(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- M5-M7, M9, M13, S8
+
+from altfinder.functions import bands as bd  # noqa: E402
+from altfinder.functions import compact as cp  # noqa: E402
+
+
+@register("crossref_entries_parsed", f"""WITH {dv.CROSSREF_ENTRIES_SQL},
+pe AS {parsed_entries_sql('xr', 50)}
+SELECT item_number, CAST(pos AS INTEGER) AS pos, item, score, array_to_string(attrs, ',') AS attrs FROM pe""")
+def crossref_entries_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 + S8: every stored entry parsed (bad score 50), via the JSON form
+    of the match column (written and read back)."""
+    t = dv.crossref_from_events(spark, sf_dir)
+    t = t.withColumn("matches", cp.matches_from_json(cp.matches_to_json(F.col("matches"))))
+    e = xr.explode_matches(t).where("ok")
+    return e.select("item_number", F.col("pos").cast("int").alias("pos"), "item", "score",
+                    F.array_join("attrs", ",").alias("attrs"))
+
+
+@register("match_replies_roundtrip", f"""WITH {dv.CROSSREF_ENTRIES_SQL},
+pe AS {parsed_entries_sql('xr', 50)}
+SELECT item_number AS query_id, CAST(row_number() OVER (PARTITION BY item_number ORDER BY pos) - 1 AS INTEGER) AS pos,
+       concat_ws('|', item, CAST(score AS VARCHAR), array_to_string(attrs, ',')) AS r
+FROM pe""")
+def match_replies_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 + M6 + M7: each stored list rendered as a fenced JSON model reply,
+    parsed back (fence stripped, JSON read, compact strings split) and
+    written again in compact form."""
+    t = dv.crossref_from_events(spark, sf_dir)
+    replies = t.select(F.col("item_number").alias("query_id"), F.lit(0).alias("batch"),
+                       F.concat(F.lit("```json\n"), F.to_json(F.transform("matches", lambda m: F.struct(m["r"].alias("r")))),
+                                F.lit("\n```")).alias("reply"))
+    parsed = mt.parse_replies(replies)
+    w = F.row_number().over(Window.partitionBy("query_id").orderBy("pos")) - 1
+    return parsed.select("query_id", w.cast("int").alias("pos"),
+                         cp.write_compact(F.col("item_number"), F.col("match_score"),
+                                          F.col("varying_attributes")).alias("r"))
+
+
+@register("match_bands", f"""WITH {dv.CROSSREF_ENTRIES_SQL},
+pe AS {parsed_entries_sql('xr', 50)}
+SELECT item_number, CAST(pos AS INTEGER) AS pos, score,
+       CASE WHEN score >= 100 THEN '100' WHEN score >= 90 THEN '90-99' WHEN score >= 80 THEN '80-89'
+            WHEN score >= 70 THEN '70-79' WHEN score >= 60 THEN '60-69' WHEN score >= 50 THEN '50-59' END AS band,
+       {bd.band_sql('score', 'table')} AS table_band,
+       {bd.band_sql('score', 'best_alternative')} AS alt_band,
+       {bd.band_sql('score', 'vendor_list')} AS vendor_band,
+       {bd.band_sql('score', 'upload')} AS upload_band
+FROM pe""")
+def match_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 + M13: scoring band (null below the cut) and the four display
+    bands of every stored entry."""
+    e = xr.explode_matches(dv.crossref_from_events(spark, sf_dir)).where("ok")
+    s = F.col("score")
+    return e.select("item_number", F.col("pos").cast("int").alias("pos"), "score",
+                    bd.match_band(s).alias("band"), bd.display_band(s, "table").alias("table_band"),
+                    bd.display_band(s, "best_alternative").alias("alt_band"),
+                    bd.display_band(s, "vendor_list").alias("vendor_band"),
+                    bd.display_band(s, "upload").alias("upload_band"))
