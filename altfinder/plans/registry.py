@@ -1075,3 +1075,37 @@ def match_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
                     bd.display_band(s, "best_alternative").alias("alt_band"),
                     bd.display_band(s, "vendor_list").alias("vendor_band"),
                     bd.display_band(s, "upload").alias("upload_band"))
+
+
+# --------------------------------------------------------------------------- F5 (stream = batch fold)
+
+from altfinder.streaming import feedback_stream as fstream  # noqa: E402
+
+
+@register("feedback_stream_table", FOLD_TABLE_SQL)
+def feedback_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the same fold as ``feedback_table_after``, run as a stateful
+    Structured Streaming job over the feedback log split into time-ordered
+    files (availableNow, checkpointed, idempotent sink)."""
+    new = fstream.run_on_table(spark, dv.match_feedback(spark, sf_dir), dv.crossref_from_events(spark, sf_dir))
+    return new.select("item_number", F.posexplode("matches").alias("pos", "m")).select(
+        "item_number", F.col("pos").cast("int").alias("pos"), F.col("m.r").alias("r"),
+        F.col("m.l").alias("likes"), F.col("m.d").alias("dislikes"))
+
+
+# --------------------------------------------------------------------------- I5-I7 as a stream
+
+from altfinder.streaming import ingest_stream as istream  # noqa: E402
+
+
+@register("ingest_stream_progress", f"""SELECT doc_id AS product_id,
+  CASE WHEN len({std_terms_sql('text')}) > 0 THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN len({std_terms_sql('text')}) > 0 THEN {EMB_DIM} END AS embedding_dimension,
+  CAST(length({combine_sql(['text'])}) AS INTEGER) AS text_length
+FROM documents""")
+def ingest_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1 + I5 + I6: every document embedded by the streaming ingest (three
+    id-range files, one micro-batch each); the progress table it leaves."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    _, prog = istream.run_on_table(spark, docs, ["text"], EMB_DIM, RUN_TS)
+    return prog.select("product_id", "status", "embedding_dimension", "text_length")
