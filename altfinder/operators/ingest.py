@@ -83,7 +83,7 @@ def process(rows: DataFrame, vectors_base: str, dim: int, ts, embedder=None,
     emb = vx.embed(rows.withColumn("text_combined", tx.combine_fields(fields)), dim=dim, embedder=embedder)
     emb = vx.check_dimension(emb.withColumnRenamed("reject_reason", "_r0"), dim) \
         .withColumn("reject_reason", F.coalesce("_r0", "reject_reason")).drop("_r0")
-    obs = Observation("ingest")
+    obs = Observation()
     emb = emb.observe(obs, F.count(F.lit(1)).alias("rows"),
                       F.count_if(F.col("reject_reason").isNull()).alias("embedded"),
                       F.count_if(F.col("reject_reason").isNotNull()).alias("failed"))
