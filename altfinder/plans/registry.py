@@ -1109,3 +1109,36 @@ def ingest_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     _, prog = istream.run_on_table(spark, docs, ["text"], EMB_DIM, RUN_TS)
     return prog.select("product_id", "status", "embedding_dimension", "text_length")
+
+
+# --------------------------------------------------------------------------- B2-B4: match every uploaded row
+
+from altfinder.plans import upload_job as uj  # noqa: E402
+
+
+def _small_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload file: the catalogue rows of the smallest sizes (1 and 2),
+    renamed as a supplier would send them; sizes come from the data."""
+    p = read_table(spark, sf_dir, "part").where(F.col("p_size") <= 2)
+    return upl.valid_rows(p.select(
+        (F.col("p_partkey") + 1).alias("ordinal"),
+        F.concat(F.lit("IT"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("item_number"),
+        F.concat(F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" in.")).alias("item_name"),
+        F.col("p_brand").alias("brand"), F.lit("").alias("catalog_number"),
+        F.concat("p_type", F.lit(" "), "p_name").alias("description")))
+
+
+@register("upload_matches")
+def upload_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert the upload, re-embed what changed, match every
+    uploaded row (top 10, keyword + vector candidates, rule scores)."""
+    job = uj.run(inventory(spark, sf_dir), _small_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS)
+    return job.results.select("source_item", F.col("match_rank").cast("int").alias("match_rank"), "item_number",
+                              "match_score", F.array_join("varying_attributes", ",").alias("varying_attributes"))
+
+
+@register("upload_summary")
+def upload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total rows, rows with matches, not in the catalogue, errors."""
+    job = uj.run(inventory(spark, sf_dir), _small_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS)
+    return job.summary
