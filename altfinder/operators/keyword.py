@@ -43,46 +43,63 @@ def _analysed(docs: DataFrame, id_col: str, fields: list[str], edge: bool) -> Da
 
 @dataclass
 class KeywordIndex:
-    """Postings plus term and field statistics (K1).
+    """An impact index (K1): every posting carries its BM25 weight.
 
-    ``postings``: field, id, term, tf, dl
-    ``field_stats``: field, n_docs, avgdl (one row per field; bounded by the
-    number of fields, so it is always safe to broadcast)
+    ``postings``: field, term, id, tf, dl, w  -- w = idf x tf part, so a
+    query only multiplies by its term weights and sums
+    ``terms``: field, term, df               -- the vocabulary (fuzzy expansion)
+    ``field_stats``: field, n_docs, avgdl    -- one row per field; bounded by
+    the number of fields, so it is always safe to broadcast
+
+    Built once by the ingest job (``write``), read by every search. The df
+    join at build time is a shuffle join on (field, term); a term found in a
+    third of all documents is a skewed key there, which AQE splits.
     """
 
     postings: DataFrame
+    terms: DataFrame
     field_stats: DataFrame
+    k1: float = K1
+    b: float = B
 
     @staticmethod
-    def build(docs: DataFrame, fields: list[str], id_col: str = "id", edge: bool = False) -> "KeywordIndex":
+    def build(docs: DataFrame, fields: list[str], id_col: str = "id", edge: bool = False,
+              k1: float = K1, b: float = B) -> "KeywordIndex":
         analysed = _analysed(docs, id_col, fields, edge)
-        postings = (
+        raw = (
             analysed.select("field", "id", "dl", F.explode("terms").alias("term"))
-            .groupBy("field", "id", "term")
+            .groupBy("field", "term", "id")
             .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
         )
         field_stats = analysed.groupBy("field").agg(
             F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-        return KeywordIndex(postings, field_stats)
+        terms = raw.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        postings = (raw.join(terms, ["field", "term"]).join(F.broadcast(field_stats), "field")
+                    .select("field", "term", "id", "tf", "dl",
+                            bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"),
+                                        F.col("n_docs"), k1, b).alias("w")))
+        return KeywordIndex(postings, terms, field_stats, k1, b)
 
     def write(self, path: str) -> None:
-        """Persist the index: postings partitioned by field and clustered by
-        term inside each file, so term lookups read few row groups."""
-        (self.postings.repartition("field", "term").sortWithinPartitions("field", "term")
+        """Persist: postings partitioned by field and sorted by term inside
+        each file (row-group statistics then skip most of the data for a term
+        lookup); the vocabulary and field statistics next to it."""
+        (self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
          .write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings"))
+        self.terms.write.mode("overwrite").partitionBy("field").parquet(f"{path}/terms")
         self.field_stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
 
     @staticmethod
     def read(spark, path: str) -> "KeywordIndex":
-        return KeywordIndex(spark.read.parquet(f"{path}/postings"),
+        return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
                             spark.read.parquet(f"{path}/field_stats"))
 
     def vocabulary(self) -> DataFrame:
-        return self.postings.select("field", "term").distinct()
+        return self.terms.select("field", "term")
 
     def term_stats(self) -> DataFrame:
         """Document frequency per (field, term)."""
-        return self.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        return self.terms
 
 
 # --------------------------------------------------------------------------- query side
@@ -190,30 +207,37 @@ def bm25_weight(tf: Column, dl: Column, avgdl: Column, df: Column, n: Column,
     return idf * tfw
 
 
+MAX_BROADCAST_TERMS = 200_000
+
+
+def _bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only when a count proves it small; else leave the
+    join to the planner (shuffle join, AQE skew splitting)."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def score_pairs(index: KeywordIndex, qterms: DataFrame, fields: list[str], fuzzy: bool = True,
                 prefix_length: int = 2, max_expansions: int = 50,
-                k1: float = K1, b: float = B) -> DataFrame:
+                max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """Per (query_id, id): best-field BM25 score and the field that gave it.
 
     Scores inside a field sum over query terms (operator OR); across fields
-    the best field wins (best_fields, no tie breaker)."""
+    the best field wins (best_fields, no tie breaker). Query terms are
+    expanded, weighted (qtf x fuzzy boost) and joined to the impact postings;
+    when the weighted term list is proven small it is broadcast, so the
+    postings are scanned once and never shuffled."""
     expansions = (fuzzy_expand(qterms, index.vocabulary(), prefix_length, max_expansions)
                   if fuzzy else exact_expand(qterms))
-    # Restrict postings to expanded terms before computing df: the df join and
-    # the scoring join then read only the postings of terms that are asked for.
-    wanted = expansions.select("field", F.col("match_term").alias("term")).distinct()
-    post = index.postings.join(wanted, ["field", "term"], "left_semi")
-    dfs = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    contrib = (
-        qterms.join(expansions, ["field", "term"])
-        .join(dfs.withColumnRenamed("term", "match_term"), ["field", "match_term"])
-        .join(F.broadcast(index.field_stats), "field")
-        .join(post.withColumnRenamed("term", "match_term"), ["field", "match_term"])
-        .select("query_id", "id", "field",
-                (F.col("qtf") * F.col("boost")
-                 * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"), F.col("n_docs"), k1, b)
-                 ).alias("w"))
-    )
+    weighted = (qterms.join(expansions, ["field", "term"])
+                .groupBy("query_id", "field", "match_term")
+                .agg(F.sum(F.col("qtf") * F.col("boost")).alias("qw"))
+                .withColumnRenamed("match_term", "term"))
+    weighted = _bounded_broadcast(weighted, max_broadcast_terms)
+    contrib = (index.postings.join(weighted, ["field", "term"])
+               .select("query_id", "id", "field", (F.col("qw") * F.col("w")).alias("w")))
+    if len(fields) == 1:
+        agg = contrib.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+        return agg.select("query_id", "id", "score", F.lit(fields[0]).alias("best_field"))
     # One aggregation per (query, id): a conditional sum per field, then the
     # best one -- a single shuffle instead of one per grouping level.
     sums = [F.sum(F.when(F.col("field") == f, F.col("w"))).alias(f"s{i}") for i, f in enumerate(fields)]
