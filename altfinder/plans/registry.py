@@ -1142,3 +1142,115 @@ def upload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total rows, rows with matches, not in the catalogue, errors."""
     job = uj.run(inventory(spark, sf_dir), _small_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS)
     return job.summary
+
+
+# --------------------------------------------------------------------------- oracle for lifecycle A
+
+from altfinder.functions import attributes as atr  # noqa: E402
+
+
+def _num_sql(e: str) -> str:
+    return (f"CASE WHEN regexp_matches({e}, '^[0-9]+/[0-9]+$') AND TRY_CAST(split_part({e}, '/', 2) AS DOUBLE) <> 0 "
+            f"THEN TRY_CAST(split_part({e}, '/', 1) AS DOUBLE) / TRY_CAST(split_part({e}, '/', 2) AS DOUBLE) "
+            f"ELSE TRY_CAST({e} AS DOUBLE) END")
+
+
+def _attrs_sql(name: str, p: str) -> str:
+    """Columns ``{p}size, {p}type, ...`` of the M8 attribute extraction."""
+    n = f"lower({name})"
+    nz = lambda e: f"nullif({e}, '')"
+    size = (f"regexp_extract({n}, '([0-9]+(?:[./-][0-9]+)*(?:\\s*x\\s*[0-9]+(?:[./][0-9]+)*)*)\\s*(?:in\\b|inch|\")', 1)")
+    volt = f"regexp_extract({n}, '\\b([0-9]{{2,3}})(?:/[0-9]{{2,3}})?\\s*v(?:ac|dc|olt)?\\b', 1)"
+    vclass = "CASE " + " ".join(
+        f"WHEN {volt} IN ({', '.join(repr(m) for m in ms)}) THEN '{c}'" for c, ms in atr.VOLTAGE_CLASSES.items()
+    ) + f" ELSE {volt} END"
+    grp = "CASE " + " ".join(
+        f"WHEN regexp_matches({n}, '\\b({'|'.join(ws)})s?\\b') THEN '{g}'" for g, ws in atr.GROUP_WORDS.items()
+    ) + " ELSE 'general' END"
+    stop = "['inch', 'with', 'for', 'and', 'the', 'kit']"
+    nouns = f"list_filter(regexp_extract_all({n}, '[a-z]{{3,}}'), lambda w: NOT list_contains({stop}, w))"
+    mats = "|".join(atr.MATERIALS)
+    return ", ".join([
+        f"{nz(f'regexp_replace({size}, ' + chr(39) + '\\s+' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS {p}size",
+        f"CASE WHEN len({nouns}) > 0 THEN {nouns}[-1] END AS {p}type",
+        f"{grp} AS {p}grp",
+        f"{nz(vclass)} AS {p}voltage",
+        f"{_num_sql(nz(f'regexp_extract({n}, ' + chr(39) + '([0-9]+)\\s*cfm\\b' + chr(39) + ', 1)'))} AS {p}cfm",
+        f"{_num_sql(nz(f'regexp_extract({n}, ' + chr(39) + '([0-9]+/[0-9]+|[0-9]*\\.?[0-9]+)\\s*hp\\b' + chr(39) + ', 1)'))} AS {p}hp",
+        f"{_num_sql(nz(f'regexp_extract({n}, ' + chr(39) + '([0-9]*\\.?[0-9]+)\\s*(?:a|amps?)\\b' + chr(39) + ', 1)'))} AS {p}amps",
+        f"{_num_sql(nz(f'regexp_extract({n}, ' + chr(39) + '([0-9]*\\.?[0-9]+)\\s*gpm\\b' + chr(39) + ', 1)'))} AS {p}gpm",
+        f"{nz(f'regexp_extract({n}, ' + chr(39) + '\\b(npt|bsp)\\b' + chr(39) + ', 1)')} AS {p}thread",
+        f"{nz(f'regexp_extract({n}, ' + chr(39) + '\\b(' + mats + ')\\b' + chr(39) + ', 1)')} AS {p}material",
+    ])
+
+
+def _rules_sql() -> str:
+    both = lambda f: f"(s_{f} IS NOT NULL AND c_{f} IS NOT NULL)"
+    differ = lambda f: f"({both(f)} AND s_{f} <> c_{f})"
+    critical = " OR ".join([differ(f) for f in ["size", "type", "thread", "material", "voltage"]] + [
+        f"(s_grp = 'electrical' AND {both('amps')} AND c_amps < s_amps)",
+        f"(s_grp = 'pump' AND {both('hp')} AND c_hp < s_hp)"])
+    varying = ("list_filter([" + ", ".join(
+        [f"CASE WHEN {differ(f)} THEN '{f}' END" for f in ["cfm", "hp", "amps", "gpm"]]
+        + [f"CASE WHEN (s_{f} IS NULL) <> (c_{f} IS NULL) THEN '{f}' END" for f in ["voltage", "material", "size"]])
+        + "], lambda x: x IS NOT NULL)")
+    score = (f"CASE WHEN src_item = item_number THEN {atr.SAME_PRODUCT} WHEN {critical} THEN {atr.EXCLUDED} "
+             f"WHEN s_grp = 'fan' AND {both('cfm')} AND c_cfm < s_cfm THEN {atr.LOWER_FLOW} "
+             f"WHEN s_size IS NULL AND c_size IS NULL THEN {atr.UNVERIFIED_SIZE} "
+             f"ELSE greatest({atr.FLOOR_SCORE}, {atr.BASE_SCORE} - {atr.PER_VARYING} * len({varying})) END")
+    return (f"CASE WHEN src_name = lower(item_name) THEN {atr.SAME_PRODUCT} ELSE {score} END AS match_score, "
+            f"CASE WHEN src_name = lower(item_name) THEN []::VARCHAR[] ELSE {varying} END AS varying_attributes")
+
+
+SUBSTITUTES_CTES = f"""{hybrid_ctes()},
+srcs AS (SELECT id AS query_id, item_number AS src_item, lower(item_name) AS src_name, {_attrs_sql('item_name', 's_')}
+         FROM inv),
+pairs AS (
+  SELECT cand.query_id, cand.id, cand.position, cand.item_number, cand.item_name, srcs.* EXCLUDE (query_id),
+         {_attrs_sql('cand.item_name', 'c_')}
+  FROM cand JOIN srcs USING (query_id)
+),
+scored AS (SELECT query_id, id, position, item_number, src_item, {_rules_sql()} FROM pairs),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, position) AS INTEGER)
+           AS match_rank
+  FROM scored WHERE match_score >= 50
+),
+cat1 AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_number ORDER BY id DESC) AS rn FROM inv
+                 WHERE item_number IS NOT NULL) WHERE rn = 1
+)"""
+
+
+SUBSTITUTES_SQL = f"""WITH {SUBSTITUTES_CTES}
+SELECT r.src_item AS source_item, r.match_rank, r.item_number, r.match_score,
+       array_to_string(r.varying_attributes, ',') AS varying_attributes, c.id AS matched_id, false AS from_cache
+FROM ranked r JOIN cat1 c ON c.item_number = r.item_number
+WHERE r.match_rank <= 20
+"""
+
+SUBSTITUTE_LISTS_SQL = f"""WITH {SUBSTITUTES_CTES}
+SELECT src_item AS item_number, match_rank - 1 AS pos,
+       concat_ws('|', item_number, CAST(match_score AS VARCHAR), array_to_string(varying_attributes, ',')) AS r
+FROM ranked
+"""
+
+SUBSTITUTE_COUNTS_SQL = f"""WITH {SUBSTITUTES_CTES},
+res AS (
+  SELECT r.src_item FROM ranked r JOIN cat1 c ON c.item_number = r.item_number WHERE r.match_rank <= 20
+),
+cc AS (
+  SELECT query_id, count(*) FILTER (WHERE in_keyword) AS keyword_results,
+         count(*) FILTER (WHERE in_vector) AS vector_results, count(*) AS combined_unique
+  FROM cand GROUP BY query_id
+),
+mc AS (SELECT src_item AS item_number, count(*) AS matched FROM res GROUP BY 1)
+SELECT i.item_number, i.id AS query_id, true AS found,
+       coalesce(cc.keyword_results, 0) AS keyword_results, coalesce(cc.vector_results, 0) AS vector_results,
+       coalesce(cc.combined_unique, 0) AS combined_unique, coalesce(mc.matched, 0) AS matched
+FROM inv i LEFT JOIN cc ON cc.query_id = i.id LEFT JOIN mc ON mc.item_number = i.item_number
+"""
+
+ORACLE["substitutes_inventory"] = SUBSTITUTES_SQL
+ORACLE["substitutes_crossref_lists"] = SUBSTITUTE_LISTS_SQL
+ORACLE["substitutes_source_counts"] = SUBSTITUTE_COUNTS_SQL
