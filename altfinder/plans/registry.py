@@ -130,8 +130,14 @@ def truthy_sql(fields) -> str:
     return "concat_ws(' ', " + ", ".join(f"CASE WHEN {f} <> '' THEN {f} END" for f in fields) + ")"
 
 
-CLEAN_INV_SQL = f"""
-inv AS ({INVENTORY_SQL}),
+DEFAULT_INV_CTE = f"inv AS ({INVENTORY_SQL})"
+
+
+def clean_inv_sql(inv_cte: str = DEFAULT_INV_CTE) -> str:
+    """CTEs ``inv`` (the catalogue, defined by ``inv_cte``), ``cinv`` and
+    ``docs`` (cleaned rows)."""
+    return f"""
+{inv_cte},
 cinv AS (
   SELECT id, {', '.join(f'{clean_sql(f)} AS {f}' for f in TEXT_FIELDS)} FROM inv WHERE id IS NOT NULL
 ),
@@ -139,6 +145,9 @@ docs AS (SELECT * FROM cinv WHERE coalesce({', '.join(TEXT_FIELDS)}) IS NOT NULL
 """
 
 
+CLEAN_INV_SQL = clean_inv_sql()
+
+
 def clean_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue after the ETL cleaner."""
     return cl.transform(inventory(spark, sf_dir))
@@ -164,9 +173,10 @@ def _analysed_sql() -> str:
     return "\n  UNION ALL ".join(parts)
 
 
-def multifield_ctes() -> str:
-    """CTEs up to ``kwr``: every (query, doc) with best-field score and rank."""
-    return f"""{CLEAN_INV_SQL},
+def multifield_ctes(inv_cte: str = DEFAULT_INV_CTE, src_where: str = "true") -> str:
+    """CTEs up to ``kwr``: every (query, doc) with best-field score and rank;
+    queries are the catalogue rows selected by ``src_where``."""
+    return f"""{clean_inv_sql(inv_cte)},
 a AS (
   {_analysed_sql()}
 ),
@@ -177,7 +187,7 @@ p AS (
   FROM (SELECT field, id, dl, unnest(terms) AS term FROM a2) GROUP BY field, id, dl, term
 ),
 vocab AS (SELECT DISTINCT field, term FROM p),
-q AS (SELECT id AS query_id, {truthy_sql(['item_name', 'description', 'brand'])} AS text FROM inv),
+q AS (SELECT id AS query_id, {truthy_sql(['item_name', 'description', 'brand'])} AS text FROM inv WHERE {src_where}),
 qv AS (SELECT * FROM q WHERE text IS NOT NULL AND {strip_sql('text')} <> ''),
 flds AS (SELECT unnest([{', '.join(repr(f) for f in _ALL_FIELDS)}]) AS field),
 qt AS (
@@ -355,12 +365,13 @@ vs AS (
 vr AS (SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM vs)"""
 
 
-def hybrid_ctes(top_k: int = HYBRID_TOP_K, dim: int = HYBRID_DIM) -> str:
+def hybrid_ctes(top_k: int = HYBRID_TOP_K, dim: int = HYBRID_DIM, inv_cte: str = DEFAULT_INV_CTE,
+                src_where: str = "true") -> str:
     k2 = 2 * top_k
     payload_k = ", ".join(f"d.{f} AS _k_{f}" for f in TEXT_FIELDS)
     payload_v = ", ".join(f"i.{f} AS _v_{f}" for f in TEXT_FIELDS)
     pick = ", ".join(f"CASE WHEN in_keyword THEN _k_{f} ELSE _v_{f} END AS {f}" for f in TEXT_FIELDS)
-    return f"""{multifield_ctes()},
+    return f"""{multifield_ctes(inv_cte, src_where)},
 {_hybrid_vec_ctes(dim)},
 vh AS (SELECT query_id, id, rank AS vec_rank, (1 + cosine) / 2 AS vec_score FROM vr WHERE rank <= {k2}),
 kh AS (SELECT query_id, id, rank AS kw_rank, score AS kw_score FROM kwr WHERE rank <= {k2}),
@@ -1202,9 +1213,10 @@ def _rules_sql() -> str:
             f"CASE WHEN src_name = lower(item_name) THEN []::VARCHAR[] ELSE {varying} END AS varying_attributes")
 
 
-SUBSTITUTES_CTES = f"""{hybrid_ctes()},
+def substitutes_ctes(top_k: int = 20, inv_cte: str = DEFAULT_INV_CTE, src_where: str = "true") -> str:
+    return f"""{hybrid_ctes(top_k, HYBRID_DIM, inv_cte, src_where)},
 srcs AS (SELECT id AS query_id, item_number AS src_item, lower(item_name) AS src_name, {_attrs_sql('item_name', 's_')}
-         FROM inv),
+         FROM inv WHERE {src_where}),
 pairs AS (
   SELECT cand.query_id, cand.id, cand.position, cand.item_number, cand.item_name, srcs.* EXCLUDE (query_id),
          {_attrs_sql('cand.item_name', 'c_')}
@@ -1222,6 +1234,9 @@ cat1 AS (
 )"""
 
 
+SUBSTITUTES_CTES = substitutes_ctes()
+
+
 SUBSTITUTES_SQL = f"""WITH {SUBSTITUTES_CTES}
 SELECT r.src_item AS source_item, r.match_rank, r.item_number, r.match_score,
        array_to_string(r.varying_attributes, ',') AS varying_attributes, c.id AS matched_id, false AS from_cache
@@ -1254,3 +1269,58 @@ FROM inv i LEFT JOIN cc ON cc.query_id = i.id LEFT JOIN mc ON mc.item_number = i
 ORACLE["substitutes_inventory"] = SUBSTITUTES_SQL
 ORACLE["substitutes_crossref_lists"] = SUBSTITUTE_LISTS_SQL
 ORACLE["substitutes_source_counts"] = SUBSTITUTE_COUNTS_SQL
+
+
+# --------------------------------------------------------------------------- oracle for the upload flow
+
+_SMALL_UPLOAD_SQL = """SELECT p_partkey + 1 AS ordinal, concat('IT', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) AS item_number,
+         concat(p_name, ' ', CAST(p_size AS VARCHAR), ' in.') AS item_name, p_brand AS brand,
+         '' AS catalog_number, concat(p_type, ' ', p_name) AS description
+  FROM part WHERE p_size <= 2"""
+
+UPLOADED_INV_CTE = f"""inv0 AS ({INVENTORY_SQL}),
+up0 AS ({_SMALL_UPLOAD_SQL}),
+up AS (
+  SELECT ordinal, item_number, {', '.join(f'{clean_sql(f)} AS {f}' for f in _UPLOAD_FIELDS_SQL)}
+  FROM up0 WHERE item_number <> '' OR item_name <> '' OR brand <> ''
+),
+stored0 AS (SELECT DISTINCT item_number FROM inv0 WHERE item_number IS NOT NULL),
+agg0 AS (
+  SELECT item_number, min(ordinal) AS first_ord,
+         {', '.join(f'arg_max({f}, ordinal) FILTER (WHERE {f} IS NOT NULL) AS n_{f}' for f in _UPLOAD_FIELDS_SQL)}
+  FROM up WHERE item_number IS NOT NULL AND item_number <> '' GROUP BY item_number
+),
+newi0 AS (
+  SELECT a.*, row_number() OVER (ORDER BY first_ord) AS rk FROM agg0 a
+  WHERE item_number NOT IN (SELECT item_number FROM stored0)
+),
+inv AS (
+  SELECT i.id, i.item_number, {', '.join(f'coalesce(a.n_{f}, i.{f}) AS {f}' for f in _UPLOAD_FIELDS_SQL)}, i.supplier
+  FROM inv0 i LEFT JOIN agg0 a USING (item_number)
+  UNION ALL
+  SELECT (SELECT coalesce(max(id), 0) FROM inv0) + rk, item_number, {', '.join(f'n_{f}' for f in _UPLOAD_FIELDS_SQL)},
+         CAST(NULL AS VARCHAR)
+  FROM newi0
+)"""
+UPLOAD_SRC_WHERE = "item_number IN (SELECT item_number FROM up WHERE item_number IS NOT NULL AND item_number <> '')"
+UPLOAD_SUBST_CTES = substitutes_ctes(10, UPLOADED_INV_CTE, UPLOAD_SRC_WHERE)
+
+ORACLE["upload_matches"] = f"""WITH {UPLOAD_SUBST_CTES}
+SELECT r.src_item AS source_item, r.match_rank, r.item_number, r.match_score,
+       array_to_string(r.varying_attributes, ',') AS varying_attributes
+FROM ranked r JOIN cat1 c ON c.item_number = r.item_number
+WHERE r.match_rank <= 10
+"""
+
+ORACLE["upload_summary"] = f"""WITH {UPLOAD_SUBST_CTES},
+res AS (
+  SELECT DISTINCT r.src_item FROM ranked r JOIN cat1 c ON c.item_number = r.item_number WHERE r.match_rank <= 10
+),
+req AS (SELECT DISTINCT item_number FROM up WHERE item_number IS NOT NULL AND item_number <> '')
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE item_number IN (SELECT src_item FROM res)) AS with_matches,
+       count(*) FILTER (WHERE item_number NOT IN (SELECT item_number FROM inv WHERE item_number IS NOT NULL))
+         AS not_in_inventory,
+       CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS removed_matches
+FROM req
+"""
