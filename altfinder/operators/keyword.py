@@ -64,8 +64,17 @@ class KeywordIndex:
 
     @staticmethod
     def build(docs: DataFrame, fields: list[str], id_col: str = "id", edge: bool = False,
-              k1: float = K1, b: float = B) -> "KeywordIndex":
-        analysed = _analysed(docs, id_col, fields, edge)
+              k1: float = K1, b: float = B, shards: int | None = None,
+              max_broadcast_vocabulary: int = 1_000_000) -> "KeywordIndex":
+        """Document-sharded build: documents are hash-partitioned by id once,
+        so term counts aggregate inside each shard (no shuffle of postings)
+        and the postings stay partitioned by id. The vocabulary (df per term)
+        is a partial aggregation; it is broadcast back to the shards when a
+        count proves it small, else joined by a shuffle and re-sharded."""
+        spark = docs.sparkSession
+        n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sharded = docs.repartition(n, F.col(id_col))
+        analysed = _analysed(sharded, id_col, fields, edge)
         raw = (
             analysed.select("field", "id", "dl", F.explode("terms").alias("term"))
             .groupBy("field", "term", "id")
@@ -74,18 +83,24 @@ class KeywordIndex:
         field_stats = analysed.groupBy("field").agg(
             F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
         terms = raw.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        postings = (raw.join(terms, ["field", "term"]).join(F.broadcast(field_stats), "field")
+        small_vocab = terms.count() <= max_broadcast_vocabulary
+        joined = raw.join(F.broadcast(terms) if small_vocab else terms, ["field", "term"])
+        postings = (joined.join(F.broadcast(field_stats), "field")
                     .select("field", "term", "id", "tf", "dl",
                             bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"),
                                         F.col("n_docs"), k1, b).alias("w")))
+        if not small_vocab:
+            postings = postings.repartition(n, "id")
         return KeywordIndex(postings, terms, field_stats, k1, b)
 
     def write(self, path: str) -> None:
-        """Persist: postings partitioned by field and sorted by term inside
-        each file (row-group statistics then skip most of the data for a term
-        lookup); the vocabulary and field statistics next to it."""
-        (self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-         .write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings"))
+        """Persist: one file set per document shard, sorted by (field, term)
+        inside each file, so row-group statistics skip most of a shard for a
+        term lookup; the vocabulary and field statistics next to it. (With a
+        metastore, ``bucketBy(n, "id")`` keeps the sharding known to the
+        planner across sessions.)"""
+        (self.postings.sortWithinPartitions("field", "term")
+         .write.mode("overwrite").parquet(f"{path}/postings"))
         self.terms.write.mode("overwrite").partitionBy("field").parquet(f"{path}/terms")
         self.field_stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
 
