@@ -2,9 +2,11 @@
 
 State changes are snapshot -> snapshot: every operator takes the current
 table as a DataFrame and returns the next one; ``sources.snapshots`` writes
-it as a new version. List edits work on the array in place (``filter`` /
-``transform`` against a per-source lookup joined on the source key), so
-list order is kept without exploding and regrouping.
+it as a new version. Deletions explode only the lists they name and regroup
+them in list order (a group is one stored list); feedback edits the array in
+place (``transform`` / ``filter`` against a per-source lookup joined on the
+key). Per-source "first / last" questions are grouped min / max_by, which
+Spark pre-aggregates before the shuffle.
 """
 
 from __future__ import annotations
@@ -68,14 +70,16 @@ def bulk_upsert(crossref: DataFrame, entries: DataFrame, ts) -> tuple[DataFrame,
     bad = entries.where(F.col("item_number").isNull())
     good = entries.where(F.col("item_number").isNotNull())
     existing = crossref.select("item_number", F.lit(True).alias("_stored"))
-    w = Window.partitionBy("item_number").orderBy("ordinal")
-    flagged = (good.join(existing, "item_number", "left")
-               .withColumn("_nth", F.row_number().over(w))
-               .withColumn("outcome", F.when(F.col("_stored") | (F.col("_nth") > 1), F.lit("updated"))
-                           .otherwise(F.lit("saved"))))
-    last_w = Window.partitionBy("item_number").orderBy(F.desc("ordinal"))
-    last = (good.withColumn("_rn", F.row_number().over(last_w)).where("_rn = 1")
-            .select("item_number", "matches"))
+    # first ordinal and last entry per source by grouped min / max_by, which
+    # Spark pre-aggregates before the shuffle (a source repeated across a
+    # third of the upload is still spread over many tasks)
+    per_src = good.groupBy("item_number").agg(F.min("ordinal").alias("_first"),
+                                             F.max_by("matches", "ordinal").alias("matches"))
+    flagged = (good.join(per_src.select("item_number", "_first"), "item_number")
+               .join(existing, "item_number", "left")
+               .withColumn("outcome", F.when(F.col("_stored") | (F.col("ordinal") > F.col("_first")),
+                                             F.lit("updated")).otherwise(F.lit("saved"))))
+    last = per_src.select("item_number", "matches")
     counts = (flagged.select("outcome").unionByName(bad.select(F.lit("error").alias("outcome")))
               .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
     return upsert(crossref, last, ts), counts
@@ -107,25 +111,34 @@ def delete_matches(crossref: DataFrame, deletions: DataFrame, ts) -> tuple[DataF
     """Deletions (source_item, matched_item). Every entry whose raw text
     starts with ``matched_item|`` is removed. Returns (new table, status per
     deletion: removed / not_found / no_crossref, with remaining count). An
-    emptied list stays as a row. Statuses compare with the stored list."""
+    emptied list stays as a row. Statuses compare with the stored list.
+
+    Only the lists named by a deletion are exploded; their entries are
+    anti-joined with the deletions on (source, key) and regrouped in list
+    order (a group is one stored list, bounded by its length)."""
     ts = F.lit(ts).cast("timestamp") if not isinstance(ts, Column) else ts
-    per_src = (deletions.groupBy("source_item").agg(F.collect_set("matched_item").alias("_del"))
-               .withColumnRenamed("source_item", "item_number"))
-    j = crossref.join(per_src, "item_number", "left")
-    kept = F.filter("matches", lambda m: ~F.coalesce(F.array_contains(F.col("_del"), entry_key(m["r"])),
-                                                    F.lit(False)))
-    new = j.select("item_number",
-                   F.when(F.col("_del").isNotNull(), kept).otherwise(F.col("matches")).alias("matches"),
-                   "created_at",
-                   F.when(F.col("_del").isNotNull() & (F.size(kept) != F.size("matches")), ts)
-                   .otherwise(F.col("updated_at")).alias("updated_at"))
+    dels = deletions.select(F.col("source_item").alias("item_number"),
+                            F.col("matched_item").alias("key")).distinct()
+    touched = crossref.join(dels.select("item_number").distinct(), "item_number", "left_semi")
+    ent = touched.select("item_number", F.posexplode("matches").alias("pos", "m")) \
+        .withColumn("key", entry_key(F.col("m.r")))
+    kept = ent.join(dels, ["item_number", "key"], "left_anti")
+    regrouped = (kept.groupBy("item_number")
+                 .agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_l"))
+                 .select("item_number", F.transform("_l", lambda x: x["m"]).alias("_kept")))
+    edited = (touched.join(regrouped, "item_number", "left")
+              .select("item_number", F.coalesce("_kept", empty_matches()).alias("matches"), "created_at",
+                      F.when(F.size(F.coalesce("_kept", empty_matches())) != F.size("matches"), ts)
+                      .otherwise(F.col("updated_at")).alias("updated_at")))
+    untouched = crossref.join(dels.select("item_number").distinct(), "item_number", "left_anti")
+    new = untouched.unionByName(edited)
     # status: does the stored list hold the item?
-    ent = explode_matches(crossref).select(F.col("item_number").alias("source_item"), F.col("key").alias("matched_item"))
-    hits = ent.join(deletions.select("source_item", "matched_item").distinct(),
-                    ["source_item", "matched_item"], "left_semi").distinct().withColumn("_hit", F.lit(True))
+    hits = ent.join(dels, ["item_number", "key"], "left_semi").select(
+        F.col("item_number").alias("source_item"), F.col("key").alias("matched_item")).distinct() \
+        .withColumn("_hit", F.lit(True))
     has = crossref.where(F.size("matches") > 0).select(F.col("item_number").alias("source_item"),
                                                        F.lit(True).alias("_has"))
-    remaining = new.select(F.col("item_number").alias("source_item"), F.size("matches").alias("_rem"))
+    remaining = edited.select(F.col("item_number").alias("source_item"), F.size("matches").alias("_rem"))
     status = (deletions.join(hits, ["source_item", "matched_item"], "left")
               .join(has, "source_item", "left").join(remaining, "source_item", "left")
               .select("source_item", "matched_item",

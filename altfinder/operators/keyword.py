@@ -191,6 +191,17 @@ def fuzzy_expand(terms: DataFrame, vocabulary: DataFrame, prefix_length: int = 2
 
     q = terms.select("field", "term").distinct().withColumn("max_d", auto_edits(F.length("term")))
     v = vocabulary.select("field", F.col("term").alias("match_term"))
+    # Only vocabulary terms that can be within 2 edits of some query term of
+    # the same field (same fixed prefix, length within the query lengths +-2)
+    # get deletion keys: the vocabulary side grows with the corpus, the query
+    # side does not.
+    pre_q = (F.col("term").substr(F.lit(1), F.lit(prefix_length)) if prefix_length else F.lit(""))
+    pre_v = (F.col("match_term").substr(F.lit(1), F.lit(prefix_length)) if prefix_length else F.lit(""))
+    reach = q.groupBy("field", pre_q.alias("_pre")).agg(F.min(F.length("term")).alias("_lo"),
+                                                          F.max(F.length("term")).alias("_hi"))
+    v = (v.withColumn("_pre", pre_v).join(reach, ["field", "_pre"])
+         .where((F.length("match_term") >= F.col("_lo") - 2) & (F.length("match_term") <= F.col("_hi") + 2))
+         .select("field", "match_term"))
     qk = keyed(q, "term", F.col("max_d"), vocab_side=False)
     vk = keyed(v, "match_term", 2, vocab_side=True)
     cand = qk.join(vk, ["field", "pre", "key"]).select("field", "term", "max_d", "match_term").distinct()
