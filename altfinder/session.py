@@ -78,3 +78,12 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want, key) if key else df.repartition(want)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint written
+    to the shared folder named by ``spark.checkpoint.dir`` (never a local
+    checkpoint), so later branches that read it do not recompute the plan
+    and a lost executor does not lose it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
