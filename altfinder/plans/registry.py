@@ -1324,3 +1324,99 @@ SELECT count(*) AS total,
        CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS removed_matches
 FROM req
 """
+
+
+# --------------------------------------------------------------------------- K6, K7, H6 over the document search
+
+def _doc_hits(spark: SparkSession, sf_dir: str):
+    docs = spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = kw.search(kw.KeywordIndex.build(docs, ["text"]), queries, ["text"], k=10, fuzzy=False)
+    return docs, queries, hits
+
+
+@register("documents_by_id", """SELECT b.item_id AS id, d.doc_id IS NOT NULL AS found, d.n_chars
+FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN documents d ON d.doc_id = b.item_id""")
+def documents_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: documents looked up by id (the benchmark item ids), found flag."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    ids = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).distinct()
+    return kw.documents_by_id(docs, ids).select("id", "found", "n_chars")
+
+
+_DOC_HITS_CTE = DOC_BM25_SQL.strip().replace(
+    "\nSELECT query_id, rank, id, score, total_hits FROM r WHERE rank <= 10",
+    ",\nhits AS (SELECT query_id, rank, id, score, total_hits FROM r WHERE rank <= 10)")
+
+
+@register("keyword_exact_match_flag", f"""{_DOC_HITS_CTE}
+SELECT h.query_id, h.id, h.score,
+       coalesce(h.score > 20 OR lower(b.text) = lower(d.text), false) AS exact_match
+FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.id
+WHERE h.rank = 1""")
+def keyword_exact_match_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: exact-match flag of each query's rank-1 document (score above 20,
+    or the query equals the text ignoring case)."""
+    docs, queries, hits = _doc_hits(spark, sf_dir)
+    d = docs.select("id", F.col("text").alias("item_name"), F.col("text").alias("description"))
+    return kw.exact_match_flag(hits, queries, d)
+
+
+@register("keyword_rerank_top5", f"""{_DOC_HITS_CTE},
+rp AS (
+  SELECT h.query_id, h.id, h.rank,
+         list_distinct({std_terms_sql('b.text')}) AS qt, list_distinct({std_terms_sql('d.text')}) AS dt
+  FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.id
+),
+rs AS (
+  SELECT query_id, id, rank,
+         round(CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt)) / len(qt) ELSE 0.0 END, 6) AS rerank_score
+  FROM rp
+),
+rr AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INTEGER)
+           AS rerank_rank
+  FROM rs
+)
+SELECT query_id, id, rerank_score, rerank_rank FROM rr WHERE rerank_rank <= 5""")
+def keyword_rerank_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6: the 10 BM25 hits of each passage re-scored by the default scorer
+    (share of query terms in the document) and cut to 5; ties keep the
+    original order."""
+    docs, queries, hits = _doc_hits(spark, sf_dir)
+    pairs = (hits.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+             .join(docs.select("id", F.col("text").alias("text_combined")), "id")
+             .withColumnRenamed("rank", "position"))
+    rr = hy.rerank(pairs, 5, order_col="position")
+    return rr.select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"),
+                     F.col("rerank_rank").cast("int").alias("rerank_rank"))
+
+
+# --------------------------------------------------------------------------- M2, M3 request texts
+
+@register("match_requests_inventory", f"""WITH {hybrid_ctes()},
+lines AS (
+  SELECT c.query_id, CAST(floor((c.position - 1) / 50) AS INTEGER) AS batch, c.position,
+         '- wise_item_number: ' || coalesce(c.item_number, 'None') || ', win_item_name: ' ||
+         coalesce(c.item_name, 'None') AS line
+  FROM cand c
+),
+per_batch AS (
+  SELECT query_id, batch, string_agg(line, chr(10) ORDER BY position) AS candidates_text FROM lines
+  GROUP BY query_id, batch
+)
+SELECT pb.query_id, pb.batch,
+       '## Source Product (What we''re looking for matches for)' || chr(10) ||
+       '- Query Text: ' || coalesce(i.item_name, '') || chr(10) ||
+       '- WISE Item Number: ' || coalesce(i.item_number, 'None') || chr(10) ||
+       '- Product Name: ' || coalesce(i.item_name, 'None') || chr(10) || chr(10) ||
+       '## Candidate Products to Evaluate' || chr(10) || pb.candidates_text || chr(10) || chr(10) ||
+       'Evaluate each candidate against the source product. Return JSON array with ' ||
+       'match_score and varying_attributes for each.' AS request
+FROM per_batch pb JOIN inv i ON i.id = pb.query_id""")
+def match_requests_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + M3: the scoring request text of every (source, batch of 50
+    candidates) -- what a model hook (M4) receives."""
+    cands, sources, _ = hybrid_candidates(spark, sf_dir)
+    src = sources.withColumn("llm_query", F.coalesce("item_name", F.lit("")))
+    return mt.request_text(mt.with_batches(cands), src).select("query_id", "batch", "request")
