@@ -69,3 +69,25 @@ def test_save_step_scores(spark):
     excl = spark.createDataFrame([("S3", 0)], "source_item string, match_idx int")
     got = {r["item_number"]: [m["r"] for m in r["matches"]] for r in xr.save_step(res, excl).collect()}
     assert got == {"S1": ["A|88|cfm", "B|50|", "C|77|"]}
+
+
+def test_cache_routing_treats_empty_list_as_missing(spark):
+    from altfinder.operators import matching as mt
+
+    t = table(spark, [("S1", ["A|90|"]), ("S2", [])])
+    src = spark.createDataFrame([("S1",), ("S2",), ("S3",)], "item_number string")
+    cached, fresh = mt.route_by_cache(src, t)
+    assert [r["item_number"] for r in cached.collect()] == ["S1"]
+    assert sorted(r["item_number"] for r in fresh.collect()) == ["S2", "S3"]
+
+
+def test_model_hook_replies_are_parsed(spark):
+    from altfinder.operators import matching as mt
+
+    req = spark.createDataFrame([(1, 0, "r1"), (2, 0, "r2")], "query_id long, batch int, request string")
+
+    def model(texts):
+        return ['```json\n[{"r": "A|91|cfm"}, {"r": "B|x|"}]\n```' if t == "r1" else "oops" for t in texts]
+    got = sorted((r["query_id"], r["item_number"], r["match_score"], r["varying_attributes"])
+                 for r in mt.score_by_model(req, model).collect())
+    assert got == [(1, "A", 91, ["cfm"]), (1, "B", 50, [])]
