@@ -42,3 +42,43 @@ def test_stream_equals_batch(spark):
     norm = lambda df: sorted((r["item_number"], [(m["r"], m["l"], m["d"]) for m in r["matches"]])
                              for r in df.collect())
     assert norm(batch) == norm(stream)
+
+
+def _python_fold(lists, evs):
+    """The reference's one-request-at-a-time fold, in plain Python."""
+    lists = {k: [dict(r=r, l=l or 0, d=d or 0) for r, l, d in v] for k, v in lists.items()}
+    for _, _, s, m, f in sorted(evs, key=lambda e: (e[1], e[0])):
+        cur = lists.get(s)
+        if not cur or f not in ("like", "dislike"):
+            continue
+        out = []
+        for e in cur:
+            if e["r"].startswith(f"{m}|"):
+                e = dict(e, l=e["l"] + (f == "like"), d=e["d"] + (f == "dislike"))
+                if e["d"] > 5:
+                    continue
+            out.append(e)
+        lists[s] = out
+    return {k: [(e["r"], e["l"], e["d"]) for e in v] for k, v in lists.items()}
+
+
+def test_hot_key_fold_matches_sequential(spark):
+    import random
+
+    rnd = random.Random(5)
+    lists = {"HOT": [("A|90|", None, None), ("B|80|", None, None), ("A|70|", 0, 0)],
+             "S2": [("A|60|", None, None), ("C|50|", None, None)]}
+    t = table(spark, [(k, v) for k, v in lists.items()])
+    t0 = dt.datetime(2024, 1, 1)
+    evs = []
+    for i in range(300):
+        src = "HOT" if i % 3 else rnd.choice(["S2", "HOT", "NONE"])
+        item = rnd.choice(["A", "B", "C", "Z"])
+        fbk_type = "like" if rnd.random() < 0.8 else "dislike"
+        evs.append((i, t0 + dt.timedelta(minutes=7 * i), src, item, fbk_type))
+    ev = spark.createDataFrame(evs, "event_id long, ts timestamp, source_item string, matched_item string, "
+                                    "feedback string")
+    for chunk in (60, 3600, 10 ** 7):      # many chunks per key ... one chunk per key
+        new, _ = fb.fold(t, ev, chunk_seconds=chunk)
+        got = {r["item_number"]: [(m["r"], m["l"] or 0, m["d"] or 0) for m in r["matches"]] for r in new.collect()}
+        assert got == _python_fold(lists, evs)
