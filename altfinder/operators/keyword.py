@@ -286,7 +286,8 @@ def top_k(pairs: DataFrame, k: int, part: str = "query_id", score: str = "score"
 def search(index: KeywordIndex, queries: DataFrame, fields: list[str], k: int = 10,
            edge: bool = False, fuzzy: bool = True, prefix_length: int = 2,
            max_expansions: int = 50, decimals: int = 4, with_total: bool = True,
-           qid: str = "query_id", text_col: str = "text") -> DataFrame:
+           qid: str = "query_id", text_col: str = "text",
+           max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """K2/K3/K4/K5: top-k hits per query with rank and total hits.
 
     ``fields`` are the plain fields; ``edge=True`` adds their prefix
@@ -295,7 +296,7 @@ def search(index: KeywordIndex, queries: DataFrame, fields: list[str], k: int =
     all_fields = list(fields) + ([f + EDGE_SUFFIX for f in fields] if edge else [])
     qt = query_terms(queries, fields, edge=edge, qid=qid, text_col=text_col)
     pairs = score_pairs(index, qt, all_fields, fuzzy=fuzzy, prefix_length=prefix_length,
-                        max_expansions=max_expansions)
+                        max_expansions=max_expansions, max_broadcast_terms=max_broadcast_terms)
     pairs = pairs.withColumn("score", F.round("score", decimals))
     hits = top_k(pairs, k)
     if with_total:

@@ -104,3 +104,17 @@ def test_results_independent_of_partitioning(spark):
     a = kw.search(kw.KeywordIndex.build(docs, ["text"]), q, ["text"], k=3).collect()
     b = kw.search(kw.KeywordIndex.build(docs.repartition(3), ["text"]), q.repartition(2), ["text"], k=3).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_fallback_paths_equal_broadcast_paths(spark):
+    """The shuffle-join paths used when the vocabulary or the query-term list
+    is too large to broadcast give the same answers."""
+    rows = [(i, f"steel pipe {'brass ' * (i % 3)}fitting {i % 7} elbow{'s' if i % 2 else ''}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    q = spark.createDataFrame([(0, "steel fiting"), (1, "brass elbow 3"), (2, "pipe")], "query_id long, text string")
+    a = kw.search(kw.KeywordIndex.build(docs, ["text"], edge=True), q, ["text"], k=5, edge=True)
+    b = kw.search(kw.KeywordIndex.build(docs, ["text"], edge=True, max_broadcast_vocabulary=0), q, ["text"], k=5,
+                  edge=True, max_broadcast_terms=0)
+    key = lambda r: (r["query_id"], r["rank"])
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    assert len(a.collect()) == 15
