@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +76,18 @@ class KeywordIndex:
         n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
         sharded = docs.repartition(n, F.col(id_col))
         analysed = _analysed(sharded, id_col, fields, edge)
+        # Term counts per shard, kept (memory, spilling to disk) because the
+        # vocabulary, the field statistics and the postings all read them; a
+        # lost executor's blocks are recomputed from lineage.
         raw = (
             analysed.select("field", "id", "dl", F.explode("terms").alias("term"))
-            .groupBy("field", "term", "id")
-            .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
-        )
-        field_stats = analysed.groupBy("field").agg(
-            F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+            .groupBy("field", "term", "id", "dl")
+            .agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        # per-document rows are local to a shard (no shuffle), then a tiny
+        # per-field aggregation
+        field_stats = (raw.groupBy("field", "id").agg(F.first("dl").alias("dl"))
+                       .groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
         terms = raw.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
         small_vocab = terms.count() <= max_broadcast_vocabulary
         joined = raw.join(F.broadcast(terms) if small_vocab else terms, ["field", "term"])
@@ -91,7 +97,14 @@ class KeywordIndex:
                                         F.col("n_docs"), k1, b).alias("w")))
         if not small_vocab:
             postings = postings.repartition(n, "id")
-        return KeywordIndex(postings, terms, field_stats, k1, b)
+        index = KeywordIndex(postings, terms, field_stats, k1, b)
+        index._persisted = [raw]
+        return index
+
+    def release(self) -> None:
+        """Drop the term counts kept while building (call when done)."""
+        for df in getattr(self, "_persisted", []):
+            df.unpersist()
 
     def write(self, path: str) -> None:
         """Persist: one file set per document shard, sorted by (field, term)
