@@ -17,7 +17,7 @@ from altfinder.operators import keyword as kw
 from altfinder.operators import clean as cl
 from altfinder.operators import vectors as vx
 from altfinder.schemas import TEXT_FIELDS
-from altfinder.session import read_table, spread
+from altfinder.session import materialize, read_table, spread
 from altfinder.sources.catalog import INVENTORY_SQL, inventory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -327,7 +327,7 @@ def hybrid_candidates(spark: SparkSession, sf_dir: str, top_k: int = HYBRID_TOP_
     """(candidates with payload, sources, clean catalogue) for every item of
     the catalogue as a source: keyword leg (2 x top_k), vector leg (2 x top_k)
     over the lexical embedding of the combined text, merged by id."""
-    raw = inventory(spark, sf_dir)
+    raw = materialize(inventory(spark, sf_dir))  # read by both legs and the size checks
     clean = cl.transform(raw)
     sources = hy.source_query_text(hy.source_lookup(raw, raw.select("item_number")))
     sources = sources.where("found").withColumnRenamed("id", "query_id")
@@ -726,7 +726,9 @@ from altfinder.plans import substitutes as sb  # noqa: E402
 
 
 def substitutes(spark: SparkSession, sf_dir: str, top_k: int = 20):
-    raw = inventory(spark, sf_dir)
+    # the catalogue is derived from three tables; written once, it is read by
+    # both search legs, the size checks and the enrichment
+    raw = materialize(inventory(spark, sf_dir))
     return sb.find_substitutes(raw, raw.select("item_number"), top_k=top_k, dim=HYBRID_DIM, run_ts=RUN_TS)
 
 
