@@ -1422,3 +1422,34 @@ def match_requests_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands, sources, _ = hybrid_candidates(spark, sf_dir)
     src = sources.withColumn("llm_query", F.coalesce("item_name", F.lit("")))
     return mt.request_text(mt.with_batches(cands), src).select("query_id", "batch", "request")
+
+
+# --------------------------------------------------------------------------- R6, R7 over the substitutes flow
+
+@register("catalog_best_alternative", f"""WITH {SUBSTITUTES_CTES},
+alt_lists AS (SELECT src_item AS item_number, match_rank - 1 AS pos, item_number AS alt, match_score FROM ranked),
+best_alt AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_number ORDER BY match_score DESC, pos) AS rn
+    FROM alt_lists WHERE alt <> item_number) WHERE rn = 1
+)
+SELECT i.id, i.item_number, b.alt AS alt_item_number, b.match_score
+FROM inv i LEFT JOIN best_alt b USING (item_number)""")
+def catalog_best_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 (+ C4 over the stored lists): every catalogue row with the best
+    stored alternative that is not the item itself."""
+    res = substitutes(spark, sf_dir)
+    raw = inventory(spark, sf_dir)
+    out = br.with_best_alternative(raw, res.crossref)
+    return out.select("id", "item_number", "alt_item_number", "match_score")
+
+
+@register("substitutes_without_source", f"""WITH {SUBSTITUTES_CTES}
+SELECT r.src_item AS source_item, r.match_rank, r.item_number, r.match_score
+FROM ranked r JOIN cat1 c ON c.item_number = r.item_number
+WHERE r.match_rank <= 20 AND r.item_number <> r.src_item""")
+def substitutes_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live substitute results without the source item itself."""
+    res = substitutes(spark, sf_dir).results
+    return br.without_source(res).select("source_item", F.col("match_rank").cast("int").alias("match_rank"),
+                                         "item_number", "match_score")
