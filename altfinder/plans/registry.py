@@ -1453,3 +1453,21 @@ def substitutes_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = substitutes(spark, sf_dir).results
     return br.without_source(res).select("source_item", F.col("match_rank").cast("int").alias("match_rank"),
                                          "item_number", "match_score")
+
+
+# --------------------------------------------------------------------------- H7 (optional fusion)
+
+@register("hybrid_rrf_fusion", f"""WITH {hybrid_ctes()},
+fz AS (
+  SELECT query_id, id, coalesce(1.0 / (60 + kw_rank), 0.0) + coalesce(1.0 / (60 + vec_rank), 0.0) AS f FROM m
+  UNION ALL
+  SELECT query_id, id, 1.0 / (60 + kw_rank) FROM kh
+  WHERE query_id NOT IN (SELECT query_id FROM withvec) AND kw_rank <= {HYBRID_TOP_K}
+)
+SELECT query_id, id, round(f, 9) AS fused_score FROM fz""")
+def hybrid_rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: reciprocal rank fusion (k = 60) of the two candidate legs; the
+    reference declares fusion weights but never applies them, so this is an
+    option next to the plain merge."""
+    cands, _, _ = hybrid_candidates(spark, sf_dir)
+    return hy.fuse_rrf(cands).select("query_id", "id", F.round("fused_score", 9).alias("fused_score"))
