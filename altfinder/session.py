@@ -49,12 +49,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set by the deployment (a shared file system).
     Only when it is unset -- local runs and tests -- a scratch folder is made.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="altfinder-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if sc.getCheckpointDir() is None:
+        # the setting is fixed at start-up (it cannot be changed at run time);
+        # only an unset one gets a scratch folder, and only on the context
+        path = path or tempfile.mkdtemp(prefix="altfinder-ckpt-")
+        sc.setCheckpointDir(path)
+    return path or sc.getCheckpointDir()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
