@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path or sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that a
+    job runs from any working folder without an installed package."""
+    sc = spark.sparkContext
+    if getattr(sc, "_altfinder_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="altfinder-ship-"), "altfinder.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(here.rglob("*.py")):
+            z.write(file, str(Path(here.name) / file.relative_to(here)))
+    sc.addPyFile(path)
+    sc._altfinder_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
