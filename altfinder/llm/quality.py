@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import written
+
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
          "n_lines", "n_distinct_words", "n_upper", "n_lower", "n_marks", "n_digits")
 STATS_TYPE = StructType([StructField(c, LongType(), False) for c in STATS])
@@ -258,8 +260,6 @@ def judge(docs: DataFrame, labels: DataFrame, **knobs) -> tuple[DataFrame, list[
     Null and empty texts have no words and fail the base rule; repeated rows
     are judged alike; other columns are ignored.
     """
-    from .common import written
-
     stats = written(docs.select("doc_id", stats_of(F.col("text")).alias("stats")), "quality-stats")
     rules = fit(stats, labels, **knobs)
     failed = base_failed("stats")
@@ -268,13 +268,11 @@ def judge(docs: DataFrame, labels: DataFrame, **knobs) -> tuple[DataFrame, list[
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **knobs) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    from .common import written
-
-    stats = written(docs.select("doc_id", stats_of(F.col("text")).alias("stats")), "quality-stats")
-    rules = fit(stats, labels, **knobs)
+    """The rows of ``docs`` that are kept, with all their columns; the texts
+    are measured once and written with their statistics."""
     name = "_stats"
     while name in docs.columns:
         name += "_"
-    marked = docs.withColumn(name, stats_of(F.col("text")))
-    return marked.where(~base_failed(name) & verdict(rules, name)).drop(name)
+    measured = written(docs.withColumn(name, stats_of(F.col("text"))), "quality-measured")
+    rules = fit(measured.select("doc_id", F.col(name).alias("stats")), labels, **knobs)
+    return measured.where(~base_failed(name) & verdict(rules, name)).drop(name)

@@ -129,26 +129,34 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
 
-def redacted(docs: DataFrame, **knobs) -> DataFrame:
+def redacted(docs: DataFrame, owner: str = "source", repository: str = "lang",
+             max_owners: int = 2, max_repositories: int = 4) -> DataFrame:
     """``docs`` with every reported span replaced, all columns kept; n_chars
-    follows the text where there is one. Values are judged over all of
-    ``docs``; the live ones of the added kinds are looked up by value."""
-    found = candidates(docs, **{k: v for k, v in knobs.items() if k in ("owner", "repository")})
-    live = ownership(found, **{k: v for k, v in knobs.items() if k.startswith("max_")}).where("live").select("hash")
+    follows the text where there is one. The patterns run once; only rows
+    with spans of the added kinds wait for the corpus-wide verdicts."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    spans = {f"{mark}base": BASE, f"{mark}added": ADDED}
     text = F.coalesce(F.col("text"), F.lit(""))
-    # a row's key is its id and text: equal rows have equal spans
-    key = F.xxhash64("doc_id", "text")
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    added = F.array_sort(F.concat(*[matches(text, *k) for k in ADDED]))
-    wanted = (docs.select(key.alias("k"), added.alias("added")).where(F.size("added") > 0)
-              .select("k", F.explode("added").alias("s")).select("k", "s", F.col("s.hash").alias("hash"))
-              .join(live, "hash", "left_semi").groupBy("k").agg(F.collect_set("s").alias("live_added")))
-    joined = docs.withColumn(name, key).join(wanted.withColumnRenamed("k", name), name, "left")
-    base = F.concat(*[matches(text, *k) for k in BASE])
-    spans = F.concat(base, F.coalesce("live_added", F.array().cast(f"array<{SPAN}>")))
-    changed = F.when(F.size(spans) > 0, redact(text, spans)).otherwise(F.col("text"))
-    cols = [changed.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = joined.select(*cols)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    held = docs.select("*", *[F.concat(*[matches(text, *k) for k in kinds]).alias(c) for c, kinds in spans.items()])
+    held = written(held.select("*", F.monotonically_increasing_id().alias(f"{mark}uid")), "secret-held")
+    own = F.coalesce(F.col(owner).cast("string"), F.lit(""))
+    found = held.select(own.alias("owner"), F.concat_ws("/", own, F.col(repository).cast("string")).alias("repository"),
+                        F.col(f"{mark}base").alias("base"), F.col(f"{mark}added").alias("added"))
+    live = ownership(found, max_owners, max_repositories).where("live").select("hash")
+    some = F.size(f"{mark}added") > 0
+    wanted = (held.where(some).select(F.col(f"{mark}uid").alias(f"{mark}id"), F.explode(f"{mark}added").alias("s"))
+              .select(f"{mark}id", "s", F.col("s.hash").alias("hash")).join(live, "hash", "left_semi")
+              .groupBy(f"{mark}id").agg(F.collect_list("s").alias(f"{mark}live")))
+    none = F.array().cast(f"array<{SPAN}>")
+    waited = held.where(some).join(wanted, F.col(f"{mark}id") == F.col(f"{mark}uid"), "left").select(
+        *held.columns, F.concat(f"{mark}base", F.coalesce(f"{mark}live", none)).alias(f"{mark}all"))
+    rows = held.where(~some).withColumn(f"{mark}all", F.col(f"{mark}base")).union(waited)
+    reported = F.col(f"{mark}all")
+    changed = F.when(F.size(reported) > 0, redact(text, reported)).otherwise(F.col("text"))
+    out = rows.withColumn("text", changed)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(reported) > 0, F.length("text")).otherwise(
+            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
