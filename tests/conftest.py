@@ -22,6 +22,9 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from altfinder.session import ship_package
+
+    ship_package(s)
     if not s.conf.get("spark.checkpoint.dir", None) and s.sparkContext.getCheckpointDir() is None:
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="altfinder-test-ckpt-"))
     yield s
