@@ -14,7 +14,8 @@ skipped in the merge and probed only when collisions are counted.
 No list is expanded into all its pairs at once. First every node of a list is
 tried against the list's smallest node, which is linear and links the bulk of
 a large group; then only nodes of one list that are still in different
-components, and whose set sizes allow a link, are tried with each other.
+components, and whose set sizes allow a link, are tried with each other, and
+in long lists only those whose rare shingles leave room for a link.
 """
 
 from __future__ import annotations
@@ -157,7 +158,54 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a bigint, b bigint")
 
 
-def link(docs: DataFrame, matches: int = MATCHES, common_names: int = 100_000) -> DataFrame:
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            items = shingles(batch.column("text")[i].as_py())
+            n = len(items)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, batch.column("node")[i].as_py())), pa.array(np.full(n, batch.column("component")[i].as_py())),
+                 pa.array(np.full(n, n)), pa.array(items.view(np.int64))], names=["node", "component", "n", "item"])
+
+
+def _crowded(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components of ``crowd`` (node,
+    component, n_shingles) that can be linked, by a prefix join over the full
+    shingle sets.
+
+    A link of sizes p <= q shares at least 3/7 (p + q) shingles, so at least
+    6/7 p and 3/4 q: in any common order the first p - 6p/7 + 1 of the one and
+    q - 3q/4 + 1 of the other meet, and from the places where they first meet
+    on enough must be left. The order has rare shingles first: a copy whose
+    own edits are more than a link allows posts nothing that others have.
+    In a list the nodes outside its largest component are tried with all, so
+    the members of one large group are not tried with each other.
+    """
+    held = crowd.join(texts, "node").select("node", "component", "text")
+    items = written(held.mapInArrow(_items, "node bigint, component bigint, n bigint, item bigint"), "neardup-crowd")
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    ordered = (items.join(often, "item").groupBy("node", "component", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("order")))
+    least = F.ceil(F.col("n") * F.lit(PERCENT / 100.0))
+    posted = ordered.select("node", "component", "n", F.posexplode(
+        F.slice("order", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("at", "i"))
+    posted = posted.where("i.df > 1").select("node", "component", "n", "at", F.col("i.item").alias("item"))
+    posted = written(posted, "neardup-prefixes")
+    sizes = posted.groupBy("item", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("item").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("groups"))
+    few = posted.join(main.where("groups > 1"), "item").where("component <> main").drop("main", "groups")
+    x, y = few.alias("x"), posted.alias("y")
+    p, q = F.least(F.col("x.n"), F.col("y.n")), F.greatest(F.col("x.n"), F.col("y.n"))
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    smaller_at = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.at")).otherwise(F.col("y.at"))
+    return (x.join(y, F.col("x.item") == F.col("y.item"))
+            .where((F.col("x.component") != F.col("y.component")) & _sizes_allow(p, q)
+                   & (left * (100 + PERCENT) >= (p + q) * PERCENT)
+                   & (smaller_at * (100 + PERCENT) <= p * (100 - PERCENT) + (100 + PERCENT)))
+            .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+
+
+def link(docs: DataFrame, matches: int = MATCHES, common_names: int = 100_000, short_list: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``.
 
     component_id is the smallest doc_id that links lead to, itself included;
@@ -167,7 +215,9 @@ def link(docs: DataFrame, matches: int = MATCHES, common_names: int = 100_000) -
     A null doc_id keeps a null component and is kept, links to nothing. An
     empty table gives no rows; other columns are ignored. ``common_names``
     bounds the table of frequent values that goes to every task; it only
-    orders the prefixes, so no bound changes the result.
+    orders the prefixes, so no bound changes the result. ``short_list`` tells
+    which lists try their remaining pairs one by one (linear in the postings);
+    longer ones go through a prefix join over full sets, which is exact too.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(rows.mapInArrow(_sets, "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, signature array<int>"), "neardup-sets")
@@ -182,7 +232,7 @@ def link(docs: DataFrame, matches: int = MATCHES, common_names: int = 100_000) -
     common, counts = frequent["name"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
     posts = nodes.select("node", "signature").mapInArrow(
         _posts(common, counts, COORDINATES - matches + 1), "name bigint, node bigint")
-    lists = posts.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1").drop("n")
+    lists = posts.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
     merged = written(posts.join(lists, "name"), "neardup-lists")
     stars = merged.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     tried = written(_agreeing(stars, nodes, matches), "neardup-stars")
@@ -192,16 +242,17 @@ def link(docs: DataFrame, matches: int = MATCHES, common_names: int = 100_000) -
     links = written(_confirmed(tried, texts), "neardup-links")
     groups = components(links)
     # what the stars left apart, list by list
-    placed = merged.select("name", "node").join(groups, "node", "left").select(
-        "name", "node", F.coalesce("component", "node").alias("component"))
-    placed = placed.join(nodes.select("node", "n_shingles"), "node")
+    placed = merged.join(groups, "node", "left").select("name", "n", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("name").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("name")
-    apart = written(placed.join(mixed, "name"), "neardup-apart")
-    one, two = apart.alias("x"), apart.alias("y")
+    apart = written(placed.join(mixed, "name").join(nodes.select("node", "n_shingles"), "node"), "neardup-apart")
+    short = apart.where(F.col("n") <= short_list)
+    one, two = short.alias("x"), short.alias("y")
     more = (one.join(two, F.col("x.name") == F.col("y.name"))
             .where((F.col("x.component") > F.col("y.component")) & _sizes_allow(F.col("x.n_shingles"), F.col("y.n_shingles")))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    late = written(_confirmed(_agreeing(more, nodes, matches), texts), "neardup-late")
+    crowd = apart.where(F.col("n") > short_list).select("node", "component", "n_shingles").distinct()
+    more = _agreeing(more, nodes, matches).union(_crowded(crowd, texts)).distinct()
+    late = written(_confirmed(more, texts), "neardup-late")
     groups = components(links.union(late))
     by_set = nodes.select("set1", "set2", "n_shingles", "node").join(groups, "node", "left").select(
         "set1", "set2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
@@ -213,6 +264,6 @@ def link(docs: DataFrame, matches: int = MATCHES, common_names: int = 100_000) -
 def keep_first(docs: DataFrame, **knobs) -> DataFrame:
     """One row of each group of near duplicates, the one of smallest doc_id,
     with all its columns; of rows repeated with that id one stays."""
-    kept = link(docs, **knobs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = link(docs, **knobs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return rows.union(docs.where("doc_id is null"))
