@@ -55,7 +55,7 @@ def reply_body(reply) -> Column:
     """M5: strip a Markdown code fence (and a ``json`` tag) from a reply."""
     t = strip_ws(_c(reply))
     inner = F.coalesce(F.get(F.split(t, "```", -1), 1), F.lit(""))
-    inner = F.when(inner.startswith("json"), inner.substr(F.lit(5), F.lit(1 << 30))).otherwise(inner)
+    inner = F.when(inner.startswith("json"), inner.substr(F.lit(5), F.length(inner))).otherwise(inner)
     return F.when(t.startswith("```"), strip_ws(inner)).otherwise(t)
 
 

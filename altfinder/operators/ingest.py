@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from altfinder.functions import text as tx
 from altfinder.operators import vectors as vx
 from altfinder.schemas import PROGRESS_SCHEMA, TEXT_FIELDS
+from altfinder.session import materialize
 from altfinder.sources import snapshots as snap
 
 STATUSES = ("completed", "failed", "skipped")
@@ -29,7 +30,9 @@ def record(progress: DataFrame, rows: DataFrame, ts) -> DataFrame:
                       F.col("embedding_dimension").cast("int"), F.col("text_length").cast("int"),
                       ts.alias("created_at"), ts.alias("updated_at"), F.lit(1).alias("_new"))
     old = progress.select(*[f.name for f in PROGRESS_SCHEMA.fields]).withColumn("_new", F.lit(0))
-    w = Window.partitionBy("product_id").orderBy(F.desc("_new"))
+    # of two new rows of one product the worse outcome stays
+    rank = F.when(F.col("status") == "failed", 0).when(F.col("status") == "skipped", 1).otherwise(2)
+    w = Window.partitionBy("product_id").orderBy(F.desc("_new"), rank, F.col("text_length").desc_nulls_last())
     return (new.unionByName(old).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
             .drop("_rn", "_new"))
 
@@ -87,15 +90,17 @@ def process(rows: DataFrame, vectors_base: str, dim: int, ts, embedder=None,
     emb = emb.observe(obs, F.count(F.lit(1)).alias("rows"),
                       F.count_if(F.col("reject_reason").isNull()).alias("embedded"),
                       F.count_if(F.col("reject_reason").isNotNull()).alias("failed"))
+    emb = materialize(emb)  # every later branch reads this; no text is embedded twice
     old = snap.read_latest(spark, vectors_base)
     good = emb.where(F.col("reject_reason").isNull()).drop("reject_reason")
     table, _, path = snap.keyed_write(old, good, vectors_base, key="id")
     failed = emb.where(F.col("reject_reason").isNotNull()).select(
         F.col("id").alias("product_id"), F.lit("failed").alias("status"),
         F.lit(None).cast("int").alias("embedding_dimension"), F.length("text_combined").alias("text_length"))
-    written = table.join(rows.select("id"), "id", "left_semi")
-    done = vx.bookkeeping(written).select(F.col("id").alias("product_id"), F.lit("completed").alias("status"),
-                                          "embedding_dimension", "text_length")
+    # completed are the rows of this run only: a vector of an earlier run
+    # does not make a row that failed now a completed one
+    done = vx.bookkeeping(good).select(F.col("id").alias("product_id"), F.lit("completed").alias("status"),
+                                       "embedding_dimension", "text_length")
     return table, done.unionByName(failed), {"observation": obs, "path": path}
 
 

@@ -168,7 +168,7 @@ def _deletions(s: Column, max_d: int) -> Column:
         return F.when(
             F.length(x) >= 1,
             F.transform(F.sequence(F.lit(1), F.length(x)),
-                        lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.lit(1 << 20)))),
+                        lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x)))),
         ).otherwise(F.array().cast("array<string>"))
     out = F.array(s)
     d1 = one(s)
@@ -194,7 +194,7 @@ def fuzzy_expand(terms: DataFrame, vocabulary: DataFrame, prefix_length: int = 2
     def keyed(df: DataFrame, term_col: str, max_d: Column | int, vocab_side: bool) -> DataFrame:
         t = F.col(term_col)
         pre = t.substr(F.lit(1), F.lit(prefix_length)) if prefix_length else F.lit("")
-        suf = t.substr(F.lit(prefix_length + 1), F.lit(1 << 20)) if prefix_length else t
+        suf = t.substr(F.lit(prefix_length + 1), F.length(t)) if prefix_length else t
         if vocab_side:
             variants = _deletions(suf, 2)
             # a variant of d deletions only pairs with query terms allowing >= d

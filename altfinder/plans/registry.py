@@ -482,8 +482,8 @@ def crossref_lookup_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletion requests derived from click events of high value."""
-    ev = read_table(spark, sf_dir, "events").where((F.col("event_type") == "click") & (F.col("value") > 45))
+    """Deletion requests derived from the click events."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "click")
     return ev.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("source_item"),
                      F.concat(F.lit("M"), (F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int") % 5)
                               .cast("string")).alias("matched_item")).distinct()
@@ -491,7 +491,7 @@ def _deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DELETIONS_SQL = """SELECT DISTINCT concat('U', CAST(user_id AS VARCHAR)) AS source_item,
        concat('M', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 5 AS VARCHAR)) AS matched_item
-FROM events WHERE event_type = 'click' AND value > 45"""
+FROM events WHERE event_type = 'click'"""
 
 DELETE_TABLE_SQL = f"""WITH {dv.CROSSREF_ENTRIES_SQL},
 del AS ({DELETIONS_SQL}),
@@ -1471,3 +1471,42 @@ def hybrid_rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     option next to the plain merge."""
     cands, _, _ = hybrid_candidates(spark, sf_dir)
     return hy.fuse_rrf(cands).select("query_id", "id", F.round("fused_score", 9).alias("fused_score"))
+
+
+# M8 on names that reach every rule: each part gives one (source, candidate)
+# pair; the expected scores are stated per pair, not computed from the rules.
+RULE_PAIRS = [
+    ("{} in. Duct Fan 380 CFM", "{} in. Duct Fan 500 CFM White", 90, "cfm"),
+    ("{} in. Exhaust Fan 500 CFM 115 V", "{} in. Exhaust Fan 380 CFM 120 V", 65, "cfm"),
+    ("{} in. Duct Fan 380 CFM", "{}9 in. Duct Fan 380 CFM", 0, ""),
+    ("{} in. Sweat x Male Copper Pipe Adapter", "{} in. Flanged Copper Pipe Adapter", 0, ""),
+    ("{} in. Copper Pipe Elbow", "{} in. PVC Pipe Elbow", 0, ""),
+    ("{} in. NPT Brass Ball Valve", "{} in. NPT Brass Gate Valve Red", 95, ""),
+    ("{} in. NPT Steel Coupling", "{} in. BSP Steel Coupling", 0, ""),
+    ("120 V {} Amp Breaker", "240 V {} Amp Breaker", 0, ""),
+    ("120 V {} Amp Receptacle NEMA 5-15R", "115 V {} Amp Receptacle NEMA 5-20R", 0, ""),
+    ("120 V {} Amp Twist-Lock Receptacle", "110 V 9{} Amp Twist Lock Receptacle", 60, "amps"),
+    ("{} in. 1/2 HP 115 V Booster Pump", "{} in. 1/2 HP 115 V Centrifugal Pump", 0, ""),
+    ("{} in. 1/2 HP 115 V Sump Pump", "{} in. 3/4 HP 120 V Sump Pump", 90, "hp"),
+    ("{} in. 3/4 HP 115 V Sump Pump", "{} in. 1/2 HP 115 V Sump Pump", 0, ""),
+    ("{} in. Duct Fan", "{} in. Sump Pump", 0, ""),
+    ("{} in. Duct Fan 300 CFM", "{} in. Booster Fan 300 CFM", 90, "type"),
+]
+
+RULE_PAIRS_SQL = ("SELECT p_partkey, " + "CASE p_partkey % {n} ".format(n=len(RULE_PAIRS))
+                  + " ".join(f"WHEN {i} THEN {score}" for i, (_, _, score, _) in enumerate(RULE_PAIRS)) + " END AS match_score, "
+                  + f"CASE p_partkey % {len(RULE_PAIRS)} "
+                  + " ".join(f"WHEN {i} THEN '{varying}'" for i, (*_, varying) in enumerate(RULE_PAIRS)) + " END AS varying FROM part")
+
+
+@register("rule_scores_by_group", RULE_PAIRS_SQL)
+def rule_scores_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: fans, pipes, electrical parts and pumps named after every part."""
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"))
+    k = F.pmod(F.col("p_partkey"), F.lit(len(RULE_PAIRS)))
+    forms = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, *_ in RULE_PAIRS])
+    named = parts.withColumn("form", F.get(forms, k.cast("int")))
+    named = named.select("p_partkey", *[atr.extract(F.replace(F.col(f"form.{c}"), F.lit("{}"), F.col("size"))).alias(c) for c in "ab"])
+    scored = named.withColumn("r", atr.rule_score(F.col("a"), F.col("b"), F.lit("source"), F.lit("candidate")))
+    return scored.select("p_partkey", F.col("r.score").alias("match_score"),
+                         F.when(F.col("r.score") > 0, F.array_join("r.varying", ",")).otherwise("").alias("varying"))

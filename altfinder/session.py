@@ -25,11 +25,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    cpus = os.cpu_count() or 8
-    parts = shuffle_partitions or max(8, cpus)
+    if shuffle_partitions:  # else the submit configuration's number holds
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -49,13 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared file system).
-    Only when it is unset -- local runs and tests -- a scratch folder is made.
+    Only a local master, as in tests, may leave it unset and gets a scratch
+    folder; on a cluster a machine-local folder would lose data.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         # the setting is fixed at start-up (it cannot be changed at run time);
         # only an unset one gets a scratch folder, and only on the context
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = path or tempfile.mkdtemp(prefix="altfinder-ckpt-")
         sc.setCheckpointDir(path)
     return path or sc.getCheckpointDir()
