@@ -101,4 +101,33 @@ ORACLE = {
                sum(length(safe) + case when before is null then 13 + length(safe_role)
                                        when before = role then 7 else 13 + length(safe_role) end)::bigint as formatted_chars
         from e group by conv_id""",
+    "op3_near_duplicates": r"""
+        with recursive w as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+          from documents),
+        s as (
+          select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+                   else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g
+          from w),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+        e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * c >= 75 * (x.n + y.n - c)),
+        r as (select doc_id, doc_id as seen from w union select r.doc_id, e.b from r join e on e.a = r.seen),
+        k as (select doc_id, min(seen) as component_id from r group by doc_id)
+        select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, k.component_id, k.component_id = w.doc_id as kept
+        from w join k using (doc_id) left join n using (doc_id)""",
+    "op4_substring_dedup": r"""
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        x as (
+          select doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i:
+                   {'p': i, 'h': md5(array_to_string(w[i:i + 49], ' '))})) as x
+          from w where len(w) >= 50),
+        f as (select doc_id, x.p as p, min(doc_id) over (partition by x.h) as first_id from x),
+        g as (select doc_id, list_distinct(flatten(list(range(p, p + 50)))) as gone from f where doc_id > first_id group by doc_id)
+        select w.doc_id, len(w.w)::bigint as n_words, coalesce(len(g.gone), 0)::bigint as n_removed,
+               sha256(array_to_string(case when g.gone is null then w.w else
+                 list_transform(list_sort(list_filter(range(1, len(w.w) + 1), lambda i: not list_contains(g.gone, i))),
+                                lambda i: w.w[i]) end, ' ')) as kept_sha256
+        from w left join g using (doc_id)""",
 }
