@@ -4,20 +4,23 @@ prefix matching, top-k per query.
 Set-at-a-time: a DataFrame of queries is answered by one plan. The postings
 table is the inverted index: one row per (field, id, term) with the term
 count and the field length of the document. Queries are analysed the same
-way, joined to postings on (field, term), scored, summed per (query, id) and
-cut to the top k by a window that Spark plans as a partial limit before the
-shuffle plus a final limit after it.
+way and joined to postings on (field, term).
+
+Two ways to the same hits. With total hit counts every matching pair is
+scored (``score_pairs``). Without them ``pruned_top_k`` scores each distinct
+field value once per distinct field query, and only those that can still
+reach the top k.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altfinder.functions import text as tx
+from altfinder.session import materialize
 
 K1 = 1.2
 B = 0.75
@@ -52,9 +55,8 @@ class KeywordIndex:
     ``field_stats``: field, n_docs, avgdl    -- one row per field; bounded by
     the number of fields, so it is always safe to broadcast
 
-    Built once by the ingest job (``write``), read by every search. The df
-    join at build time is a shuffle join on (field, term); a term found in a
-    third of all documents is a skewed key there, which AQE splits.
+    A term found in a third of all documents is a skewed key of the df join
+    at build time, which AQE splits.
     """
 
     postings: DataFrame
@@ -65,70 +67,33 @@ class KeywordIndex:
 
     @staticmethod
     def build(docs: DataFrame, fields: list[str], id_col: str = "id", edge: bool = False,
-              k1: float = K1, b: float = B, shards: int | None = None,
-              max_broadcast_vocabulary: int = 1_000_000) -> "KeywordIndex":
-        """Document-sharded build: documents are hash-partitioned by id once,
-        so term counts aggregate inside each shard (no shuffle of postings)
-        and the postings stay partitioned by id. The vocabulary (df per term)
-        is a partial aggregation; it is broadcast back to the shards when a
-        count proves it small, else joined by a shuffle and re-sharded."""
-        spark = docs.sparkSession
-        n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        sharded = docs.repartition(n, F.col(id_col))
-        analysed = _analysed(sharded, id_col, fields, edge)
-        # Term counts per shard, kept (memory, spilling to disk) because the
-        # vocabulary, the field statistics and the postings all read them; a
-        # lost executor's blocks are recomputed from lineage.
-        raw = (
+              k1: float = K1, b: float = B) -> "KeywordIndex":
+        """Term counts per document aggregate where the documents are
+        partitioned by id (no shuffle of postings). They are written once to
+        the shared checkpoint folder, because the vocabulary, the field
+        statistics and the postings all read them. The vocabulary (df per
+        term) is a partial aggregation; its join back is left to the planner,
+        which broadcasts it by its measured size or splits frequent terms."""
+        analysed = _analysed(docs.repartition(F.col(id_col)), id_col, fields, edge)
+        raw = materialize(
             analysed.select("field", "id", "dl", F.explode("terms").alias("term"))
             .groupBy("field", "term", "id", "dl")
             .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        )
         # per-document rows are local to a shard (no shuffle), then a tiny
         # per-field aggregation
         field_stats = (raw.groupBy("field", "id").agg(F.first("dl").alias("dl"))
                        .groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
         terms = raw.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        small_vocab = terms.count() <= max_broadcast_vocabulary
-        joined = raw.join(F.broadcast(terms) if small_vocab else terms, ["field", "term"])
-        postings = (joined.join(F.broadcast(field_stats), "field")
+        postings = (raw.join(terms, ["field", "term"]).join(F.broadcast(field_stats), "field")
                     .select("field", "term", "id", "tf", "dl",
                             bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"),
                                         F.col("n_docs"), k1, b).alias("w")))
-        if not small_vocab:
-            postings = postings.repartition(n, "id")
-        index = KeywordIndex(postings, terms, field_stats, k1, b)
-        index._persisted = [raw]
-        return index
-
-    def release(self) -> None:
-        """Drop the term counts kept while building (call when done)."""
-        for df in getattr(self, "_persisted", []):
-            df.unpersist()
-
-    def write(self, path: str) -> None:
-        """Persist: one file set per document shard, sorted by (field, term)
-        inside each file, so row-group statistics skip most of a shard for a
-        term lookup; the vocabulary and field statistics next to it. (With a
-        metastore, ``bucketBy(n, "id")`` keeps the sharding known to the
-        planner across sessions.)"""
-        (self.postings.sortWithinPartitions("field", "term")
-         .write.mode("overwrite").parquet(f"{path}/postings"))
-        self.terms.write.mode("overwrite").partitionBy("field").parquet(f"{path}/terms")
-        self.field_stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
-
-    @staticmethod
-    def read(spark, path: str) -> "KeywordIndex":
-        return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-                            spark.read.parquet(f"{path}/field_stats"))
+        return KeywordIndex(postings, terms, field_stats, k1, b)
 
     def vocabulary(self) -> DataFrame:
         return self.terms.select("field", "term")
 
-    def term_stats(self) -> DataFrame:
-        """Document frequency per (field, term)."""
-        return self.terms
-
 
 # --------------------------------------------------------------------------- query side
 
@@ -246,32 +211,24 @@ def bm25_weight(tf: Column, dl: Column, avgdl: Column, df: Column, n: Column,
     return idf * tfw
 
 
-MAX_BROADCAST_TERMS = 200_000
-
-
-def _bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; else leave the
-    join to the planner (shuffle join, AQE skew splitting)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def weighted_terms(index: KeywordIndex, qterms: DataFrame, fuzzy: bool = True, prefix_length: int = 2,
+                   max_expansions: int = 50) -> DataFrame:
+    """(query_id, field, term, qw): vocabulary terms of each query with their
+    weight (count in the query x fuzzy boost)."""
+    expansions = (fuzzy_expand(qterms, index.vocabulary(), prefix_length, max_expansions)
+                  if fuzzy else exact_expand(qterms))
+    return (qterms.join(expansions, ["field", "term"])
+            .groupBy("query_id", "field", "match_term")
+            .agg(F.sum(F.col("qtf") * F.col("boost")).alias("qw"))
+            .withColumnRenamed("match_term", "term"))
 
 
-def score_pairs(index: KeywordIndex, qterms: DataFrame, fields: list[str], fuzzy: bool = True,
-                prefix_length: int = 2, max_expansions: int = 50,
-                max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
-    """Per (query_id, id): best-field BM25 score and the field that gave it.
+def score_pairs(index: KeywordIndex, weighted: DataFrame, fields: list[str]) -> DataFrame:
+    """Per (query_id, id) with a common term: best-field BM25 score and the
+    field that gave it.
 
     Scores inside a field sum over query terms (operator OR); across fields
-    the best field wins (best_fields, no tie breaker). Query terms are
-    expanded, weighted (qtf x fuzzy boost) and joined to the impact postings;
-    when the weighted term list is proven small it is broadcast, so the
-    postings are scanned once and never shuffled."""
-    expansions = (fuzzy_expand(qterms, index.vocabulary(), prefix_length, max_expansions)
-                  if fuzzy else exact_expand(qterms))
-    weighted = (qterms.join(expansions, ["field", "term"])
-                .groupBy("query_id", "field", "match_term")
-                .agg(F.sum(F.col("qtf") * F.col("boost")).alias("qw"))
-                .withColumnRenamed("match_term", "term"))
-    weighted = _bounded_broadcast(weighted, max_broadcast_terms)
+    the best field wins (best_fields, no tie breaker)."""
     contrib = (index.postings.join(weighted, ["field", "term"])
                .select("query_id", "id", "field", (F.col("qw") * F.col("w")).alias("w")))
     if len(fields) == 1:
@@ -296,26 +253,124 @@ def top_k(pairs: DataFrame, k: int, part: str = "query_id", score: str = "score"
     return pairs.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def _groups(rows: DataFrame, member: str, group: str, weight: str) -> DataFrame:
+    """(field, member, group): members of a field with the same terms and
+    weights form one group, named by its smallest member. Grouped by a
+    SHA-256 of the sorted list, so a value that a third of all rows share
+    moves as partial minima."""
+    listed = rows.groupBy("field", member).agg(
+        F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("term", weight)))), 256).alias("_sig"))
+    first = listed.groupBy("field", "_sig").agg(F.min(member).alias(group))
+    return listed.join(first, ["field", "_sig"]).select("field", member, group)
+
+
+def _best_values(scored: DataFrame, k: int, score: str) -> DataFrame:
+    """Per (sq, field) the values that can hold one of its k best documents:
+    among the k best values (ties by smallest id), those with fewer than k
+    documents above them. ``score`` is a whole number."""
+    by = Window.partitionBy("sq", "field")
+    first = scored.withColumn("_rn", F.row_number().over(by.orderBy(F.desc(score), F.asc("vid")))).where(F.col("_rn") <= k)
+    above = F.sum("n").over(by.orderBy(-F.col(score)).rangeBetween(Window.unboundedPreceding, -1))
+    return first.withColumn("_above", F.coalesce(above, F.lit(0))).where(F.col("_above") < k).drop("_rn", "_above")
+
+
+def pruned_candidates(index: KeywordIndex, weighted: DataFrame, k: int, decimals: int = 4
+                      ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, queries, values): partial scores of the (field query,
+    field value) pairs that share a term which the top k cannot do without.
+
+    Documents with the same terms in a field are one value there, queries with
+    the same weighted terms in a field one field query (``sq``); a pair is
+    scored once for all of them. Of a field query's terms, in order of the
+    most they can add, the first ones whose sum stays below the k-th best
+    score are left out: documents with these alone cannot be hits. The k-th
+    best score is at least the k-th largest weight of any one of its terms.
+    """
+    margin = 2 * 10.0 ** -decimals  # two scores this far apart never round to one
+    values = materialize(_groups(index.postings, "id", "vid", "tf"))
+    sized = values.groupBy("field", "vid").agg(F.count(F.lit(1)).alias("n"))
+    postings = materialize(index.postings.withColumnRenamed("id", "vid").join(sized, ["field", "vid"])
+                           .select("field", "term", "vid", "n", "w"))
+    weighted = materialize(weighted)
+    queries = materialize(_groups(weighted, "query_id", "sq", "qw"))
+    reps = queries.where(F.col("query_id") == F.col("sq")).select("field", "query_id")
+    terms = weighted.join(reps, ["field", "query_id"]).withColumnRenamed("query_id", "sq")
+
+    # most and k-th largest weight of each term, over documents
+    of_term = Window.partitionBy("field", "term")
+    top = (postings.withColumn("_rn", F.row_number().over(of_term.orderBy(F.desc("w"), F.asc("vid"))))
+           .where(F.col("_rn") <= k)
+           .withColumn("_upto", F.sum("n").over(of_term.orderBy("_rn"))))
+    bounds = top.groupBy("field", "term").agg(
+        F.max("w").alias("most"), F.max(F.when(F.col("_upto") >= k, F.col("w"))).alias("kth"))
+    bounded = terms.join(bounds, ["field", "term"]).withColumn("add", F.col("qw") * F.col("most"))
+    of_query = Window.partitionBy("field", "sq")
+    sums = F.sum("add").over(of_query.orderBy("add", "term").rowsBetween(Window.unboundedPreceding, 0))
+    least = F.coalesce(F.max(F.col("qw") * F.col("kth")).over(of_query), F.lit(0.0))
+    marked = materialize(bounded.withColumn("needed", sums + margin >= least)
+                         .select("field", "sq", "term", "qw", "add", "needed"))
+    rest = marked.where(~F.col("needed"))
+    left = rest.groupBy("field", "sq").agg(F.sum("add").alias("left"))
+    partial = (postings.join(marked.where("needed"), ["field", "term"])
+               .groupBy("field", "sq", "vid").agg(F.sum(F.col("qw") * F.col("w")).alias("part"), F.first("n").alias("n")))
+    partial = materialize(partial)
+
+    # a better k-th score from the partial sums; what cannot reach it goes
+    scale = 10.0 ** decimals
+    best = _best_values(partial.withColumn("_s", F.floor(F.col("part") * scale).cast("long")), k, "_s")
+    least = best.groupBy("field", "sq").agg(F.sum("n").alias("held"), F.min("_s").alias("_s"))
+    kept = (partial.join(least, ["field", "sq"]).join(left, ["field", "sq"], "left")
+            .withColumn("most", F.col("part") + F.coalesce("left", F.lit(0.0)))
+            .where((F.col("held") < k) | (F.col("most") + margin >= F.col("_s") / scale))
+            .select("field", "sq", "vid", "n", "part"))
+    more = (kept.join(rest.select("field", "sq", "term", "qw"), ["field", "sq"])
+            .join(postings.select("field", "term", "vid", "w"), ["field", "term", "vid"])
+            .select("field", "sq", "vid", "n", (F.col("qw") * F.col("w")).alias("part")))
+    whole = kept.unionByName(more).groupBy("field", "sq", "vid").agg(
+        F.sum("part").alias("score"), F.first("n").alias("n"))
+    return whole, queries, values
+
+
+def pruned_top_k(index: KeywordIndex, weighted: DataFrame, k: int, decimals: int = 4) -> DataFrame:
+    """The hits of ``top_k(score_pairs(..))``, without scoring every pair.
+
+    A document among a query's k best is also among the k best of the field
+    that gives its score: whatever is ahead of it there is ahead of it
+    overall. So each field query keeps its k best documents, and the queries
+    choose among those.
+    """
+    whole, queries, values = pruned_candidates(index, weighted, k, decimals)
+    scored = whole.withColumn("score", F.round("score", 9))
+    scored = scored.withColumn("_s", F.round(F.round("score", decimals) * 10.0 ** decimals).cast("long"))
+    of_value = Window.partitionBy("field", "vid").orderBy("id")
+    members = values.withColumn("_m", F.row_number().over(of_value)).where(F.col("_m") <= k).drop("_m")
+    best = _best_values(scored, k, "_s").join(members, ["field", "vid"])
+    by = Window.partitionBy("sq", "field").orderBy(F.desc("_s"), F.asc("id"))
+    best = best.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= k)
+    found = queries.join(best.select("field", "sq", "id", "score"), ["field", "sq"])
+    per = found.groupBy("query_id", "id").agg(F.max(F.struct("score", "field")).alias("best"))
+    return top_k(per.select("query_id", "id", F.round("best.score", decimals).alias("score"),
+                            F.col("best.field").alias("best_field")), k)
+
+
 def search(index: KeywordIndex, queries: DataFrame, fields: list[str], k: int = 10,
            edge: bool = False, fuzzy: bool = True, prefix_length: int = 2,
            max_expansions: int = 50, decimals: int = 4, with_total: bool = True,
-           qid: str = "query_id", text_col: str = "text",
-           max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
-    """K2/K3/K4/K5: top-k hits per query with rank and total hits.
+           qid: str = "query_id", text_col: str = "text") -> DataFrame:
+    """K2/K3/K4/K5: top-k hits per query with rank and, if asked for, total
+    hits (which take scoring every pair).
 
     ``fields`` are the plain fields; ``edge=True`` adds their prefix
     sub-fields (K4). Scores are rounded before ranking so ties are broken by
     id the same way in every engine."""
     all_fields = list(fields) + ([f + EDGE_SUFFIX for f in fields] if edge else [])
     qt = query_terms(queries, fields, edge=edge, qid=qid, text_col=text_col)
-    pairs = score_pairs(index, qt, all_fields, fuzzy=fuzzy, prefix_length=prefix_length,
-                        max_expansions=max_expansions, max_broadcast_terms=max_broadcast_terms)
-    pairs = pairs.withColumn("score", F.round("score", decimals))
-    hits = top_k(pairs, k)
-    if with_total:
-        totals = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
-        hits = hits.join(totals, "query_id")
-    return hits
+    weighted = weighted_terms(index, qt, fuzzy, prefix_length, max_expansions)
+    if not with_total:
+        return pruned_top_k(index, weighted, k, decimals)
+    pairs = score_pairs(index, weighted, all_fields).withColumn("score", F.round("score", decimals))
+    totals = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
+    return top_k(pairs, k).join(totals, "query_id")
 
 
 def field_search(index: KeywordIndex, queries: DataFrame, field: str, k: int = 10,

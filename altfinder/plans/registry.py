@@ -317,6 +317,7 @@ def vector_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- H1-H5, P5-P7, V1, V2
 
 from altfinder.operators import hybrid as hy  # noqa: E402
+from altfinder.plans import substitutes as sb  # noqa: E402
 
 HYBRID_TOP_K = 20
 HYBRID_DIM = 128
@@ -328,24 +329,11 @@ def hybrid_candidates(spark: SparkSession, sf_dir: str, top_k: int = HYBRID_TOP_
     the catalogue as a source: keyword leg (2 x top_k), vector leg (2 x top_k)
     over the lexical embedding of the combined text, merged by id."""
     raw = materialize(inventory(spark, sf_dir))  # read by both legs and the size checks
-    clean = cl.transform(raw)
+    legs = sb.Legs.build(raw, dim)
     sources = hy.source_query_text(hy.source_lookup(raw, raw.select("item_number")))
     sources = sources.where("found").withColumnRenamed("id", "query_id")
-    index = kw.KeywordIndex.build(clean, TEXT_FIELDS, edge=True)
-    kw_hits = kw.search(index, sources.select("query_id", F.col("query_text").alias("text")), TEXT_FIELDS,
-                        k=2 * top_k, edge=True, fuzzy=True, prefix_length=2, max_expansions=50,
-                        with_total=False)
-    vdocs = vx.embed(raw.withColumn("text_combined", tx.combine_fields(TEXT_FIELDS)), dim=dim)
-    vdocs = vx.valid_vectors(vdocs.where(F.col("reject_reason").isNull()).drop("reject_reason"), dim)
-    qv = vx.embed(sources.select("query_id", F.col("query_text").alias("text_combined")), dim=dim)
-    qv = vx.check_dimension(qv.drop("reject_reason"), dim)
-    with_vec = qv.where(F.col("reject_reason").isNull()).select("query_id", "embedding")
-    no_vec = qv.where(F.col("reject_reason").isNotNull()).select("query_id")
-    vec_hits = vx.knn(with_vec, vdocs, k=2 * top_k)
-    merged = hy.merge_legs(kw_hits.join(with_vec.select("query_id"), "query_id", "left_semi"), vec_hits) \
-        .withColumn("warning", F.lit(None).cast("string"))
-    cands = merged.unionByName(hy.keyword_only(kw_hits, no_vec, top_k))
-    return hy.attach_payload(cands, clean, raw), sources, clean
+    cands = sb.candidates(raw, legs, sources.select("query_id", "query_text"), top_k, dim)
+    return cands, sources, legs.clean
 
 
 def _hybrid_vec_ctes(dim: int) -> str:
@@ -1129,10 +1117,9 @@ def ingest_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 from altfinder.plans import upload_job as uj  # noqa: E402
 
 
-def _small_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upload file: the catalogue rows of the smallest sizes (1 and 2),
-    renamed as a supplier would send them; sizes come from the data."""
-    p = read_table(spark, sf_dir, "part").where(F.col("p_size") <= 2)
+def _part_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload file: every row of ``part``, as a supplier would send it."""
+    p = read_table(spark, sf_dir, "part")
     return upl.valid_rows(p.select(
         (F.col("p_partkey") + 1).alias("ordinal"),
         F.concat(F.lit("IT"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("item_number"),
@@ -1145,7 +1132,7 @@ def _small_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upload_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert the upload, re-embed what changed, match every
     uploaded row (top 10, keyword + vector candidates, rule scores)."""
-    job = uj.run(inventory(spark, sf_dir), _small_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS)
+    job = uj.run(inventory(spark, sf_dir), _part_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS)
     return job.results.select("source_item", F.col("match_rank").cast("int").alias("match_rank"), "item_number",
                               "match_score", F.array_join("varying_attributes", ",").alias("varying_attributes"))
 
@@ -1153,7 +1140,7 @@ def upload_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("upload_summary")
 def upload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total rows, rows with matches, not in the catalogue, errors."""
-    job = uj.run(inventory(spark, sf_dir), _small_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS)
+    job = uj.run(inventory(spark, sf_dir), _part_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS)
     return job.summary
 
 
@@ -1275,13 +1262,13 @@ ORACLE["substitutes_source_counts"] = SUBSTITUTE_COUNTS_SQL
 
 # --------------------------------------------------------------------------- oracle for the upload flow
 
-_SMALL_UPLOAD_SQL = """SELECT p_partkey + 1 AS ordinal, concat('IT', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) AS item_number,
+_PART_UPLOAD_SQL = """SELECT p_partkey + 1 AS ordinal, concat('IT', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) AS item_number,
          concat(p_name, ' ', CAST(p_size AS VARCHAR), ' in.') AS item_name, p_brand AS brand,
          '' AS catalog_number, concat(p_type, ' ', p_name) AS description
-  FROM part WHERE p_size <= 2"""
+  FROM part"""
 
 UPLOADED_INV_CTE = f"""inv0 AS ({INVENTORY_SQL}),
-up0 AS ({_SMALL_UPLOAD_SQL}),
+up0 AS ({_PART_UPLOAD_SQL}),
 up AS (
   SELECT ordinal, item_number, {', '.join(f'{clean_sql(f)} AS {f}' for f in _UPLOAD_FIELDS_SQL)}
   FROM up0 WHERE item_number <> '' OR item_name <> '' OR brand <> ''

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from altfinder.operators import keyword as kw
@@ -106,15 +108,20 @@ def test_results_independent_of_partitioning(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
-def test_fallback_paths_equal_broadcast_paths(spark):
-    """The shuffle-join paths used when the vocabulary or the query-term list
-    is too large to broadcast give the same answers."""
-    rows = [(i, f"steel pipe {'brass ' * (i % 3)}fitting {i % 7} elbow{'s' if i % 2 else ''}") for i in range(60)]
-    docs = spark.createDataFrame(rows, "id long, text string")
-    q = spark.createDataFrame([(0, "steel fiting"), (1, "brass elbow 3"), (2, "pipe")], "query_id long, text string")
-    a = kw.search(kw.KeywordIndex.build(docs, ["text"], edge=True), q, ["text"], k=5, edge=True)
-    b = kw.search(kw.KeywordIndex.build(docs, ["text"], edge=True, max_broadcast_vocabulary=0), q, ["text"], k=5,
-                  edge=True, max_broadcast_terms=0)
-    key = lambda r: (r["query_id"], r["rank"])
-    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
-    assert len(a.collect()) == 15
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_pruned_top_k_equals_scoring_every_pair(spark, k):
+    """Few distinct words, so that values repeat, scores tie and the cut at k
+    goes through groups of equal documents."""
+    rng = random.Random(k)
+    words = ["steel", "pipe", "brass", "in", "elbow", "elbows", "8", "12", "duct"]
+    name = lambda: " ".join(rng.choices(words, [9, 9, 3, 30, 2, 1, 4, 2, 1], k=rng.randint(1, 5)))
+    rows = [(i, name(), rng.choice([None, "steel", "ducts co", name()])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "id long, a string, b string")
+    q = spark.createDataFrame([(i, name()) for i in range(30)] + [(30, "zzz"), (31, ""), (32, None)],
+                              "query_id long, text string")
+    index = kw.KeywordIndex.build(docs, ["a", "b"], edge=True)
+    full = kw.search(index, q, ["a", "b"], k=k, edge=True)
+    pruned = kw.search(index, q, ["a", "b"], k=k, edge=True, with_total=False)
+    cols = ["query_id", "rank", "id", "score", "best_field"]
+    want = sorted(map(tuple, full.select(cols).collect()))
+    assert sorted(map(tuple, pruned.select(cols).collect())) == want and len(want) == 30 * k
