@@ -1,20 +1,13 @@
 """Vectors: embedding (V1, V2), dimension checks and bookkeeping (V5, V6),
 exact cosine k-NN (V3) and approximate k-NN over k-means cells (V4).
 
-Exact k-NN never materialises query x vector pairs as rows. Two physical
-forms, chosen by a size check:
-
-* broadcast form -- the query matrix (count x dim, checked against a byte
-  bound) is shipped once to every task; each task scans its vector
-  partition, multiplies in numpy and keeps a running top-k per query, so
-  each partition emits at most k rows per query and the vector table is
-  never shuffled;
-* blocked form -- for query sets above the bound, queries and vectors are
-  hashed into blocks of bounded size; every (query block, vector block)
-  group is co-grouped and scored in numpy. Group sizes are bounded by the
-  block sizes no matter how the data is skewed.
-
-Both end in a per-query row_number() window whose partial limit runs before
+Exact k-NN never materialises query x vector pairs as rows: queries and
+vectors are hashed into blocks of bounded size, and every (query block, vector
+block) group is co-grouped and scored in numpy. Group sizes are bounded by the
+block sizes no matter how the data is skewed, and nothing goes through the
+driver.
+
+It ends in a per-query row_number() window whose partial limit runs before
 the shuffle.
 """
 
@@ -33,7 +26,6 @@ from altfinder.functions import text as tx
 
 DEFAULT_DIM = 64
 COS_DECIMALS = 6
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 # --------------------------------------------------------------------------- checks
@@ -173,35 +165,6 @@ def _finish(pairs: DataFrame, k: int) -> DataFrame:
 PAIR_SCHEMA = "query_id long, id long, cosine double"
 
 
-def _knn_broadcast(queries_pdf: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    spark = vectors.sparkSession
-    qids = queries_pdf["query_id"].to_numpy(dtype=np.int64)
-    qmat = _unit(np.stack(queries_pdf["vec"].to_numpy())) if len(queries_pdf) else np.zeros((0, 1))
-    bq = spark.sparkContext.broadcast((qids, qmat))
-
-    def run(batches):
-        q_ids, q_mat = bq.value
-        best = None
-        for pdf in batches:
-            if len(pdf) == 0 or len(q_ids) == 0:
-                continue
-            vids = pdf["id"].to_numpy(dtype=np.int64)
-            vmat = _unit(np.stack(pdf["vec"].to_numpy()))
-            res = _topk_block(q_ids, q_mat, vids, vmat, k)
-            if res is None:
-                continue
-            cur = pd.DataFrame({"query_id": res[0], "id": res[1], "cosine": res[2]})
-            best = cur if best is None else pd.concat([best, cur], ignore_index=True)
-            # keep a running top-k per query so memory stays at nq x k
-            best["_r"] = best["cosine"].round(COS_DECIMALS)
-            best = (best.sort_values(["query_id", "_r", "id"], ascending=[True, False, True])
-                    .groupby("query_id", sort=False).head(k).drop(columns="_r"))
-        if best is not None:
-            yield best
-
-    return vectors.select("id", "vec").mapInPandas(run, PAIR_SCHEMA)
-
-
 def _knn_blocked(queries: DataFrame, vectors: DataFrame, k: int, keys: list[str],
                  q_block_rows: int, v_block_rows: int) -> DataFrame:
     """Exact top-k within equal ``keys`` (none: all against all), by blocks of
@@ -242,24 +205,16 @@ def _knn_blocked(queries: DataFrame, vectors: DataFrame, k: int, keys: list[str]
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: str = "query_id",
         query_vec: str = "embedding", vec_id: str = "id", vec_col: str = "embedding",
-        max_broadcast_bytes: int = MAX_BROADCAST_BYTES, q_block_rows: int = 4096,
-        v_block_rows: int = 16384, force: str | None = None) -> DataFrame:
+        q_block_rows: int = 2048, v_block_rows: int = 16384) -> DataFrame:
     """V3: exact cosine top-k per query: query_id, rank, id, cosine, score.
 
-    cosine is rounded to 6 decimals before ranking; ties go to the lower id;
-    score is (1 + cosine) / 2. Vectors are expected to be checked (V5)."""
+    Queries and vectors meet in blocks of bounded size, each block pair a task
+    of its own; only k rows per query and block leave it. cosine is rounded to
+    6 decimals before ranking; ties go to the lower id; score is
+    (1 + cosine) / 2. Vectors are expected to be checked (V5)."""
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
     v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    mode = force
-    if mode is None:
-        dim_row = q.select(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
-        nbytes = (dim_row["n"] or 0) * (dim_row["d"] or 0) * 8
-        mode = "broadcast" if nbytes <= max_broadcast_bytes else "blocked"
-    if mode == "broadcast":
-        pairs = _knn_broadcast(q.toPandas(), v, k)
-    else:
-        pairs = _knn_blocked(q, v, k, [], q_block_rows, v_block_rows)
-    return _finish(pairs, k)
+    return _finish(_knn_blocked(q, v, k, [], q_block_rows, v_block_rows), k)
 
 
 # --------------------------------------------------------------------------- approximate k-NN

@@ -22,11 +22,11 @@ def _brute(m, k):
     return out
 
 
-def test_knn_forms_equal_brute_force(spark):
+def test_knn_equals_brute_force(spark):
     v, m = _vectors(spark)
     q = v.withColumnRenamed("id", "query_id")
     want = _brute(m, 5)
-    for kwargs in ({}, {"force": "blocked", "q_block_rows": 16, "v_block_rows": 16}):
+    for kwargs in ({}, {"q_block_rows": 16, "v_block_rows": 16}):
         got = {}
         for r in vx.knn(q, v, k=5, **kwargs).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["cosine"]))
