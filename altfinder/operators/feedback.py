@@ -34,7 +34,8 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "reject_reason", F.lit("invalid feedback type"))
 
 
-def _entries(crossref: DataFrame) -> DataFrame:
+def entries(crossref: DataFrame) -> DataFrame:
+    """One row per list entry: source_item, pos, matched_item, l0, d0."""
     e = crossref.select("item_number", F.posexplode("matches").alias("pos", "m"))
     return e.select(F.col("item_number").alias("source_item"), "pos",
                     entry_key(F.col("m.r")).alias("matched_item"),
@@ -58,32 +59,35 @@ def _running(j: DataFrame, chunk_seconds: int) -> DataFrame:
             .drop("off_l", "off_d"))
 
 
-def fold(crossref: DataFrame, events: DataFrame, chunk_seconds: int = CHUNK_SECONDS,
-         remove_above: int = REMOVE_ABOVE) -> tuple[DataFrame, DataFrame]:
-    """F1 + F2: apply valid feedback events (event_id, ts, source_item,
-    matched_item, feedback) to the table. Returns (new table, one reply per
-    event: event_id, source_item, matched_item, status, likes, dislikes,
-    removed). status is updated / not_found / no_crossref."""
-    valid, _ = split_valid(events)
+def applied(ent: DataFrame, valid: DataFrame, chunk_seconds: int = CHUNK_SECONDS,
+            remove_above: int = REMOVE_ABOVE) -> DataFrame:
+    """Each valid event at each entry it names: the running counts, whether it
+    still applied (the entry was not dropped before), whether it dropped it."""
     ev = valid.select("event_id", "ts", "source_item", "matched_item",
                       (F.col("feedback") == "like").cast("int").alias("is_like"),
                       (F.col("feedback") == "dislike").cast("int").alias("is_dislike"))
-    ent = _entries(crossref)
     j = _running(ev.join(ent, ["source_item", "matched_item"]), chunk_seconds)
     order = F.struct("ts", "event_id")
     rm = (j.where(F.col("cum_d") > remove_above).groupBy("source_item", "pos")
           .agg(F.min(order).alias("removed_at")))
     j = j.join(rm, ["source_item", "pos"], "left")
-    applied = F.col("removed_at").isNull() | (order <= F.col("removed_at"))
-    j = j.withColumn("applied", applied).withColumn("removed_here", F.coalesce(order == F.col("removed_at"),
-                                                                                F.lit(False)))
-    # final state per entry
-    state = (j.where("applied").groupBy("source_item", "pos")
-             .agg(F.max("cum_l").alias("l"), F.max("cum_d").alias("d"), F.max("removed_here").alias("removed"),
-                  F.max("ts").alias("last_ts")))
+    return (j.withColumn("applied", F.col("removed_at").isNull() | (order <= F.col("removed_at")))
+            .withColumn("removed_here", F.coalesce(order == F.col("removed_at"), F.lit(False))))
+
+
+def state_after(j: DataFrame) -> DataFrame:
+    """Counts per entry after its events: source_item, pos, l, d, removed, last_ts."""
+    return (j.where("applied").groupBy("source_item", "pos")
+            .agg(F.max("cum_l").alias("l"), F.max("cum_d").alias("d"), F.max("removed_here").alias("removed"),
+                 F.max("ts").alias("last_ts")))
+
+
+def with_state(crossref: DataFrame, state: DataFrame) -> DataFrame:
+    """The table with the counts of ``state`` (of entries that had events);
+    removed entries drop."""
     per_src = (state.groupBy("source_item")
                .agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("l", "d", "removed")))).alias("_u"),
-                    F.max("last_ts").alias("_ts"), F.count_if("removed").alias("_n_removed"))
+                    F.max("last_ts").alias("_ts"))
                .withColumnRenamed("source_item", "item_number"))
     t = crossref.join(per_src, "item_number", "left")
 
@@ -94,7 +98,7 @@ def fold(crossref: DataFrame, events: DataFrame, chunk_seconds: int = CHUNK_SECO
             .otherwise(F.struct(m["r"].alias("r"), u["l"].cast("int").alias("l"), u["d"].cast("int").alias("d"),
                                 u["removed"].alias("gone")))
     edited = F.filter(F.transform("matches", upd), lambda x: ~x["gone"])
-    new_tab = t.select(
+    return t.select(
         "item_number",
         F.when(F.col("_u").isNull(), F.col("matches"))
         .otherwise(F.transform(edited, lambda x: F.struct(x["r"].alias("r"), x["l"].alias("l"), x["d"].alias("d")))
@@ -103,6 +107,20 @@ def fold(crossref: DataFrame, events: DataFrame, chunk_seconds: int = CHUNK_SECO
         F.when(F.col("_ts").isNotNull(), F.greatest(F.col("updated_at"), F.col("_ts")))
         .otherwise(F.col("updated_at")).alias("updated_at"))
 
+
+def fold(crossref: DataFrame, events: DataFrame, chunk_seconds: int = CHUNK_SECONDS,
+         remove_above: int = REMOVE_ABOVE) -> tuple[DataFrame, DataFrame]:
+    """F1 + F2: apply valid feedback events (event_id, ts, source_item,
+    matched_item, feedback) to the table. Returns (new table, one reply per
+    event: event_id, source_item, matched_item, status, likes, dislikes,
+    removed). status is updated / not_found / no_crossref."""
+    ev, _ = split_valid(events)
+    j = applied(entries(crossref), ev, chunk_seconds, remove_above)
+    new_tab = with_state(crossref, state_after(j))
+    order = F.struct("ts", "event_id")
+    rm = (j.where(F.col("removed_at").isNotNull()).groupBy("source_item", "pos")
+          .agg(F.max("removed_at").alias("removed_at")))
+
     # replies: list emptied by removals answers "no cross-reference" afterwards
     sizes = crossref.select(F.col("item_number").alias("source_item"), F.size("matches").alias("_size"))
     emptied = (rm.groupBy("source_item").agg(F.count(F.lit(1)).alias("_nrm"), F.max("removed_at").alias("_empty_at"))
@@ -128,7 +146,7 @@ def fold(crossref: DataFrame, events: DataFrame, chunk_seconds: int = CHUNK_SECO
 def read_counts(crossref: DataFrame, pairs: DataFrame) -> DataFrame:
     """likes and dislikes of the first entry of the source's list that
     starts with ``item|``; zeros and success = false when absent."""
-    ent = _entries(crossref)
+    ent = entries(crossref)
     w = Window.partitionBy("source_item", "matched_item").orderBy("pos")
     first = ent.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "pos")
     return (pairs.select("source_item", "matched_item").distinct()

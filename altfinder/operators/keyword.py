@@ -25,6 +25,7 @@ from altfinder.session import materialize
 K1 = 1.2
 B = 0.75
 EDGE_SUFFIX = ".edge"
+MAX_TOP_K = 100  # fixed value: the most hits a query may ask for
 
 
 # --------------------------------------------------------------------------- index
@@ -45,6 +46,12 @@ def _analysed(docs: DataFrame, id_col: str, fields: list[str], edge: bool) -> Da
     )
 
 
+def _term_counts(docs: DataFrame, fields: list[str], id_col: str, edge: bool) -> DataFrame:
+    analysed = _analysed(docs.repartition(F.col(id_col)), id_col, fields, edge)
+    return (analysed.select("field", "id", "dl", F.explode("terms").alias("term"))
+            .groupBy("field", "term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+
+
 @dataclass
 class KeywordIndex:
     """An impact index (K1): every posting carries its BM25 weight.
@@ -54,6 +61,7 @@ class KeywordIndex:
     ``terms``: field, term, df               -- the vocabulary (fuzzy expansion)
     ``field_stats``: field, n_docs, avgdl    -- one row per field; bounded by
     the number of fields, so it is always safe to broadcast
+    ``counts``: field, term, id, dl, tf      -- what the others derive from
 
     A term found in a third of all documents is a skewed key of the df join
     at build time, which AQE splits.
@@ -62,6 +70,7 @@ class KeywordIndex:
     postings: DataFrame
     terms: DataFrame
     field_stats: DataFrame
+    counts: DataFrame
     k1: float = K1
     b: float = B
 
@@ -74,12 +83,20 @@ class KeywordIndex:
         statistics and the postings all read them. The vocabulary (df per
         term) is a partial aggregation; its join back is left to the planner,
         which broadcasts it by its measured size or splits frequent terms."""
-        analysed = _analysed(docs.repartition(F.col(id_col)), id_col, fields, edge)
-        raw = materialize(
-            analysed.select("field", "id", "dl", F.explode("terms").alias("term"))
-            .groupBy("field", "term", "id", "dl")
-            .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        )
+        return KeywordIndex.of_counts(materialize(_term_counts(docs, fields, id_col, edge)), k1, b)
+
+    def refresh(self, docs: DataFrame, changed: DataFrame, fields: list[str], id_col: str = "id",
+                edge: bool = False) -> "KeywordIndex":
+        """B2: the index after a change. The counts of the documents named by
+        ``changed`` (column id) are replaced by those of ``docs``, the changed
+        documents that are still there; only these are analysed."""
+        kept = self.counts.join(changed.select("id").distinct(), "id", "left_anti")
+        counts = kept.unionByName(_term_counts(docs, fields, id_col, edge))
+        return KeywordIndex.of_counts(materialize(counts), self.k1, self.b)
+
+    @staticmethod
+    def of_counts(raw: DataFrame, k1: float = K1, b: float = B) -> "KeywordIndex":
+        """Vocabulary, statistics and weighted postings of term counts."""
         # per-document rows are local to a shard (no shuffle), then a tiny
         # per-field aggregation
         field_stats = (raw.groupBy("field", "id").agg(F.first("dl").alias("dl"))
@@ -89,7 +106,7 @@ class KeywordIndex:
                     .select("field", "term", "id", "tf", "dl",
                             bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"),
                                         F.col("n_docs"), k1, b).alias("w")))
-        return KeywordIndex(postings, terms, field_stats, k1, b)
+        return KeywordIndex(postings, terms, field_stats, raw, k1, b)
 
     def vocabulary(self) -> DataFrame:
         return self.terms.select("field", "term")
@@ -97,10 +114,15 @@ class KeywordIndex:
 
 # --------------------------------------------------------------------------- query side
 
-def validate_queries(queries: DataFrame, text_col: str = "text") -> DataFrame:
-    """Blank query text gets an error and is kept out of scoring."""
+def validate_queries(queries: DataFrame, text_col: str = "text", top_k_col: str | None = None) -> DataFrame:
+    """Blank query text and a top k outside 1..100 get an error; such
+    queries are kept out of scoring."""
     blank = F.col(text_col).isNull() | (tx.strip_ws(F.col(text_col)) == "")
-    return queries.withColumn("error", F.when(blank, F.lit("Empty query string")))
+    error = F.when(blank, F.lit("Empty query string"))
+    if top_k_col:
+        asked = F.coalesce(F.col(top_k_col), F.lit(0))
+        error = error.when(~asked.between(1, MAX_TOP_K), F.lit(f"top k must be 1 to {MAX_TOP_K}"))
+    return queries.withColumn("error", error)
 
 
 def query_terms(queries: DataFrame, fields: list[str], edge: bool = False,
@@ -382,6 +404,21 @@ def field_search(index: KeywordIndex, queries: DataFrame, field: str, k: int = 1
     return search(index, queries, [field], k=k, edge=False, **kw)
 
 
+def answers(index: KeywordIndex, queries: DataFrame, fields: list[str], top_k_col: str = "top_k",
+            qid: str = "query_id", text_col: str = "text", **how) -> tuple[DataFrame, DataFrame]:
+    """(one row per query -- its error or null, and its number of hits;
+    the hits). Each query asks for its own ``top_k_col``; a query in error
+    gets no hits and does not stop the others."""
+    checked = validate_queries(queries, text_col, top_k_col)
+    good = checked.where(F.col("error").isNull())
+    hits = search(index, good, fields, k=MAX_TOP_K, qid=qid, text_col=text_col, **how)
+    hits = (hits.join(good.select(F.col(qid).alias("query_id"), F.col(top_k_col).alias("_k")), "query_id")
+            .where(F.col("rank") <= F.col("_k")).drop("_k"))
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    rows = checked.select(F.col(qid).alias("query_id"), "error").join(n, "query_id", "left")
+    return rows.withColumn("hits", F.coalesce("hits", F.lit(0))), hits
+
+
 def documents_by_id(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """K6: requested ids with a found flag and the stored row when present."""
     found = docs.withColumn("_found", F.lit(True))

@@ -219,56 +219,82 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: str = "qu
 
 # --------------------------------------------------------------------------- approximate k-NN
 
-def train_cells(vectors: DataFrame, n_cells: int, vec_col: str = "embedding", seed: int = 7,
-                max_iter: int = 20):
-    """k-means cells over unit vectors (spherical k-means by normalising first)."""
+MAX_CELLS = 4096       # most centres of a cell index; they go to every task
+PROBED = 0.7           # share of the cells a query is scored in, unless told
+
+
+def sample_centres(vectors: DataFrame, n_cells: int | None = None, vec_id: str = "id",
+                   vec_col: str = "embedding") -> DataFrame:
+    """Centres for ``knn_ivf``: (cell, centre), the vectors whose ids have the
+    smallest MD5, a sample that needs no training and is the same on every
+    run. As many as the square root of the rows, at most MAX_CELLS, unless
+    ``n_cells`` says so."""
+    if n_cells is None:
+        n_cells = math.ceil(math.sqrt(vectors.count()))
+    n_cells = max(1, min(n_cells, MAX_CELLS))
+    key = F.md5(F.col(vec_id).cast("string"))
+    chosen = vectors.orderBy(key, vec_id).limit(n_cells)  # a bounded table, so one window over it is too
+    place = Window.orderBy(F.md5(F.col(vec_id).cast("string")), vec_id)
+    return chosen.select((F.row_number().over(place) - 1).alias("cell"), F.col(vec_col).alias("centre"))
+
+
+def train_centres(vectors: DataFrame, n_cells: int, vec_col: str = "embedding", seed: int = 7,
+                  max_iter: int = 20) -> DataFrame:
+    """Centres by k-means over unit vectors (spherical, by normalising first)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     feats = vectors.select(array_to_vector(F.transform(F.col(vec_col), lambda x: x.cast("double")
                                                        / _norm(F.col(vec_col)))).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
-    return model
+    return vectors.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
 
 
-def _nearest_cells(df: DataFrame, id_col: str, vec_col: str, centers: np.ndarray, nprobe: int,
-                   spark) -> DataFrame:
-    bc = spark.sparkContext.broadcast(_unit(centers))
+def _nearest_cells(df: DataFrame, id_col: str, centres: np.ndarray, nprobe: int) -> DataFrame:
+    """Each vector (id, vec) once for each of its ``nprobe`` nearest cells, by
+    rounded cosine, ties to the lower cell."""
+    bc = df.sparkSession.sparkContext.broadcast(_unit(centres))
+    scale = 10 ** COS_DECIMALS
 
     def run(batches):
         cen = bc.value
+        p = min(nprobe, len(cen))
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            m = _unit(np.stack(pdf[vec_col].to_numpy()))
-            sims = m @ cen.T
-            p = min(nprobe, cen.shape[0])
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :p]
-            yield pd.DataFrame({"rid": np.repeat(pdf[id_col].to_numpy(dtype=np.int64), p),
-                                "cell": top.reshape(-1).astype(np.int32)})
-
-    return df.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInPandas(run, "rid long, cell int")
-
-
-def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int = 10, n_cells: int = 16, nprobe: int = 4,
-            query_id: str = "query_id", query_vec: str = "embedding", vec_id: str = "id",
-            vec_col: str = "embedding", q_block_rows: int = 4096, v_block_rows: int = 16384,
-            model=None) -> DataFrame:
-    """V4: approximate k-NN. Vectors live in one k-means cell each; a query is
-    scored exactly against the vectors of its ``nprobe`` nearest cells. The
-    centre matrix is n_cells x dim (bounded by the parameter), so it is the
-    only thing broadcast. Hot cells are split into bounded blocks."""
-    spark = vectors.sparkSession
-    if model is None:
-        model = train_cells(vectors, n_cells, vec_col)
-    centers = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+            far = -np.rint(_unit(np.stack(pdf["vec"].to_numpy())) @ cen.T * scale).astype(np.int64)
+            top = np.argsort(far, axis=1, kind="stable")[:, :p]
+            out = pdf.loc[pdf.index.repeat(p)]
+            yield out.assign(cell=top.reshape(-1).astype(np.int32))
+
+    schema = T.StructType([*df.select(id_col, "vec").schema.fields, T.StructField("cell", T.IntegerType())])
+    return df.select(id_col, "vec").mapInPandas(run, schema)
+
+
+def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int = 10, centres: DataFrame | None = None,
+            nprobe: int | None = None, query_id: str = "query_id", query_vec: str = "embedding",
+            vec_id: str = "id", vec_col: str = "embedding", q_block_rows: int = 4096,
+            v_block_rows: int = 16384) -> DataFrame:
+    """V4: approximate k-NN. Every vector lives in the cell of its nearest
+    centre; a query is scored exactly against the vectors of its ``nprobe``
+    nearest cells. ``centres`` (cell, centre; at most MAX_CELLS rows, checked)
+    come from ``sample_centres`` or ``train_centres`` and are the only thing
+    broadcast. Vectors travel once, with their cell; hot cells are split into
+    bounded blocks."""
+    if centres is None:
+        centres = sample_centres(vectors, vec_id=vec_id, vec_col=vec_col)
+    rows = centres.orderBy("cell").limit(MAX_CELLS + 1).collect()
+    if not rows:
+        raise ValueError("no centres")
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} centres")
+    matrix = np.array([r["centre"] for r in rows], dtype=np.float64)
+    nprobe = nprobe or max(1, math.ceil(PROBED * len(rows)))
     v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
-    vcell = _nearest_cells(v, "id", "vec", centers, 1, spark).withColumnRenamed("rid", "id")
-    qcell = _nearest_cells(q, "query_id", "vec", centers, nprobe, spark).withColumnRenamed("rid", "query_id")
-    vv = v.join(vcell, "id")
-    qq = q.join(qcell, "query_id")
-    pairs = _knn_blocked(qq, vv, k, ["cell"], q_block_rows, v_block_rows)
+    pairs = _knn_blocked(_nearest_cells(q, "query_id", matrix, nprobe), _nearest_cells(v, "id", matrix, 1), k,
+                         ["cell"], q_block_rows, v_block_rows)
     return _finish(pairs, k)
 
 
@@ -278,5 +304,5 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     hit = exact.select("query_id", "id").join(approx.select("query_id", "id", F.lit(1).alias("h")),
                                               ["query_id", "id"], "left")
     per_q = hit.groupBy("query_id").agg((F.sum(F.coalesce("h", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
-    mean = per_q.agg(F.avg("recall").alias("mean_recall")).withColumn("_k", F.lit(1))
+    mean = per_q.agg(F.round(F.avg("recall"), 6).alias("mean_recall")).withColumn("_k", F.lit(1))
     return per_q.withColumn("_k", F.lit(1)).join(F.broadcast(mean), "_k").drop("_k")

@@ -17,7 +17,7 @@ from altfinder.operators import keyword as kw
 from altfinder.operators import clean as cl
 from altfinder.operators import vectors as vx
 from altfinder.schemas import TEXT_FIELDS
-from altfinder.session import materialize, read_table, spread
+from altfinder.session import materialize, read_stream, read_table, scratch, spread
 from altfinder.sources.catalog import INVENTORY_SQL, inventory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,9 +86,6 @@ def keyword_bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score", "total_hits")
 
 
-FLAGSHIP = "keyword_bm25_documents"
-
-
 # --------------------------------------------------------------------------- SQL fragments
 
 WS = tx.WS_CLASS
@@ -284,8 +281,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("vector_knn_exact", VEC_SQL)
 def vector_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector's 10 nearest vectors by cosine (size-checked broadcast of
-    the query matrix, no shuffle of the vector table)."""
+    """Every vector's 10 nearest vectors by cosine."""
     v = _vectors(spark, sf_dir)
     return vx.knn(v.withColumnRenamed("id", "query_id"), v, k=10)
 
@@ -298,19 +294,52 @@ def vector_knn_exact_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
                   q_block_rows=128, v_block_rows=128)
 
 
-@register("vector_knn_ivf")
+IVF_CTES = f"""v AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {EMB_DIM}
+    AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0
+),
+n AS (SELECT least(ceil(sqrt(count(*))), {vx.MAX_CELLS}) AS cells FROM v),
+c AS (SELECT * FROM (SELECT e AS ce, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS cell FROM v)
+      WHERE cell < (SELECT cells FROM n)),
+near AS (
+  SELECT v.id, v.e, c.cell,
+         row_number() OVER (PARTITION BY v.id ORDER BY round(list_cosine_similarity(v.e, c.ce), 6) DESC, c.cell) AS place
+  FROM v CROSS JOIN c
+),
+si AS (
+  SELECT q.id AS query_id, x.id, round(list_cosine_similarity(q.e, x.e), 6) AS cosine
+  FROM near q JOIN near x ON q.cell = x.cell AND x.place = 1
+  WHERE q.place <= (SELECT ceil({vx.PROBED} * cells) FROM n)
+),
+ri AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS INTEGER) AS rank FROM si
+)"""
+
+
+@register("vector_knn_ivf", f"""WITH {IVF_CTES}
+SELECT query_id, rank, id, cosine, (1 + cosine) / 2 AS score FROM ri WHERE rank <= 10""")
 def vector_knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4: approximate top 10 over 16 k-means cells, 4 probed per query."""
+    """V4: approximate top 10 over as many cells as the square root of the
+    rows, 0.7 of them probed per query."""
     v = _vectors(spark, sf_dir)
-    return vx.knn_ivf(v.withColumnRenamed("id", "query_id"), v, k=10, n_cells=16, nprobe=4)
+    return vx.knn_ivf(v.withColumnRenamed("id", "query_id"), v, k=10)
 
 
-@register("vector_ivf_recall")
+@register("vector_ivf_recall", f"""WITH {IVF_CTES},
+se AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a, v b),
+re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM se),
+h AS (
+  SELECT re.query_id, count(ri.id) / count(*) AS recall
+  FROM re LEFT JOIN ri ON ri.query_id = re.query_id AND ri.id = re.id AND ri.rank <= 10
+  WHERE re.rank <= 10 GROUP BY re.query_id
+)
+SELECT query_id, recall, (SELECT round(avg(recall), 6) FROM h) AS mean_recall FROM h""")
 def vector_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4 quality: recall@10 of the approximate search against the exact one."""
     v = _vectors(spark, sf_dir)
     q = v.withColumnRenamed("id", "query_id")
-    return vx.recall_at_k(vx.knn_ivf(q, v, k=10, n_cells=16, nprobe=4), vx.knn(q, v, k=10))
+    return vx.recall_at_k(vx.knn_ivf(q, v, k=10), vx.knn(q, v, k=10))
 
 
 # --------------------------------------------------------------------------- H1-H5, P5-P7, V1, V2
@@ -830,12 +859,14 @@ from altfinder.operators import ingest as ing  # noqa: E402
 
 
 def _first_run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress after a first run that covered the English and French
-    documents: completed when the text has words, failed otherwise."""
-    docs = read_table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr"))
-    ok = F.size(tx.standard_terms(F.col("text"))) > 0
+    """Progress after a first run that embedded the English and French
+    documents (completed when the text has words, failed otherwise) and
+    skipped the others."""
+    docs = read_table(spark, sf_dir, "documents")
+    ok = F.col("lang").isin("en", "fr") & (F.size(tx.standard_terms(F.col("text"))) > 0)
     rows = docs.select(F.col("doc_id").alias("product_id"),
-                       F.when(ok, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
+                       F.when(~F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False)), F.lit("skipped"))
+                       .when(ok, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
                        F.when(ok, F.lit(EMB_DIM)).alias("embedding_dimension"),
                        F.length("text").alias("text_length"))
     empty = spark.createDataFrame([], ing.PROGRESS_SCHEMA)
@@ -844,8 +875,9 @@ def _first_run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PROGRESS_SQL = f"""prog AS (
   SELECT doc_id AS product_id,
-         CASE WHEN len({std_terms_sql('text')}) > 0 THEN 'completed' ELSE 'failed' END AS status
-  FROM documents WHERE lang IN ('en', 'fr')
+         CASE WHEN NOT coalesce(lang IN ('en', 'fr'), false) THEN 'skipped'
+              WHEN len({std_terms_sql('text')}) > 0 THEN 'completed' ELSE 'failed' END AS status
+  FROM documents
 )"""
 
 
@@ -883,12 +915,8 @@ ORDER BY doc_id LIMIT 100""")
 def resume_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I5 (reference mode) + S2: the next batch of 100 rows above the
     high-water mark, in id order (a key-range scan; the limit is the batch)."""
-    from altfinder.sources.catalog import key_range
-
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    mark = ing.high_water_mark(_first_run_progress(spark, sf_dir))
-    pend = ing.pending(docs, _first_run_progress(spark, sf_dir), mode="mark")
-    return pend.orderBy("id").limit(100) if mark is not None else key_range(docs, -1, 100)
+    return ing.pending(docs, _first_run_progress(spark, sf_dir), mode="mark", limit=100)
 
 
 # --------------------------------------------------------------------------- B1, R1-R5
@@ -899,14 +927,17 @@ from altfinder.operators import upload as upl  # noqa: E402
 
 def _upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upload built from the part table: most rows update stored items,
-    expensive parts arrive as new items (some repeated), some cells blank."""
+    some are new items (a few of them repeated), some have no item number,
+    some no item number, name and brand, and some cells are blank."""
     p = read_table(spark, sf_dir, "part")
-    item = F.when(F.col("p_retailprice") > 1950, F.concat(F.lit("NW"), (F.col("p_partkey") % 97).cast("string"))) \
-        .otherwise(F.concat(F.lit("IT"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")))
+    k = F.col("p_partkey")
+    item = F.when(k % 60 == 11, F.lit("")).when(k % 50 == 7, F.lit("")) \
+        .when(k % 40 == 3, F.concat(F.lit("NW"), (k % 31).cast("string"))) \
+        .otherwise(F.concat(F.lit("IT"), F.lpad(k.cast("string"), 6, "0")))
     return upl.valid_rows(p.select(
-        (F.col("p_partkey") + 1).alias("ordinal"), item.alias("item_number"),
-        F.when(F.col("p_size") > 40, F.lit("")).otherwise(F.concat("p_name", F.lit(" v2"))).alias("item_name"),
-        F.when(F.col("p_retailprice") < 950, F.lit("  ")).otherwise(F.col("p_brand")).alias("brand"),
+        (k + 1).alias("ordinal"), item.alias("item_number"),
+        F.when((F.col("p_size") > 40) | (k % 60 == 11), F.lit("")).otherwise(F.concat("p_name", F.lit(" v2"))).alias("item_name"),
+        F.when(k % 60 == 11, F.lit("")).when(F.col("p_retailprice") < 950, F.lit("  ")).otherwise(F.col("p_brand")).alias("brand"),
         F.lit("").alias("catalog_number"),
         F.concat("p_type", F.lit(" rev")).alias("description")))
 
@@ -915,10 +946,11 @@ _UPLOAD_FIELDS_SQL = ["item_name", "brand", "catalog_number", "description"]
 UPLOAD_CTES = f"""inv AS ({INVENTORY_SQL}),
 up0 AS (
   SELECT p_partkey + 1 AS ordinal,
-         CASE WHEN p_retailprice > 1950 THEN concat('NW', CAST(p_partkey % 97 AS VARCHAR))
+         CASE WHEN p_partkey % 60 = 11 OR p_partkey % 50 = 7 THEN ''
+              WHEN p_partkey % 40 = 3 THEN concat('NW', CAST(p_partkey % 31 AS VARCHAR))
               ELSE concat('IT', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) END AS item_number,
-         CASE WHEN p_size > 40 THEN '' ELSE concat(p_name, ' v2') END AS item_name,
-         CASE WHEN p_retailprice < 950 THEN '  ' ELSE p_brand END AS brand,
+         CASE WHEN p_size > 40 OR p_partkey % 60 = 11 THEN '' ELSE concat(p_name, ' v2') END AS item_name,
+         CASE WHEN p_partkey % 60 = 11 THEN '' WHEN p_retailprice < 950 THEN '  ' ELSE p_brand END AS brand,
          '' AS catalog_number, concat(p_type, ' rev') AS description
   FROM part
 ),
@@ -930,7 +962,7 @@ stored AS (SELECT DISTINCT item_number FROM inv WHERE item_number IS NOT NULL),
 agg AS (
   SELECT item_number, min(ordinal) AS first_ord,
          {', '.join(f'arg_max({f}, ordinal) FILTER (WHERE {f} IS NOT NULL) AS n_{f}' for f in _UPLOAD_FIELDS_SQL)}
-  FROM up GROUP BY item_number
+  FROM up WHERE item_number <> '' GROUP BY item_number
 )"""
 
 
@@ -940,10 +972,11 @@ o AS (
                 OR row_number() OVER (PARTITION BY item_number ORDER BY ordinal) > 1
               THEN 'updated' ELSE 'inserted' END AS outcome
   FROM up WHERE item_number IS NOT NULL AND item_number <> ''
+  UNION ALL SELECT 'error' FROM up WHERE item_number = ''
 )
 SELECT outcome, count(*) AS n FROM o GROUP BY outcome""")
 def catalog_upsert_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: inserted / updated counts of a bulk catalogue upload."""
+    """B1 + B5: inserted / updated / error counts of a bulk catalogue upload."""
     _, outcome, _ = upl.upsert_catalog(inventory(spark, sf_dir), _upload_rows(spark, sf_dir))
     return outcome.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
@@ -1084,10 +1117,14 @@ from altfinder.streaming import feedback_stream as fstream  # noqa: E402
 
 @register("feedback_stream_table", FOLD_TABLE_SQL)
 def feedback_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the same fold as ``feedback_table_after``, run as a stateful
-    Structured Streaming job over the feedback log split into time-ordered
-    files (availableNow, checkpointed, idempotent sink)."""
-    new = fstream.run_on_table(spark, dv.match_feedback(spark, sf_dir), dv.crossref_from_events(spark, sf_dir))
+    """the same fold as ``feedback_table_after``, run as a Structured
+    Streaming job over the files of the event log (availableNow, checkpointed,
+    state table replaced per micro-batch)."""
+    xref = dv.crossref_from_events(spark, sf_dir)
+    base = scratch(spark, "feedback-stream")
+    events = dv.feedback_of(read_stream(spark, sf_dir, "events"))
+    fstream.start(events, xref, f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    new = fstream.table(spark, xref, f"{base}/state")
     return new.select("item_number", F.posexplode("matches").alias("pos", "m")).select(
         "item_number", F.col("pos").cast("int").alias("pos"), F.col("m.r").alias("r"),
         F.col("m.l").alias("likes"), F.col("m.d").alias("dislikes"))
@@ -1104,11 +1141,12 @@ from altfinder.streaming import ingest_stream as istream  # noqa: E402
   CAST(length({combine_sql(['text'])}) AS INTEGER) AS text_length
 FROM documents""")
 def ingest_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I1 + I5 + I6: every document embedded by the streaming ingest (three
-    id-range files, one micro-batch each); the progress table it leaves."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    _, prog = istream.run_on_table(spark, docs, ["text"], EMB_DIM, RUN_TS)
-    return prog.select("product_id", "status", "embedding_dimension", "text_length")
+    """I1 + I5 + I6: every document embedded by the streaming ingest over the
+    files of the documents table; the progress table it leaves."""
+    base = scratch(spark, "ingest-stream")
+    docs = read_stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    istream.start(docs, f"{base}/outcomes", f"{base}/checkpoint", EMB_DIM, RUN_TS, ["text"]).awaitTermination()
+    return ing.progress(spark, f"{base}/outcomes").select("product_id", "status", "embedding_dimension", "text_length")
 
 
 # --------------------------------------------------------------------------- B2-B4: match every uploaded row
@@ -1117,11 +1155,14 @@ from altfinder.plans import upload_job as uj  # noqa: E402
 
 
 def _part_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upload file: every row of ``part``, as a supplier would send it."""
+    """An upload file: every row of ``part``, as a supplier would send it;
+    some rows repeat the item before them, are new, or have no item number."""
     p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    item = F.when(k % 50 == 7, F.lit("")).when(k % 40 == 3, F.concat(F.lit("NW"), (k % 31).cast("string"))) \
+        .otherwise(F.concat(F.lit("IT"), F.lpad((k - F.when(k % 30 == 4, 1).otherwise(0)).cast("string"), 6, "0")))
     return upl.valid_rows(p.select(
-        (F.col("p_partkey") + 1).alias("ordinal"),
-        F.concat(F.lit("IT"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("item_number"),
+        (F.col("p_partkey") + 1).alias("ordinal"), item.alias("item_number"),
         F.concat(F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" in.")).alias("item_name"),
         F.col("p_brand").alias("brand"), F.lit("").alias("catalog_number"),
         F.concat("p_type", F.lit(" "), "p_name").alias("description")))
@@ -1138,11 +1179,24 @@ def upload_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("upload_summary")
 def upload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total rows, rows with matches, not in the catalogue, errors."""
-    job = uj.run(inventory(spark, sf_dir), _part_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS)
+    """Total rows, rows with matches, not in the catalogue, errors, and
+    the matches that the user removed (the second of some items)."""
+    upload = _part_upload(spark, sf_dir)
+    removed = upload.where("item_number <> '' and ordinal % 10 = 3").select(
+        F.col("item_number").alias("source_item"), F.lit(1).alias("match_idx"))
+    job = uj.run(inventory(spark, sf_dir), upload, top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS, exclusions=removed)
     return job.summary
 
 
+@register("upload_row_results")
+def upload_row_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 + B5: one result per uploaded row when the upload is only matched
+    against the catalogue as it is, so new items are not found."""
+    job = uj.run(inventory(spark, sf_dir), _part_upload(spark, sf_dir), top_k=10, dim=HYBRID_DIM, run_ts=RUN_TS,
+                 insert=False)
+    return job.rows
+
+
 # --------------------------------------------------------------------------- oracle for lifecycle A
 
 from altfinder.functions import attributes as atr  # noqa: E402
@@ -1261,7 +1315,10 @@ ORACLE["substitutes_source_counts"] = SUBSTITUTE_COUNTS_SQL
 
 # --------------------------------------------------------------------------- oracle for the upload flow
 
-_PART_UPLOAD_SQL = """SELECT p_partkey + 1 AS ordinal, concat('IT', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) AS item_number,
+_PART_UPLOAD_SQL = """SELECT p_partkey + 1 AS ordinal,
+         CASE WHEN p_partkey % 50 = 7 THEN '' WHEN p_partkey % 40 = 3 THEN concat('NW', CAST(p_partkey % 31 AS VARCHAR))
+              ELSE concat('IT', lpad(CAST(p_partkey - CASE WHEN p_partkey % 30 = 4 THEN 1 ELSE 0 END AS VARCHAR), 6, '0'))
+         END AS item_number,
          concat(p_name, ' ', CAST(p_size AS VARCHAR), ' in.') AS item_name, p_brand AS brand,
          '' AS catalog_number, concat(p_type, ' ', p_name) AS description
   FROM part"""
@@ -1304,13 +1361,34 @@ ORACLE["upload_summary"] = f"""WITH {UPLOAD_SUBST_CTES},
 res AS (
   SELECT DISTINCT r.src_item FROM ranked r JOIN cat1 c ON c.item_number = r.item_number WHERE r.match_rank <= 10
 ),
-req AS (SELECT DISTINCT item_number FROM up WHERE item_number IS NOT NULL AND item_number <> '')
+gone AS (
+  SELECT count(*) AS n FROM ranked r JOIN cat1 c ON c.item_number = r.item_number
+  WHERE r.match_rank = 2 AND r.src_item IN (SELECT item_number FROM up WHERE ordinal % 10 = 3 AND item_number <> '')
+)
 SELECT count(*) AS total,
        count(*) FILTER (WHERE item_number IN (SELECT src_item FROM res)) AS with_matches,
-       count(*) FILTER (WHERE item_number NOT IN (SELECT item_number FROM inv WHERE item_number IS NOT NULL))
+       count(*) FILTER (WHERE item_number <> '' AND
+                        item_number NOT IN (SELECT item_number FROM inv WHERE item_number IS NOT NULL))
          AS not_in_inventory,
-       CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS removed_matches
-FROM req
+       count(*) FILTER (WHERE item_number = '') AS errors, (SELECT n FROM gone) AS removed_matches
+FROM up
+"""
+
+STORED_INV_CTE = f"""inv AS ({INVENTORY_SQL}),
+up0 AS ({_PART_UPLOAD_SQL}),
+up AS (SELECT * FROM up0 WHERE item_number <> '' OR item_name <> '' OR brand <> '')"""
+
+ORACLE["upload_row_results"] = f"""WITH {substitutes_ctes(10, STORED_INV_CTE, UPLOAD_SRC_WHERE)},
+res AS (
+  SELECT r.src_item, count(*) AS n FROM ranked r JOIN cat1 c ON c.item_number = r.item_number
+  WHERE r.match_rank <= 10 GROUP BY r.src_item
+)
+SELECT up.ordinal, up.item_number,
+       CASE WHEN up.item_number = '' THEN 'error'
+            WHEN up.item_number NOT IN (SELECT item_number FROM inv WHERE item_number IS NOT NULL) THEN 'not_found'
+            WHEN res.n > 0 THEN 'matched' ELSE 'no_match' END AS status,
+       coalesce(res.n, 0) AS n_matches, CASE WHEN up.item_number = '' THEN 'missing item number' END AS error
+FROM up LEFT JOIN res ON res.src_item = up.item_number
 """
 
 
@@ -1385,8 +1463,7 @@ def keyword_rerank_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("match_requests_inventory", f"""WITH {hybrid_ctes()},
 lines AS (
   SELECT c.query_id, CAST(floor((c.position - 1) / 50) AS INTEGER) AS batch, c.position,
-         '- wise_item_number: ' || coalesce(c.item_number, 'None') || ', win_item_name: ' ||
-         coalesce(c.item_name, 'None') AS line
+         coalesce(c.item_number, '(none)') || ': ' || coalesce(c.item_name, '(none)') AS line
   FROM cand c
 ),
 per_batch AS (
@@ -1394,13 +1471,13 @@ per_batch AS (
   GROUP BY query_id, batch
 )
 SELECT pb.query_id, pb.batch,
-       '## Source Product (What we''re looking for matches for)' || chr(10) ||
-       '- Query Text: ' || coalesce(i.item_name, '') || chr(10) ||
-       '- WISE Item Number: ' || coalesce(i.item_number, 'None') || chr(10) ||
-       '- Product Name: ' || coalesce(i.item_name, 'None') || chr(10) || chr(10) ||
-       '## Candidate Products to Evaluate' || chr(10) || pb.candidates_text || chr(10) || chr(10) ||
-       'Evaluate each candidate against the source product. Return JSON array with ' ||
-       'match_score and varying_attributes for each.' AS request
+       'SOURCE ITEM ' || coalesce(i.item_number, '(none)') || chr(10) ||
+       'name: ' || coalesce(i.item_name, '(none)') || chr(10) ||
+       'searched as: ' || coalesce(i.item_name, '') || chr(10) || chr(10) ||
+       'CANDIDATES' || chr(10) || pb.candidates_text || chr(10) || chr(10) ||
+       'REPLY' || chr(10) ||
+       'A JSON array with one object {{"r": "ITEM|SCORE|ATTRIBUTES"}} per candidate that can ' ||
+       'replace the source; SCORE is 0 to 100, ATTRIBUTES lists what differs, parted by commas.' AS request
 FROM per_batch pb JOIN inv i ON i.id = pb.query_id""")
 def match_requests_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2 + M3: the scoring request text of every (source, batch of 50

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -82,11 +83,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
+def read_stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
+    """A table as a stream of its files. The path of a stream must be a folder
+    or a pattern, and a table may be one file, so it is named by a pattern."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(path[:-1] + "[t]")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder, for a job's own tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:

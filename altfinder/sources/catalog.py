@@ -1,4 +1,4 @@
-"""Catalogue sources: scan (S1), key-range scan (S2), profile (S3) and the
+"""Catalogue sources: key-range scan (S2), profile (S3) and the
 catalogue shape derived from the driver's part / lineitem / supplier tables."""
 
 from __future__ import annotations
@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from altfinder.schemas import TEXT_FIELDS
 from altfinder.session import read_table
 
 
@@ -63,11 +62,6 @@ LEFT JOIN supplier s ON s.s_suppkey = t.l_suppkey
 """
 
 
-def scan(df: DataFrame, fields: list[str] = TEXT_FIELDS, id_col: str = "id") -> DataFrame:
-    """Id plus the text fields; column pruning reaches the file scan."""
-    return df.select(id_col, *fields)
-
-
 def key_range(df: DataFrame, after_id, limit: int | None = None, id_col: str = "id") -> DataFrame:
     """Rows with id above the mark, ordered; with a limit this plans as a
     TakeOrderedAndProject (a per-partition top-n, no full sort)."""

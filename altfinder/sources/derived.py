@@ -34,7 +34,11 @@ def _counter(props) -> F.Column:
 
 
 def match_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    return feedback_of(read_table(spark, sf_dir, "events"))
+
+
+def feedback_of(ev: DataFrame) -> DataFrame:
+    """The feedback in an event log, static or streaming."""
     return ev.where(F.col("event_type").isin("purchase", "error")).select(
         "event_id", "ts",
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("source_item"),

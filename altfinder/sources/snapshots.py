@@ -1,92 +1,81 @@
-"""Keyed snapshot tables.
-
-A table is a folder of versions ``v=00001, v=00002, ...`` on shared storage.
-A write never touches a version that may be read: it builds the next
-version from the current one plus the new rows and writes it to a new
-folder; readers pick the highest complete version (a ``_SUCCESS`` marker is
-written by Spark's committer). If an executor is lost mid-write, the
-half-written folder has no marker and is ignored; the retry writes it again.
+"""Keyed tables.
+
+``keyed_merge`` is the merge itself; ``keyed_write`` writes its result and the
+rejects to folders that the caller names. A table that grows by runs or
+micro-batches is a folder of epochs: each run appends what it changed as
+``epoch=N`` and overwrites only that when it is repeated, ``latest`` reads one
+row per key, and ``merged`` says which epochs hold a whole table, so that
+reading never goes back further than a fixed number of epochs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MERGE_EVERY = 20
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions under ``base`` (folders with a _SUCCESS marker)."""
-    p, fs = _fs(spark, base)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v="):
-            marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
-            if fs.exists(marker):
-                out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_latest(spark: SparkSession, base: str, schema=None) -> DataFrame | None:
-    vs = versions(spark, base)
-    if not vs:
-        return spark.createDataFrame([], schema) if schema is not None else None
-    return spark.read.parquet(f"{base}/v={vs[-1]:05d}")
-
-
-def write_version(df: DataFrame, base: str, sort_key: str | None = None) -> str:
-    """Write ``df`` as the next version; returns its path. Sorting inside
-    files by the key keeps row-group statistics tight, so key lookups and
-    key-range scans (S2) skip most of the data."""
-    spark = df.sparkSession
-    vs = versions(spark, base)
-    path = f"{base}/v={(vs[-1] + 1) if vs else 1:05d}"
-    out = df.sortWithinPartitions(sort_key) if sort_key else df
-    out.write.mode("overwrite").parquet(path)
+
+def epoch_path(base: str, epoch: int) -> str:
+    return f"{base.rstrip('/')}/epoch={epoch}"
+
+
+def write_epoch(df: DataFrame, base: str, epoch: int) -> str:
+    """Write what one run or micro-batch changed; a repeat replaces it."""
+    path = epoch_path(base, epoch)
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
-def keyed_merge(old: DataFrame | None, new: DataFrame, key: str = "id", order_col: str | None = None,
+def merged(epoch: int, every: int = MERGE_EVERY) -> bool:
+    """Whether this epoch is written as a whole table."""
+    return epoch % every == 0
+
+
+def latest(spark: SparkSession, base: str, keys: list[str], before: int | None = None,
+           every: int | None = None) -> DataFrame:
+    """One row per key, from the last epoch that has it. ``before`` leaves out
+    that epoch and later ones; with ``every`` the epochs before the last whole
+    table are not read either."""
+    rows = spark.read.parquet(base)
+    if before is not None:
+        rows = rows.where(F.col("epoch") < before)
+        if every:
+            rows = rows.where(F.col("epoch") >= max((before - 1) // every * every, -1))
+    return last_per_key(rows, keys, F.col("epoch")).drop("epoch")
+
+
+def last_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """One row per key, the last in ``order``; rows that tie there are told
+    apart by their values. Grouped, so Spark merges before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest)))
+    return rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*")
+
+
+def keyed_merge(old: DataFrame | None, new: DataFrame, key: str = "id", *, order_col: str,
                 recreate: bool = False) -> DataFrame:
     """Last write per key wins. ``new`` rows win over ``old``; within
-    ``new`` the highest ``order_col`` wins (load order). ``recreate`` drops
-    the old table (rebuild mode)."""
-    n = new.withColumn("_src", F.lit(1))
-    n = n.withColumn("_ord", F.col(order_col).cast("long") if order_col else F.lit(0).cast("long"))
-    if old is None or recreate:
-        both = n
-    else:
-        o = old.select(*[c for c in new.columns if c in old.columns]).withColumn("_src", F.lit(0)) \
-               .withColumn("_ord", F.lit(0).cast("long"))
-        both = n.unionByName(o, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.desc("_src"), F.desc("_ord"))
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_src", "_ord")
-
-
-def keyed_write(old: DataFrame | None, new: DataFrame, base: str, key: str = "id",
-                order_col: str | None = None, recreate: bool = False,
-                valid: "F.Column | None" = None) -> tuple[DataFrame, DataFrame, str]:
-    """S4/S5 with rejects: rows failing ``valid`` go to ``<base>_rejects``;
-    the rest are merged and written as the next version. Returns (table,
-    rejects, path); the table is read back from the written version."""
+    ``new`` the highest ``order_col`` wins (load order), which is not kept.
+    ``recreate`` drops the old table (rebuild mode)."""
+    rows = new.withColumn("_load", F.struct(F.lit(1), F.col(order_col).cast("long"))).drop(order_col)
+    if old is not None and not recreate:
+        columns = [c for c in rows.columns if c in old.columns]
+        kept = old.select(*columns).withColumn("_load", F.struct(F.lit(0), F.lit(None).cast("long")))
+        rows = rows.unionByName(kept, allowMissingColumns=True)
+    return last_per_key(rows, [key], F.col("_load")).drop("_load")
+
+
+def keyed_write(old: DataFrame | None, new: DataFrame, path: str, rejects_path: str, key: str = "id", *,
+                order_col: str, recreate: bool = False, valid: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """S4/S5 with rejects: rows failing ``valid`` (or without a key) go to
+    ``rejects_path``, the merged table to ``path``; both are replaced, so a
+    repeat leaves the same. Returns (table, rejects), read back."""
     spark = new.sparkSession
-    if valid is not None:
-        flagged = new.withColumn("_ok", F.coalesce(valid, F.lit(False)))
-        good, bad = flagged.where("_ok").drop("_ok"), flagged.where(~F.col("_ok")).drop("_ok")
-    else:
-        good, bad = new, new.limit(0)
-    merged = keyed_merge(old, good, key, order_col, recreate)
-    path = write_version(merged, base, key)
-    bad.write.mode("append").parquet(f"{base}_rejects")
-    return spark.read.parquet(path), spark.read.parquet(f"{base}_rejects"), path
+    good = F.col(key).isNotNull() if valid is None else F.col(key).isNotNull() & F.coalesce(valid, F.lit(False))
+    keyed_merge(old, new.where(good), key, order_col=order_col, recreate=recreate).write.mode("overwrite").parquet(path)
+    new.where(~good).write.mode("overwrite").parquet(rejects_path)
+    return spark.read.parquet(path), spark.read.parquet(rejects_path)
 
 
 def verify(table: DataFrame, expected_schema, expected_count: int | None = None) -> DataFrame:

@@ -1,144 +1,57 @@
 """the feedback fold as a Structured Streaming job.
 
-Events arrive as files; each event is joined to the stored list entries it
-names (stream-static join), grouped by list entry and folded with
-``applyInPandasWithState``: the state per entry is (likes, dislikes,
-removed). A micro-batch may bring several events of one entry; they are
-sorted by (ts, event_id) inside the group, so the result equals the batch
-fold (F1) whenever files arrive in time order. The sink is idempotent per
-epoch (one folder per batch id, overwritten on replay), and the checkpoint
-holds offsets and state, so a lost executor or a restarted driver resumes
-without double counting.
+The state is a table with a row per list entry (likes, dislikes, removed).
+Each micro-batch folds its events into the entries they name with the batch
+fold's own two-phase scan, so an entry that gets a third of all events is
+spread over many tasks, and appends the entries it touched as the epoch of its
+number; now and then an epoch is written whole, so reading the state does not
+slow down with time. A micro-batch reads only earlier epochs and replaces its
+own, so a replay counts nothing twice; the stream's checkpoint holds the
+offsets.
+
+Inside a micro-batch events apply in the order (ts, event_id), and micro-batches
+in the order of arrival, as requests do: the result equals one batch fold (F1)
+when no event arrives after a micro-batch that has later ones.
 """
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from altfinder.operators.crossref import entry_key
-from altfinder.operators.feedback import REMOVE_ABOVE, split_valid
-from altfinder.schemas import FEEDBACK_SCHEMA, MATCH_ARRAY
-from altfinder.session import checkpoint_dir
-
-OUT_SCHEMA = T.StructType([
-    T.StructField("source_item", T.StringType()), T.StructField("pos", T.IntegerType()),
-    T.StructField("likes", T.IntegerType()), T.StructField("dislikes", T.IntegerType()),
-    T.StructField("removed", T.BooleanType()), T.StructField("applied_events", T.LongType()),
-])
-STATE_SCHEMA = T.StructType([
-    T.StructField("likes", T.IntegerType()), T.StructField("dislikes", T.IntegerType()),
-    T.StructField("removed", T.BooleanType()), T.StructField("applied_events", T.LongType()),
-])
-
-
-def _fold_entry(key, pdfs, state):
-    if state.exists:
-        likes, dislikes, removed, applied = state.get
-    else:
-        likes = dislikes = None
-        removed, applied = False, 0
-    frames = [p for p in pdfs if len(p)]
-    if not frames:
-        return
-    rows = pd.concat(frames, ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    if likes is None:
-        likes, dislikes = int(rows["l0"].iloc[0]), int(rows["d0"].iloc[0])
-    for fb in rows["feedback"]:
-        if removed:
-            break
-        if fb == "like":
-            likes += 1
-        else:
-            dislikes += 1
-        applied += 1
-        if dislikes > REMOVE_ABOVE:
-            removed = True
-    state.update((likes, dislikes, removed, applied))
-    yield pd.DataFrame([{"source_item": key[0], "pos": int(key[1]), "likes": likes, "dislikes": dislikes,
-                         "removed": removed, "applied_events": applied}])
-
-
-def entries(crossref: DataFrame) -> DataFrame:
-    e = crossref.select("item_number", F.posexplode("matches").alias("pos", "m"))
-    return e.select(F.col("item_number").alias("source_item"), F.col("pos").cast("int").alias("pos"),
-                    entry_key(F.col("m.r")).alias("matched_item"),
-                    F.coalesce(F.col("m.l"), F.lit(0)).alias("l0"), F.coalesce(F.col("m.d"), F.lit(0)).alias("d0"))
-
-
-def start(spark: SparkSession, events_dir: str, crossref: DataFrame, sink_dir: str, checkpoint: str,
-          max_files_per_trigger: int = 1):
-    """Start the stream with ``availableNow``: it processes every file present
-    and stops. Returns the StreamingQuery."""
-    ev = (spark.readStream.schema(FEEDBACK_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-          .parquet(events_dir))
-    valid, _ = split_valid(ev)
-    joined = valid.join(entries(crossref), ["source_item", "matched_item"])
-    folded = joined.groupBy("source_item", "pos").applyInPandasWithState(
-        _fold_entry, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-
-    def sink(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch:08d}")
-
-    return (folded.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+from pyspark.sql.streaming.query import StreamingQuery
+
+from altfinder.operators import feedback as fb
+from altfinder.sources import snapshots as snap
+
+KEYS = ["source_item", "pos"]
+
+
+def start(events: DataFrame, crossref: DataFrame, state: str, checkpoint: str,
+          merge_every: int = snap.MERGE_EVERY) -> StreamingQuery:
+    """Start the stream over ``events``, a streaming DataFrame of feedback; it
+    processes every file present and stops. ``state`` is the folder of the
+    state table; a restart passes the same ``crossref``."""
+    spark = crossref.sparkSession
+    first = fb.entries(crossref).withColumn("removed", F.lit(False)).withColumn("last_ts", F.lit(None).cast("timestamp"))
+    snap.write_epoch(first, state, -1)
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        held = snap.latest(spark, state, KEYS, before=epoch, every=merge_every)
+        valid, _ = fb.split_valid(df)
+        after = fb.state_after(fb.applied(held.where("not removed").drop("removed", "last_ts"), valid))
+        after = after.select(*KEYS, F.col("l").alias("_l"), F.col("d").alias("_d"), F.col("removed").alias("_removed"),
+                             F.col("last_ts").alias("_ts"))
+        rows = held.join(after, KEYS, "left" if snap.merged(epoch, merge_every) else "inner")
+        snap.write_epoch(rows.select(
+            *KEYS, "matched_item", F.coalesce("_l", "l0").cast("int").alias("l0"),
+            F.coalesce("_d", "d0").cast("int").alias("d0"), F.coalesce("_removed", "removed").alias("removed"),
+            F.greatest("last_ts", "_ts").alias("last_ts")), state, epoch)
+
+    return (events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def latest_state(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """Latest state per list entry over all epochs written by the sink."""
-    s = spark.read.parquet(sink_dir)
-    w = Window.partitionBy("source_item", "pos").orderBy(F.desc("epoch"))
-    return s.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "epoch")
-
-
-def apply_state(crossref: DataFrame, state: DataFrame) -> DataFrame:
-    """Fold the streamed state back into the table (removed entries drop)."""
-    per_src = (state.groupBy("source_item")
-               .agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("likes", "dislikes", "removed"))))
-                    .alias("_u")).withColumnRenamed("source_item", "item_number"))
-    t = crossref.join(per_src, "item_number", "left")
-
-    def upd(m, i):
-        u = F.element_at(F.col("_u"), i)
-        return F.when(u.isNull(), F.struct(m["r"].alias("r"), m["l"].alias("l"), m["d"].alias("d"),
-                                          F.lit(False).alias("gone"))) \
-            .otherwise(F.struct(m["r"].alias("r"), u["likes"].alias("l"), u["dislikes"].alias("d"),
-                                u["removed"].alias("gone")))
-    edited = F.filter(F.transform("matches", upd), lambda x: ~x["gone"])
-    return t.select("item_number", F.when(F.col("_u").isNull(), F.col("matches")).otherwise(
-        F.transform(edited, lambda x: F.struct(x["r"].alias("r"), x["l"].alias("l"), x["d"].alias("d"))))
-        .cast(MATCH_ARRAY).alias("matches"))
-
-
-def run_on_table(spark: SparkSession, feedback: DataFrame, crossref: DataFrame, n_files: int = 3) -> DataFrame:
-    """Write ``feedback`` as ``n_files`` files, each a contiguous time range
-    (one range-partitioned write, no per-slice loop), to a fresh folder under
-    the session's checkpoint directory; stream them one file per micro-batch
-    in time order; return the table after the fold."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/feedback-stream-{uuid.uuid4().hex}"
-    (feedback.select(*[f.name for f in FEEDBACK_SCHEMA.fields])
-     .repartitionByRange(n_files, "ts", "event_id").sortWithinPartitions("ts", "event_id")
-     .write.mode("overwrite").parquet(f"{base}/staged"))
-    # The file source orders new files by modification time: publish the
-    # range files under ordered names with increasing times.
-    jvm = spark.sparkContext._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    ready = Path(f"{base}/events")
-    fs.mkdirs(ready)
-    staged = sorted((st.getPath() for st in fs.listStatus(Path(f"{base}/staged"))
-                     if st.getPath().getName().endswith(".parquet")), key=lambda p: p.getName())
-    t0 = 1_000_000_000_000
-    for k, path in enumerate(staged):
-        dst = Path(ready, f"f{k:06d}.parquet")
-        fs.rename(path, dst)
-        fs.setTimes(dst, t0 + k * 1000, -1)
-    q = start(spark, f"{base}/events", crossref, f"{base}/sink", f"{base}/checkpoint")
-    q.awaitTermination()
-    state = latest_state(spark, f"{base}/sink")
-    return apply_state(crossref, state)
+def table(spark: SparkSession, crossref: DataFrame, state: str) -> DataFrame:
+    """The cross-reference table with the streamed state in it."""
+    touched = snap.latest(spark, state, KEYS).where("last_ts is not null")
+    return fb.with_state(crossref, touched.select(*KEYS, F.col("l0").alias("l"), F.col("d0").alias("d"), "removed", "last_ts"))

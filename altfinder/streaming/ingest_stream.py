@@ -1,63 +1,29 @@
-"""I5 as a stream: new source files are embedded, written and recorded by a
-file-source stream with ``trigger(availableNow=True)``.
-
-Each micro-batch runs the one-batch job (I6): embed, merge into the vector
-table by id, record progress. Both writes are keyed merges into a new
-snapshot version, so replaying a micro-batch after a failure leaves the same
-tables behind; the checkpoint records which files are done, so a restart
-continues with the next file -- the resumable run of the reference without
-its high-water-mark gap.
+"""I5-I7 as a stream: new source files are embedded, written and recorded by
+a file-source stream with ``trigger(availableNow=True)``.
+
+Each micro-batch is one run of the batch job (I6), which appends its outcomes
+as the epoch of that number and replaces only that when it is repeated, so a
+replay after a failure leaves the same tables behind and the cost of a
+micro-batch does not grow with the table. The checkpoint records which files
+are done; a restart continues with the next -- the resumable run of the
+reference without its high-water-mark gap. Vectors, progress and reports are
+read with ``operators.ingest``.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.query import StreamingQuery
 
 from altfinder.operators import ingest as ing
-from altfinder.schemas import PROGRESS_SCHEMA
-from altfinder.session import checkpoint_dir
-from altfinder.sources import snapshots as snap
-
 
-def publish_in_order(spark: SparkSession, df: DataFrame, key: str, n_files: int, folder: str) -> None:
-    """Write ``df`` as ``n_files`` key-range files, published with increasing
-    modification times so a file-source stream reads them in key order."""
-    staged = f"{folder}_staged"
-    df.repartitionByRange(n_files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(staged)
-    jvm = spark.sparkContext._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(Path(folder))
-    files = sorted((st.getPath() for st in fs.listStatus(Path(staged)) if st.getPath().getName().endswith(".parquet")),
-                   key=lambda p: p.getName())
-    for k, p in enumerate(files):
-        dst = Path(Path(folder), f"f{k:06d}.parquet")
-        fs.rename(p, dst)
-        fs.setTimes(dst, 1_000_000_000_000 + k * 1000, -1)
 
-
-def start(spark: SparkSession, source_dir: str, schema, vectors_base: str, progress_base: str,
-          checkpoint: str, dim: int, fields: list[str], ts: str, embedder=None, max_files_per_trigger: int = 1):
+def start(rows: DataFrame, base: str, checkpoint: str, dim: int, ts, fields: list[str],
+          embedder=None) -> StreamingQuery:
+    """Start the stream over ``rows``, a streaming DataFrame of id and text
+    fields; it processes every file present and stops."""
     def batch(df: DataFrame, epoch: int) -> None:
-        _, rows, _ = ing.process(df, vectors_base, dim, ts, embedder=embedder, fields=fields)
-        old = snap.read_latest(spark, progress_base, PROGRESS_SCHEMA)
-        snap.write_version(ing.record(old, rows, ts), progress_base, "product_id")
+        ing.process(df, base, dim, ts, run=epoch, embedder=embedder, fields=fields)
 
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
-    return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def run_on_table(spark: SparkSession, source: DataFrame, fields: list[str], dim: int, ts: str,
-                 n_files: int = 3, embedder=None) -> tuple[DataFrame, DataFrame]:
-    """Stream ``source`` (id + text fields) through the ingest job in
-    ``n_files`` id-range files; returns (vector table, progress table)."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/ingest-stream-{uuid.uuid4().hex}"
-    publish_in_order(spark, source, "id", n_files, f"{base}/source")
-    q = start(spark, f"{base}/source", source.schema, f"{base}/vectors", f"{base}/progress",
-              f"{base}/checkpoint", dim, fields, ts, embedder)
-    q.awaitTermination()
-    return snap.read_latest(spark, f"{base}/vectors"), snap.read_latest(spark, f"{base}/progress", PROGRESS_SCHEMA)

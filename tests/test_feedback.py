@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from altfinder.operators import feedback as fb
 from altfinder.schemas import CROSSREF_SCHEMA
 from altfinder.streaming import feedback_stream as fs
@@ -33,15 +35,32 @@ def test_fold_removal_and_emptied_list(spark):
     assert {x["item_number"]: x["matches"] for x in new.collect()}["S"] == []
 
 
-def test_stream_equals_batch(spark):
-    t = table(spark, [("S", [("A|90|", None, None), ("B|80|", None, None), ("A|70|", 2, 4)])])
+def _streamed(spark, base, ev, t, n_files, merge_every):
+    """The fold by a stream that reads one file per micro-batch, in time order."""
+    import os
+    import shutil
+
+    os.makedirs(f"{base}/events")
+    cuts = sorted(r["ts"] for r in ev.select("ts").collect())
+    bounds = [cuts[len(cuts) * k // n_files] for k in range(n_files)] + [cuts[-1] + dt.timedelta(seconds=1)]
+    for k in range(n_files):
+        ev.where((F.col("ts") >= bounds[k]) & (F.col("ts") < bounds[k + 1])).coalesce(1).write.parquet(f"{base}/part{k}")
+        name = next(f for f in os.listdir(f"{base}/part{k}") if f.endswith(".parquet"))
+        shutil.copy(f"{base}/part{k}/{name}", f"{base}/events/f{k}.parquet")
+        os.utime(f"{base}/events/f{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+        rows = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+        fs.start(rows, t, f"{base}/state", f"{base}/checkpoint", merge_every).awaitTermination()
+    return fs.table(spark, t, f"{base}/state")
+
+
+def test_stream_equals_batch(spark, tmp_base):
+    t = table(spark, [("S", [("A|90|", None, None), ("B|80|", None, None), ("A|70|", 2, 4)]), ("N", [("A|1|", None, None)])])
     rows = [(h, "S", "A" if h % 3 else "B", "dislike" if h % 2 else "like") for h in range(40)]
     ev = events(spark, rows)
     batch, _ = fb.fold(t, ev)
-    stream = fs.run_on_table(spark, ev, t, n_files=4)
     norm = lambda df: sorted((r["item_number"], [(m["r"], m["l"], m["d"]) for m in r["matches"]])
                              for r in df.collect())
-    assert norm(batch) == norm(stream)
+    assert norm(batch) == norm(_streamed(spark, tmp_base, ev, t, 5, 3))  # restarted after each file, merged twice
 
 
 def _python_fold(lists, evs):

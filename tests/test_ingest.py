@@ -38,36 +38,40 @@ def test_batch_resume_equals_one_shot(spark, tmp_base):
     docs = spark.createDataFrame([(i, f"steel pipe {i}" if i % 4 else "the and") for i in range(1, 41)],
                                  "id long, text string")
     # one shot
-    _, rows1, _ = ing.process(docs, f"{tmp_base}/a", 16, TS, fields=["text"])
+    rows1 = ing.process(docs, f"{tmp_base}/a", 16, TS, fields=["text"])
     one = ing.record(spark.createDataFrame([], PROGRESS_SCHEMA), rows1, TS)
-    # two runs: first half, then whatever is pending
+    # two runs: first half, then whatever is pending; the second repeated
     prog = spark.createDataFrame([], PROGRESS_SCHEMA)
-    _, r_a, _ = ing.process(docs.where("id <= 20"), f"{tmp_base}/b", 16, TS, fields=["text"])
+    r_a = ing.process(docs.where("id <= 20"), f"{tmp_base}/b", 16, TS, fields=["text"])
     prog = ing.record(prog, r_a, TS)
     rest = ing.pending(docs, prog)
-    _, r_b, _ = ing.process(rest, f"{tmp_base}/b", 16, TS, fields=["text"])
+    for _ in range(2):
+        r_b = ing.process(rest, f"{tmp_base}/b", 16, TS, run=1, fields=["text"])
     two = ing.record(prog, r_b, TS)
     norm = lambda df: sorted((r["product_id"], r["status"]) for r in df.collect())
-    assert norm(one) == norm(two)
-    assert snap.read_latest(spark, f"{tmp_base}/b").count() == 30
+    assert norm(one) == norm(two) == norm(ing.progress(spark, f"{tmp_base}/b"))
+    assert ing.vectors(spark, f"{tmp_base}/b").count() == 30
+    got = {r["run"]: (r["rows"], r["embedded"], r["failed"]) for r in ing.reports(spark, f"{tmp_base}/b").collect()}
+    assert got == {0: (20, 15, 5), 1: (25, 15, 10)}
 
 
-def test_stream_ingest_equals_batch(spark):
+def test_stream_ingest_equals_batch(spark, tmp_base):
     docs = spark.createDataFrame([(i, f"brass elbow {i}" if i % 5 else "") for i in range(1, 31)],
                                  "id long, text string")
-    vec, prog = ist.run_on_table(spark, docs, ["text"], 16, TS, n_files=3)
-    st = {r["product_id"]: r["status"] for r in prog.collect()}
+    docs.repartition(3, "id").write.parquet(f"{tmp_base}/source")
+    rows = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_base}/source")
+    ist.start(rows, f"{tmp_base}/out", f"{tmp_base}/checkpoint", 16, TS, ["text"]).awaitTermination()
+    st = {r["product_id"]: r["status"] for r in ing.progress(spark, f"{tmp_base}/out").collect()}
     assert len(st) == 30 and sum(v == "completed" for v in st.values()) == 24
-    assert vec.count() == 24
+    assert ing.vectors(spark, f"{tmp_base}/out").count() == 24
 
 
-def test_snapshot_versions_and_verify(spark, tmp_base):
-    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
-    b = spark.createDataFrame([(2, "z"), (3, "w"), (None, "bad")], "id long, v string")
-    t1, _, p1 = snap.keyed_write(None, a, f"{tmp_base}/t", valid=F.col("id").isNotNull())
-    t2, rej, p2 = snap.keyed_write(t1, b, f"{tmp_base}/t", valid=F.col("id").isNotNull())
-    assert p1.endswith("v=00001") and p2.endswith("v=00002")
+def test_keyed_write_and_verify(spark, tmp_base):
+    a = spark.createDataFrame([(1, "x", 0), (2, "y", 0)], "id long, v string, load int")
+    b = spark.createDataFrame([(2, "z", 1), (2, "q", 0), (3, "w", 0), (None, "bad", 0)], a.schema)
+    t1, _ = snap.keyed_write(None, a, f"{tmp_base}/t1", f"{tmp_base}/r1", order_col="load")
+    t2, rej = snap.keyed_write(t1, b, f"{tmp_base}/t2", f"{tmp_base}/r2", order_col="load")
     assert sorted(map(tuple, t2.collect())) == [(1, "x"), (2, "z"), (3, "w")]
     assert rej.count() == 1
-    v = snap.verify(t2, a.schema, 3).first()
+    v = snap.verify(t2, t1.schema, 3).first()
     assert v["schema_ok"] and v["count_ok"]

@@ -57,5 +57,5 @@ def test_a_row_that_turns_blank_is_failed(spark, tmp_base, blank):
     good = spark.createDataFrame([(1, *["word"] * len(TEXT_FIELDS)), (2, *["other"] * len(TEXT_FIELDS))], schema)
     ingest.process(good, tmp_base, 8, dt.datetime(2024, 1, 1))
     turned = spark.createDataFrame([(1, *[blank] * len(TEXT_FIELDS))], schema)
-    _, progress, _ = ingest.process(turned, tmp_base, 8, dt.datetime(2024, 1, 2))
+    progress = ingest.process(turned, tmp_base, 8, dt.datetime(2024, 1, 2), run=1)
     assert [(r.product_id, r.status) for r in progress.collect()] == [(1, "failed")]

@@ -37,7 +37,7 @@ def test_knn_equals_brute_force(spark):
 def test_ivf_with_all_cells_probed_is_exact(spark):
     v, m = _vectors(spark, n=80)
     q = v.withColumnRenamed("id", "query_id")
-    approx = vx.knn_ivf(q, v, k=5, n_cells=4, nprobe=4)
+    approx = vx.knn_ivf(q, v, k=5, centres=vx.sample_centres(v, 4), nprobe=4)
     exact = vx.knn(q, v, k=5)
     rec = vx.recall_at_k(approx, exact).select("mean_recall").first()[0]
     assert rec == 1.0
