@@ -149,6 +149,42 @@ def auto_edits(length: Column) -> Column:
     return F.when(length <= 2, 0).when(length <= 5, 1).otherwise(2)
 
 
+# Longer terms (after the prefix) are cut into parts; shorter ones get deletion keys,
+# of which a term of n characters has about n * n / 2.
+LONG_TERM = 20
+
+
+def _part(n: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of part ``i`` of three of a term of ``n`` characters."""
+    start = F.floor(n * i / 3)
+    return start, F.floor(n * (i + 1) / 3) - start
+
+
+def _part_keys(s: Column) -> Column:
+    """The three parts of a long term, with its length and their number."""
+    n = F.length(s)
+
+    def key(i: Column) -> Column:
+        start, length = _part(n, i)
+        return F.concat_ws("|", n, i, s.substr((start + 1).cast("int"), length.cast("int")))
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), key)
+
+
+def _part_probes(s: Column) -> Column:
+    """Keys that meet those of every long term within 2 edits: two edits leave
+    one of its three parts as it is and move it by at most 2."""
+    n = F.length(s)
+
+    def probes(m: Column, i: Column) -> Column:
+        start, length = _part(m, i)
+        at = F.filter(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda move: start + move),
+                      lambda a: (a >= 0) & (a + length <= n))
+        return F.transform(at, lambda a: F.concat_ws("|", m, i, s.substr((a + 1).cast("int"), length.cast("int"))))
+    lengths = F.filter(F.sequence(n - 2, n + 2), lambda m: m > LONG_TERM)
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda m: F.flatten(
+        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: probes(m, i))))))
+
+
 def _deletions(s: Column, max_d: int) -> Column:
     """All strings reachable from s by deleting up to max_d characters."""
     def one(x: Column) -> Column:
@@ -173,8 +209,9 @@ def fuzzy_expand(terms: DataFrame, vocabulary: DataFrame, prefix_length: int = 2
     Exact at any scale: candidates are found by an equi-join on symmetric
     deletion keys (two strings within k edits share a string reachable by at
     most k deletions from each), behind a fixed prefix when ``prefix_length``
-    is set, then checked with a bounded Levenshtein distance. No band join,
-    no pairs beyond real neighbours. Returns field, term, match_term, edits,
+    is set, then checked with a bounded Levenshtein distance. Long vocabulary
+    terms are found by their parts instead, so the keys of a term stay linear
+    in its length. No band join, no pairs beyond real neighbours. Returns field, term, match_term, edits,
     boost = 1 - edits / min(len); at most ``max_expansions`` per term, best
     boost first, then by term.
     """
@@ -183,10 +220,13 @@ def fuzzy_expand(terms: DataFrame, vocabulary: DataFrame, prefix_length: int = 2
         pre = t.substr(F.lit(1), F.lit(prefix_length)) if prefix_length else F.lit("")
         suf = t.substr(F.lit(prefix_length + 1), F.length(t)) if prefix_length else t
         if vocab_side:
-            variants = _deletions(suf, 2)
+            variants = F.when(F.length(suf) > LONG_TERM, _part_keys(suf)).otherwise(_deletions(suf, 2))
             # a variant of d deletions only pairs with query terms allowing >= d
             return df.select("field", term_col, pre.alias("pre"), F.explode(variants).alias("key"))
-        var = F.when(max_d == 0, F.array(suf)).when(max_d == 1, _deletions(suf, 1)).otherwise(_deletions(suf, 2))
+        none = F.array().cast("array<string>")
+        near = F.when(F.length(suf) <= LONG_TERM + 2, F.when(max_d == 0, F.array(suf)).when(
+            max_d == 1, _deletions(suf, 1)).otherwise(_deletions(suf, 2))).otherwise(none)
+        var = F.concat(near, F.when(F.length(suf) > LONG_TERM - 2, _part_probes(suf)).otherwise(none))
         return df.select("field", term_col, "max_d", pre.alias("pre"), F.explode(var).alias("key"))
 
     q = terms.select("field", "term").distinct().withColumn("max_d", auto_edits(F.length("term")))

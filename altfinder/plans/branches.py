@@ -216,15 +216,17 @@ c AS (
   GROUP BY qt.query_id, p.id
 ),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM c)
-SELECT query_id, rank, id, score FROM r WHERE rank <= 10""")
+SELECT query_id, rank, score, {', '.join(TEXT_FIELDS)} FROM r JOIN docs USING (id) WHERE rank <= 10""")
 def keyword_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2 + X7: names that lack their first letter, searched in the name field
-    alone, fuzzy without a fixed prefix."""
-    index = kw.KeywordIndex.build(rg.clean_inventory(spark, sf_dir), ["item_name"])
+    """K2 + X7 + P12: names that lack their first letter, searched in the name
+    field alone, fuzzy without a fixed prefix; six fields of each hit, no id."""
+    docs = rg.clean_inventory(spark, sf_dir)
+    index = kw.KeywordIndex.build(docs, ["item_name"])
     queries = read_table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("query_id"), F.expr("substr(p_name, 2)").alias("text"))
     hits = kw.field_search(index, queries, "item_name", k=10, fields_allowed=TEXT_FIELDS, with_total=False)
-    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    hits = hits.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    return cl.result_projection(hits, docs, with_id=False)
 
 
 @register("keyword_exact_values", f"""SELECT s.s_suppkey AS query_id, i.id FROM supplier s JOIN ({INVENTORY_SQL}) i ON i.supplier = s.s_name""")
@@ -269,6 +271,25 @@ def hybrid_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("query_id", "id", F.col("position").cast("int").alias("position"), "keyword_score", "warning")
 
 
+@register("hybrid_weighted_fusion", f"""{rg._DOC_HITS_CTE},
+o AS (
+  SELECT h.query_id, h.id, h.score, list_distinct({rg.std_terms_sql('b.text')}) AS qt, list_distinct({rg.std_terms_sql('d.text')}) AS dt
+  FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.id
+),
+t AS (SELECT query_id, id, score AS k, round(CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt)) / len(qt) ELSE 0.0 END, 6) AS v FROM o),
+e AS (SELECT *, min(k) OVER w AS k0, max(k) OVER w AS k1, min(v) OVER w AS v0, max(v) OVER w AS v1 FROM t WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, id, round(0.5 * CASE WHEN k1 > k0 THEN (k - k0) / (k1 - k0) ELSE 0 END
+                           + 0.5 * CASE WHEN v1 > v0 THEN (v - v0) / (v1 - v0) ELSE 0 END, 6) AS fused_score FROM e""")
+def hybrid_weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: two scores of the same hits, min-max normalised and summed by weight."""
+    docs, queries, hits = rg._doc_hits(spark, sf_dir)
+    pairs = (hits.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+             .join(docs.select("id", F.col("text").alias("text_combined")), "id"))
+    both = pairs.select("query_id", "id", F.col("score").alias("keyword_score"), F.round(
+        hy.overlap_score(F.col("query_text"), F.col("text_combined")), 6).alias("vector_score"))
+    return hy.fuse_weighted(both).select("query_id", "id", F.round("fused_score", 6).alias("fused_score"))
+
+
 # --------------------------------------------------------------------------- M1 M12 C3 C5 C7: stored lists, some of them empty
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ from altfinder.operators import keyword as kw
 from altfinder.operators import clean as cl
 from altfinder.operators import vectors as vx
 from altfinder.schemas import TEXT_FIELDS
-from altfinder.session import materialize, read_stream, read_table, scratch, spread
+from altfinder.session import materialize, read_stream, read_table, scratch
 from altfinder.sources.catalog import INVENTORY_SQL, inventory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +79,7 @@ SELECT query_id, rank, id, score, total_hits FROM r WHERE rank <= 10
 @register("keyword_bm25_documents", DOC_BM25_SQL)
 def keyword_bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 10 documents for every benchmark passage (single-field BM25)."""
-    docs = spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     index = kw.KeywordIndex.build(docs, ["text"])
     hits = kw.search(index, queries, ["text"], k=10, fuzzy=False)
@@ -1395,7 +1395,7 @@ FROM up LEFT JOIN res ON res.src_item = up.item_number
 # --------------------------------------------------------------------------- K6, K7, H6 over the document search
 
 def _doc_hits(spark: SparkSession, sf_dir: str):
-    docs = spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     hits = kw.search(kw.KeywordIndex.build(docs, ["text"]), queries, ["text"], k=10, fuzzy=False)
     return docs, queries, hits

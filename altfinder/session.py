@@ -95,18 +95,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Re-split a scan that came back with fewer partitions than the cluster
-    has cores (one large row group, say) before CPU-heavy work. Hashing on
-    the key keeps the split deterministic for task retries without the sort a
-    round-robin split needs. Scans of many files are left alone."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key) if key else df.repartition(want)
-    return df
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage: a reliable checkpoint written
     to the shared folder named by ``spark.checkpoint.dir`` (never a local

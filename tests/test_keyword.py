@@ -93,6 +93,26 @@ def test_fuzzy_expansion_equals_brute_force(spark):
         assert got == want
 
 
+def test_fuzzy_expansion_of_long_terms(spark):
+    rnd = random.Random(5)
+
+    def edited(t, n):
+        for _ in range(n):
+            i, kind = rnd.randrange(len(t)), rnd.randrange(3)
+            t = t[:i] + (rnd.choice("ab") if kind else "") + t[i + (kind != 1):]
+        return t
+
+    terms = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(16, 60))) for _ in range(40)})
+    vocab = sorted({edited(t, n) for t in terms for n in (0, 1, 2, 2, 2, 3)})
+    v = spark.createDataFrame([("f", t) for t in vocab], "field string, term string")
+    q = spark.createDataFrame([("f", t) for t in terms], "field string, term string")
+    want = {(t, w, _lev(t, w)) for t in terms for w in vocab if abs(len(t) - len(w)) <= 2 and _lev(t, w) <= 2}
+    for prefix in (0, 2):
+        got = {(r["term"], r["match_term"], r["edits"])
+               for r in kw.fuzzy_expand(q, v, prefix_length=prefix, max_expansions=10_000).collect()}
+        assert got == {x for x in want if x[0][:prefix] == x[1][:prefix]}
+
+
 def test_max_expansions_keeps_best(spark):
     v = spark.createDataFrame([("f", w) for w in ["pipe", "pipes", "piped", "pipex", "pip"]], "field string, term string")
     q = spark.createDataFrame([("f", "pipe")], "field string, term string")
