@@ -87,15 +87,15 @@ def dirty_combined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dirty_folded_terms", f"""WITH {DIRTY_CTE}
 SELECT row_no, strip_accents(array_to_string({rg.words_sql('item_name')}, ' ')) AS terms,
-       list_sum(list_transform({rg.words_sql('item_name')},
-                lambda w: CASE WHEN length(w) >= 2 THEN least(length(w), 15) - 1 ELSE 0 END)) AS n_grams
+       CAST(list_sum(list_transform({rg.words_sql('item_name')},
+            lambda w: CASE WHEN length(w) >= 2 THEN least(length(w), 15) - 1 ELSE 0 END)) AS BIGINT) AS n_grams
 FROM dirty WHERE len({rg.words_sql('item_name')}) > 0""")
 def dirty_folded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2 + X3 + X4: folded words of names with foreign letters, and how many
     prefixes they have (the SQL folds by its own accent table)."""
     rows = dirty_inventory(spark, sf_dir).where(F.size(tx.words("item_name")) > 0)
     return rows.select("row_no", F.array_join(tx.folded_terms("item_name"), " ").alias("terms"),
-                       F.size(tx.edge_grams("item_name")).cast("decimal(38,0)").alias("n_grams"))
+                       F.size(tx.edge_grams("item_name")).cast("long").alias("n_grams"))
 
 
 # --------------------------------------------------------------------------- V5 S4 S5 S6: vectors to reject, keyed writes
