@@ -1,17 +1,18 @@
-"""Main text of web pages, with host suffix arrays for unmarked boilerplate.
+"""Main text of web pages, with host suffix arrays for repeated boilerplate.
 
 A page is cut into blocks of text. Marks in the page (elements, roles, class
-and id words) tell most of them: what lies in the article is kept, what lies
-in menus, headers, footers, sidebars, notices, adverts, forms and comments is
-not. For pages that mark no article the host decides: the token streams of
-its pages, without their articles, are concatenated into one suffix array, and
-a block that is covered by long token runs found on two distinct pages is the
-host's boilerplate; the runs that are unique remain.
+and id words) tell what is noise (menus, headers, footers, sidebars, notices,
+adverts, forms, comments) and which containers may hold the article. Beside
+the marks the host decides: the token streams of its pages are read as one
+suffix array, and a block that is covered by long token runs found on half of
+the host's distinct pages is boilerplate, in an article too. Of the containers
+the one with the most text that does not repeat remains.
 
 Only common beginnings of at least ``LEAST`` tokens matter, so a suffix is kept
-as the hash of its host and first ``LEAST`` tokens. Sorting by it brings equal
-beginnings together, as in the full array; group minima and maxima, taken
-before the shuffle, tell whether two pages share one, so no host is one task.
+as the hash of its host and first ``LEAST`` tokens. Pages are dealt by host,
+large hosts in parts; a part sorts its suffixes, which brings equal beginnings
+together as in the full array, and sends on only those that enough of its
+pages share.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from .common import Rolling, WordHashes, written
 
 LEAST = 6
 COVERED = 0.8
+#: Of a host's distinct pages, how many must share a run; and the fewest pages
+#: that overrule a mark.
+SHARE = 0.5
+FIRM = 5
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,37 +74,40 @@ _MARKUP_PLAIN = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)>", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-BODY, NAMED, MAIN, ARTICLE, NOISE = 0, 1, 2, 3, 9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: Marks around a block, added up.
+BODY, NAMED, MAIN, ARTICLE, HEADING, NOISE = 0, 1, 2, 4, 8, 16
 
 
 def _kind(name: str, attrs: str, inside: bool) -> tuple[bool, int]:
-    """(noise, article level) of an element; ``inside``: within an article."""
+    """(noise, marks) of an element; ``inside``: within an article."""
     noise = name in NOISE_TAGS or (name == "header" and not inside)
-    level = ARTICLE if name == "article" else MAIN if name == "main" else BODY
+    marks = ARTICLE if name == "article" else MAIN if name == "main" else HEADING if name in HEADINGS else BODY
     if attrs and name not in ("html", "body"):
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "role":
                 noise |= value.strip() in NOISE_ROLES
-                level = max(level, {"main": MAIN, "article": ARTICLE}.get(value.strip(), BODY))
+                marks |= {"main": MAIN, "article": ARTICLE}.get(value.strip(), BODY)
             elif key == "itemprop":
-                level = max(level, ARTICLE if value.strip() == "articlebody" else BODY)
+                marks |= ARTICLE if value.strip() == "articlebody" else BODY
             else:
                 for whole in value.split():
                     if whole in ARTICLE_NAMES:
-                        level = max(level, NAMED)
+                        marks |= NAMED
                         continue
                     words = re.split(r"[-_]+", whole)
                     if not NEGATED.intersection(words):
                         noise |= not NOISE_WORDS.isdisjoint(words) or ("header" in words and not inside)
-    return noise, level
+    return noise, marks
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(level, text) of each block that has text, in page order; the level is
-    NOISE, or the highest article level around the block."""
+    """(marks, text) of each block that has text, in page order; the marks are
+    NOISE, or those of all elements around the block."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, int]] = [("", False, BODY)]  # (name, noise, level) with those around it
+    stack: list[tuple[str, bool, int]] = [("", False, BODY)]  # (name, noise, marks) with those around it
     parts: list[str] = []
     state: tuple[bool, int] = (False, BODY)
 
@@ -177,8 +185,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = n if close is None else page.find(">", close.start()) + 1 or n
             continue
-        noise, level = _kind(name, attrs, state[1] >= MAIN)
-        inner = (state[0] or noise, max(state[1], level))
+        noise, marks = _kind(name, attrs, bool(state[1] & (MAIN | ARTICLE)))
+        inner = (state[0] or noise, state[1] | marks)
         if name in BLOCK or inner != state:
             flush()
         stack.append((name, *inner))
@@ -187,16 +195,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def split_page(found: list[tuple[int, str]]) -> tuple[str | None, list[str], list[str]]:
-    """(text, open blocks, stream): the article's text if the page marks one
-    (then no block is open), the unmarked blocks otherwise, and every block
-    outside the article as the host's suffix array reads them."""
-    top = max((level for level, _ in found if level != NOISE), default=BODY)
-    if top > BODY:
-        text = "\n\n".join(t for level, t in found if level == top)
-        return text, [], [t for level, t in found if level != top]
-    unmarked = [t for level, t in found if level == BODY]
-    return None, unmarked, unmarked + [t for level, t in found if level != BODY]
+def scopes(found: list[tuple[int, str]]) -> list[list[int]]:
+    """The blocks under the highest mark of the page, noise aside."""
+    level = [-1 if marks == NOISE else (marks & (NAMED | MAIN | ARTICLE)).bit_length() for marks, _ in found]
+    top = max(level, default=-1)
+    return [[k for k, x in enumerate(level) if x == top >= 0]]
 
 
 _HASHES = WordHashes(200_000)
@@ -219,72 +222,143 @@ def suffixes(host: str, stream: list[str], least: int = LEAST) -> tuple[np.ndarr
     return names.view(np.int64), np.array(owner, np.int64), np.arange(len(names))
 
 
-_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("host", pa.string()),
-                   ("open", pa.list_(pa.string())), ("suffixes", pa.list_(pa.int64()))])
-
-
-def host_of(url: str | None) -> str:
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url or "")
-    return m[1].rpartition("@")[2].lower() if m else ""
-
+_STREAM = pa.schema([("host", pa.string()), ("page", pa.int64()), ("stream", pa.string())])
+_COUNT = pa.schema([("host", pa.string()), ("s", pa.int64()), ("n", pa.int64())])
+
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]*)"
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, stream): all blocks of a page, a line each. Equal pages
+    of one host are one page; a task sends it once."""
+    import xxhash
+
+    sent: set[tuple[str, int]] = set()
+    for batch in batches:
+        hosts, pages = batch.columns
+        for s in range(0, batch.num_rows, 500):
+            rows = []
+            for i in range(s, min(s + 500, batch.num_rows)):
+                host, found = hosts[i].as_py(), blocks(pages[i].as_py() or "")
+                own = pages[i].as_py() or ""
+                page = xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")) - (1 << 63)
+                if (host, page) in sent:
+                    continue
+                if len(sent) >= 200_000:
+                    sent.clear()
+                sent.add((host, page))
+                rows.append((host, page, "\n".join(text for _, text in found)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STREAM)], schema=_STREAM)
+
+
+def _counts(least: int, share: float, most: int = 4 << 20):
+    """Of rows sorted by host, part and page: how many distinct pages there are
+    (s null), and how many have each suffix. A host that is one part is decided
+    here. The parts of a larger one are random, so a suffix is named where a
+    quarter of the asked share has it, and in parts of few pages always."""
+    def told(host: str, pages: list[np.ndarray], whole: bool) -> pa.RecordBatch:
+        names, n = np.unique(np.concatenate(pages), return_counts=True)
+        least_n = max(2, share * len(pages)) if whole else share / 4 * len(pages) if len(pages) >= 32 else 1
+        names, n = names[n >= least_n], n[n >= least_n]
+        return pa.RecordBatch.from_arrays([pa.array([host] * (len(names) + 1), pa.string()), pa.array([None, *names.tolist()], pa.int64()),
+                                           pa.array([len(pages), *n.tolist()], pa.int64())], schema=_COUNT)
 
-def _pages(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, pages, weight, cut = None, None, [], 0, False
         for batch in batches:
-            ids, urls, pages = batch.columns
-            for s in range(0, batch.num_rows, 500):
-                rows = []
-                for i in range(s, min(s + 500, batch.num_rows)):
-                    url = urls[i].as_py()
-                    text, unmarked, stream = split_page(blocks(pages[i].as_py() or ""))
-                    host = host_of(url)
-                    rows.append((ids[i].as_py(), url, text, host, unmarked, suffixes(host, stream, least)[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PAGE)], schema=_PAGE)
+            hosts, parts, part, ids, streams = (batch.column(c) for c in ("host", "parts", "part", "page", "stream"))
+            for i in range(batch.num_rows):
+                now = (hosts[i].as_py(), part[i].as_py(), parts[i].as_py())
+                if now != at or weight >= most:
+                    if pages:
+                        yield told(at[0], pages, at[2] == 1 and not cut and now != at)
+                    cut = now == at
+                    last = last if cut else None
+                    at, pages, weight = now, [], 0
+                if ids[i].as_py() == last:
+                    continue
+                last = ids[i].as_py()
+                pages.append(np.unique(suffixes(at[0], streams[i].as_py().split("\n"), least)[0]))
+                weight += len(pages[-1])
+        if pages:
+            yield told(at[0], pages, at[2] == 1 and not cut)
 
     return run
 
 
-def _unique_runs(least: int, covered: float):
+def _covered(names: np.ndarray, owner: np.ndarray, n: int, shared: list[int], least: int) -> np.ndarray:
+    """The share of each of ``n`` blocks that lies in shared runs."""
+    edge = np.zeros(len(owner) + 1, dtype=np.int64)
+    hit = np.flatnonzero(np.isin(names, np.array(shared, dtype=np.int64)))
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + least, -1)
+    return np.bincount(owner, weights=np.cumsum(edge[:-1]) > 0, minlength=n) / np.maximum(1, np.bincount(owner, minlength=n))
+
+
+def main_text(found: list[tuple[int, str]], host: str, shared: list[int], firm: list[int], least: int, covered: float) -> str:
+    """The container with the most text that does not repeat on the host, less
+    its repeated blocks."""
+    choice = scopes(found)
+    marked = len(choice) > 1 or any(found[k][0] & (NAMED | MAIN | ARTICLE) for k in choice[0])
+    shared = firm if marked else shared
+    gone = np.zeros(len(found), dtype=bool)
+    if shared:
+        names, owner, _ = suffixes(host, [text for _, text in found], least)
+        if len(names):
+            gone = _covered(names, owner, len(found), shared, least) >= covered
+    own, seen = [], set()
+    for scope in choice:  # a block speaks for the first container that has it
+        own.append(sum(len(found[k][1].split()) for k in scope if not gone[k] and k not in seen))
+        seen.update(scope)
+    scope = choice[own.index(max(own))]
+    return "\n\n".join(found[k][1] for k in scope if not gone[k])
+
+
+def _texts(least: int, covered: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for i in range(batch.num_rows):
-                stream = batch.column("open")[i].as_py()
-                shared = batch.column("shared")[i].as_py() or []
-                names, owner, _ = suffixes(batch.column("host")[i].as_py(), stream, least)
-                hit = np.flatnonzero(np.isin(names, np.array(shared, dtype=np.int64)))
-                edge = np.zeros(len(owner) + 1, dtype=np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + least, -1)
-                repeated = np.cumsum(edge[:-1]) > 0
-                keep = [b for k, b in enumerate(stream) if repeated[owner == k].mean() < covered] if len(owner) else []
-                texts.append("\n\n".join(keep))
+            hosts, pages, shared, firm = (batch.column(c) for c in ("host", "html", "shared", "firm"))
+            texts = [main_text(blocks(pages[i].as_py() or ""), hosts[i].as_py(), shared[i].as_py() or [], firm[i].as_py() or [],
+                               least, covered) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
 
     return run
 
 
-def extract(pages: DataFrame, least: int = LEAST, covered: float = COVERED) -> DataFrame:
+def extract(pages: DataFrame, least: int = LEAST, covered: float = COVERED, share: float = SHARE, firm: int = FIRM,
+            part_pages: int = 128) -> DataFrame:
     """(page_id, url, text) per row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text, as do pages without text. White
     space inside a block becomes one space; blocks are joined by two line
-    ends. Pages without a host share the host ''. Repeated rows (one page_id)
-    are one page, so they never mark each other's text as boilerplate; pages
-    with a null page_id are judged as one page. An empty table gives no rows;
-    other columns are ignored.
+    ends. Pages without a host share the host ''. Equal pages of a host count
+    as one.
+    An empty table gives no rows; other columns are ignored.
+
+    Hosts of over ``part_pages`` pages are counted in parts, so none is one
+    task; the table of their numbers of parts is broadcast.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    read = written(rows.mapInArrow(
-        _pages(least), "page_id bigint, url string, text string, host string, open array<string>, suffixes array<bigint>")
-        .select(F.monotonically_increasing_id().alias("uid"), "*"), "pages-blocks")
-    posts = read.select("uid", "page_id", F.col("text").isNull().alias("undecided"), F.explode("suffixes").alias("s"))
-    page = F.coalesce("page_id", F.lit(-1 << 63))
-    shared = posts.groupBy("s").agg(F.min(page).alias("lo"), F.max(page).alias("hi"), F.max("undecided").alias("asked"))
-    shared = shared.where("lo < hi and asked").select("s")
-    asked = posts.where("undecided").select("uid", "s").join(shared, "s").groupBy("uid").agg(F.collect_set("s").alias("shared"))
-    open_ = read.where("text is null").select("uid", "page_id", "url", "host", "open").join(asked, "uid", "left")
-    decided = read.where("text is not null").select("page_id", "url", "text")
-    return decided.union(open_.select("page_id", "url", "host", "open", "shared").mapInArrow(
-        _unique_runs(least, covered), "page_id bigint, url string, text string"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html",
+                        F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
+    large = (rows.groupBy("host").count().where(F.col("count") > part_pages)
+             .select("host", F.ceil(F.col("count") / part_pages).cast("long").alias("parts")))
+    dealt = (rows.select("host", "html").mapInArrow(_streams, "host string, page bigint, stream string")
+             .join(F.broadcast(large), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+             .withColumn("part", F.pmod("page", "parts")))
+    counts = written(dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page")
+                     .select("host", "parts", "part", "page", "stream")
+                     .mapInArrow(_counts(least, share), "host string, s bigint, n bigint")
+                     .groupBy("host", "s").agg(F.sum("n").alias("n")), "pages-runs")
+    total = counts.where("s is null").select("host", F.col("n").alias("total"))
+    shared = (counts.where("s is not null and n >= 2").join(total, "host").where(F.col("n") >= F.col("total") * share)
+              .groupBy("host").agg(F.collect_list("s").alias("shared"),
+                                   F.collect_list(F.when(F.col("n") >= firm, F.col("s"))).alias("firm")))
+    # a large host's runs meet its pages in as many parts
+    shared = (shared.join(F.broadcast(large), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+              .select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "shared", "firm"))
+    rows = (rows.join(F.broadcast(large), "host", "left")
+            .withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long")))))
+    return rows.join(shared, ["host", "part"], "left").select("page_id", "url", "host", "html", "shared", "firm").mapInArrow(
+        _texts(least, covered), "page_id bigint, url string, text string")

@@ -304,3 +304,22 @@ def test_html_text(spark):
     assert got[7] == "unclosed text" or got[7].startswith("unclosed")
     assert got[8] == " ".join(["plain & text"] * 20000)
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+def texts_from(spark, pages, **knobs):
+    table = spark.createDataFrame([(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)],
+                                  "page_id bigint, url string, html string")
+    return [r.text for r in sorted(htmltext.extract(table, **knobs).collect(), key=lambda r: r.page_id)]
+
+
+def own_words(i, n=12):
+    return " ".join(f"own{i}x{k}" for k in range(n))
+
+
+def test_html_repeats_go_beside_the_marks(spark):
+    club = "Join our club today and get every offer first"
+    pages = [("h", f"<body><article><p>{own_words(i)}</p><p>{club}</p></article></body>") for i in range(8)]
+    pages += [("few", page) for _, page in pages[:4]]  # too few pages to overrule a mark
+    want = [own_words(i) for i in range(8)] + [f"{own_words(i)}\n\n{club}" for i in range(4)]
+    assert texts_from(spark, pages) == want
+    assert texts_from(spark, pages, part_pages=2) == want  # a host counted in parts
