@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, WordHashes, written
 
-LEAST = 6
+LEAST = 8
 COVERED = 0.8
 #: Of a host's distinct pages, how many must share a run; and the fewest pages
 #: that overrule a mark.
@@ -229,8 +229,8 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]*)"
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, stream): all blocks of a page, a line each. Equal pages
-    of one host are one page; a task sends it once."""
+    """(host, page, stream): all blocks of a page, a line each. Pages of one
+    host with equal blocks outside the noise are one page; a task sends it once."""
     import xxhash
 
     sent: set[tuple[str, int]] = set()
@@ -240,7 +240,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for i in range(s, min(s + 500, batch.num_rows)):
                 host, found = hosts[i].as_py(), blocks(pages[i].as_py() or "")
-                own = pages[i].as_py() or ""
+                own = "\n".join(text for marks, text in found if marks != NOISE)
+                if not own:
+                    continue
                 page = xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")) - (1 << 63)
                 if (host, page) in sent:
                     continue
@@ -298,7 +300,7 @@ def _covered(names: np.ndarray, owner: np.ndarray, n: int, shared: list[int], le
 
 def main_text(found: list[tuple[int, str]], host: str, shared: list[int], firm: list[int], least: int, covered: float) -> str:
     """The container with the most text that does not repeat on the host, less
-    its repeated blocks."""
+    its repeated blocks; where all of them repeat, they stay."""
     choice = scopes(found)
     marked = len(choice) > 1 or any(found[k][0] & (NAMED | MAIN | ARTICLE) for k in choice[0])
     shared = firm if marked else shared
@@ -312,7 +314,7 @@ def main_text(found: list[tuple[int, str]], host: str, shared: list[int], firm:
         own.append(sum(len(found[k][1].split()) for k in scope if not gone[k] and k not in seen))
         seen.update(scope)
     scope = choice[own.index(max(own))]
-    return "\n\n".join(found[k][1] for k in scope if not gone[k])
+    return "\n\n".join(found[k][1] for k in ([k for k in scope if not gone[k]] or scope))
 
 
 def _texts(least: int, covered: float):
@@ -333,8 +335,8 @@ def extract(pages: DataFrame, least: int = LEAST, covered: float = COVERED, shar
 
     Null and empty html give an empty text, as do pages without text. White
     space inside a block becomes one space; blocks are joined by two line
-    ends. Pages without a host share the host ''. Equal pages of a host count
-    as one.
+    ends. Pages without a host share the host ''. Pages of a host with equal
+    blocks count as one, so copies never mark each other's text as boilerplate.
     An empty table gives no rows; other columns are ignored.
 
     Hosts of over ``part_pages`` pages are counted in parts, so none is one

@@ -323,3 +323,17 @@ def test_html_repeats_go_beside_the_marks(spark):
     want = [own_words(i) for i in range(8)] + [f"{own_words(i)}\n\n{club}" for i in range(4)]
     assert texts_from(spark, pages) == want
     assert texts_from(spark, pages, part_pages=2) == want  # a host counted in parts
+
+
+def test_html_copies_and_ordinary_repeats_stay(spark):
+    body = "".join(f"<p>{own_words(k)}</p>" for k in range(3))
+    copies = [("h", f"<body>{body}</body>"), ("h", f"<body><nav>Home</nav>{body}</body>")]
+    quote = "an ordinary paragraph that two of the pages quote"
+    some = [("k", f"<body><p>{own_words(10 + i)}</p>{f'<p>{quote}</p>' * (i < 2)}</body>") for i in range(6)]
+    short = [("s", f"<body><p>{own_words(20 + i)}</p><p>one two three four five six {i} {i}</p></body>") for i in range(2)]
+    got = texts_from(spark, copies + some + short)
+    assert got[0] == got[1] == "\n\n".join(own_words(k) for k in range(3))
+    assert got[2:8] == [own_words(10 + i) + f"\n\n{quote}" * (i < 2) for i in range(6)]
+    assert got[8:] == [f"{own_words(20 + i)}\n\none two three four five six {i} {i}" for i in range(2)]
+    near = [("n", f"<body><p>{own_words(0, 40)}</p><p>{own_words(1, 40)} edit{i}</p></body>") for i in range(2)]
+    assert all(texts_from(spark, near))
