@@ -75,6 +75,7 @@ _MARKUP_PLAIN = re.compile(
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 
 #: Marks around a block, added up.
 BODY, NAMED, MAIN, ARTICLE, HEADING, NOISE = 0, 1, 2, 4, 8, 16
@@ -128,6 +129,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     at, n, pattern = 0, len(page), _MARKUP
     while at < n:
         begin = page.find("<", at)
+        if stack[-1][0] == "head" and page[at:begin if begin >= 0 else n].strip():
+            close_to(len(stack) - 1)
         if begin < 0:
             parts.append(page[at:])
             break
@@ -159,6 +162,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     flush()
             continue
         attrs = m["attrs"]
+        if name == "body" or (stack[-1][0] == "head" and name not in IN_HEAD):  # </head> may be left out
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] == "head":
+                    close_to(depth)
+                    break
         if name in CLOSES_P:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
@@ -196,10 +204,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 
 def scopes(found: list[tuple[int, str]]) -> list[list[int]]:
-    """The blocks under the highest mark of the page, noise aside."""
-    level = [-1 if marks == NOISE else (marks & (NAMED | MAIN | ARTICLE)).bit_length() for marks, _ in found]
-    top = max(level, default=-1)
-    return [[k for k, x in enumerate(level) if x == top >= 0]]
+    """The blocks that each kind of container on the page would keep: those
+    within a main element, within articles outside of one (with the headings of
+    a named container), within named containers. Without any, one scope of all
+    blocks that are not noise."""
+    main = [k for k, (marks, _) in enumerate(found) if marks != NOISE and marks & MAIN]
+    article = [k for k, (marks, _) in enumerate(found) if marks != NOISE and marks & ARTICLE and not marks & MAIN]
+    named = [k for k, (marks, _) in enumerate(found) if marks != NOISE and marks & NAMED and not marks & MAIN]
+    if article:
+        headings = [k for k in named if found[k][0] & HEADING]
+        article = sorted({*article, *headings})
+    return [x for x in (main, article, named) if x] or [[k for k, (marks, _) in enumerate(found) if marks != NOISE]]
 
 
 _HASHES = WordHashes(200_000)

@@ -337,3 +337,20 @@ def test_html_copies_and_ordinary_repeats_stay(spark):
     assert got[8:] == [f"{own_words(20 + i)}\n\none two three four five six {i} {i}" for i in range(2)]
     near = [("n", f"<body><p>{own_words(0, 40)}</p><p>{own_words(1, 40)} edit{i}</p></body>") for i in range(2)]
     assert all(texts_from(spark, near))
+
+
+def test_html_containers(spark):
+    long, more = own_words(1, 30), own_words(2)
+    pages = [f"<main><h1>Title</h1><article><p>{long}</p></article></main>",
+             f"<main><p>{long}</p><article>{more}</article></main>",
+             f"<main><p>{long}</p></main><article>{more}</article>",
+             f"<article>{more}</article><article>{long}</article>",
+             f"<div class=post><h2>Title</h2><p>By me</p><article>{long}</article></div>",
+             f"<div class=content><p>{long}</p><article>{more}</article></div>",
+             f"<html><head><title>t</title><meta charset=utf-8><body><p>{more}</p></body></html>",
+             f"<head><title>t</title><link rel=x><p>{more}</p>",
+             f"<head><title>t</title>{more}",
+             f"<head><noscript><p>no</p></noscript><template><div>no</div></template></head><body>{more}"]
+    got = texts_from(spark, [(f"h{i}", page) for i, page in enumerate(pages)])
+    assert got == [f"Title\n\n{long}", f"{long}\n\n{more}", long, f"{more}\n\n{long}", f"Title\n\n{long}", f"{long}\n\n{more}",
+                   more, more, more, more]
