@@ -2,9 +2,10 @@
 
 Statistics of every whole text are turned into ratios; from the labelled ones
 a list of threshold conjunctions is learned for the poor class: a rule is
-grown condition by condition (information gain over the uncovered rows),
-pruned on held-out rows, kept while it stays precise there, and the rows it
-covers are taken away before the next rule grows. The list is emitted as one
+grown condition by condition (information gain over the uncovered rows, cuts
+between any two of their values), pruned on held-out rows and kept if it stays
+precise there; the rows it covers, or the poor ones it was grown for if it is
+not kept, are taken away before the next rule grows. The list is emitted as one
 ordered Spark conditional expression, so applying it needs no Python.
 """
 
@@ -152,26 +153,30 @@ class Rule:
         return " and ".join(f"{names[j]} {'>=' if above else '<'} {cut:.6g}" for j, above, cut in self.conditions)
 
 
-def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], most: int) -> Rule:
-    rule, inside = Rule(), np.ones(len(x), dtype=bool)
+def _grow(x: np.ndarray, y: np.ndarray, orders: list[np.ndarray], use: np.ndarray, most: int) -> Rule:
+    """A rule for the rows ``y`` among those in ``use``. ``orders``: the rows
+    sorted by each feature. Cuts are all midpoints of the values inside."""
+    rule, inside = Rule(), use.copy()
     while len(rule.conditions) < most and (inside & ~y).any():
         p0, n0 = int((inside & y).sum()), int((inside & ~y).sum())
         if not p0:
             break
         had, best = math.log2(p0 / (p0 + n0)), (1e-9, None)
-        for j, values in enumerate(cuts):
-            if not len(values):
+        for j, order in enumerate(orders):
+            rows = order[inside[order]]
+            values = x[rows, j]
+            at = np.flatnonzero(values[1:] > values[:-1])  # a cut lies after these rows
+            if not len(at):
                 continue
-            at = np.searchsorted(values, x[inside, j], side="right")  # cuts at or below the value
-            pos = np.bincount(at[y[inside]], minlength=len(values) + 1)
-            neg = np.bincount(at[~y[inside]], minlength=len(values) + 1)
-            below_p, below_n = np.cumsum(pos)[:-1], np.cumsum(neg)[:-1]
+            below_p = np.cumsum(y[rows])[at]
+            below_n = at + 1 - below_p
             for above, p, n in ((True, p0 - below_p, n0 - below_n), (False, below_p, below_n)):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where(p > 0, p * (np.log2(p / np.maximum(p + n, 1)) - had), -np.inf)
+                gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / (p + n)) - had), -np.inf)
                 k = int(np.argmax(gain))
                 if gain[k] > best[0]:
-                    best = (float(gain[k]), (j, above, float(values[k])))
+                    low, high = values[at[k]], values[at[k] + 1]
+                    middle = (low + high) / 2
+                    best = (float(gain[k]), (j, above, float(middle if middle > low else high)))
         if best[1] is None:
             break
         rule.conditions.append(best[1])
@@ -193,33 +198,32 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
 
 
 def learn(x: np.ndarray, poor: np.ndarray, order: np.ndarray, precision: float = 0.95,
-          max_conditions: int = 4, max_rules: int = 32, cut_count: int = 64) -> list[Rule]:
+          max_conditions: int = 4, max_rules: int = 32, chance: float = 1e-3) -> list[Rule]:
     """Sequential covering of the poor rows. ``order`` is any fixed integer per
-    row; every third one (by it) prunes, the others grow."""
+    row; every third one (by it) prunes, the others grow. The poor rows that an
+    imprecise rule was grown for are set aside, and the next rule grows for the
+    others. A rule whose held-out rows could be poor by more than ``chance`` is
+    imprecise: with cuts at every value some fit any few rows."""
     rules: list[Rule] = []
     held = order % 3 == 0
     gx, gy, px, py = x[~held], poor[~held], x[held], poor[held]
-    cuts = [np.unique(np.quantile(gx[:, j], np.linspace(0, 1, cut_count + 2)[1:-1], method="lower"))
-            if len(gx) else np.empty(0) for j in range(x.shape[1])]
-    # midpoints to the next seen value, so a cut does not sit on a data point
-    for j, values in enumerate(cuts):
-        seen = np.unique(gx[:, j]) if len(gx) else np.empty(0)
-        at = np.searchsorted(seen, values, side="right")
-        ok = at < len(seen)
-        cuts[j] = np.unique((values[ok] + seen[at[ok]]) / 2)
-    while len(rules) < max_rules and gy.any():
-        rule = _prune(_grow(gx, gy, cuts, max_conditions), px, py)
-        if not rule.conditions:
+    base = float(py.mean()) if len(py) else 0.0
+    orders = [np.argsort(gx[:, j], kind="stable") for j in range(x.shape[1])]
+    left, open_, p_left = np.ones(len(gx), dtype=bool), gy.copy(), np.ones(len(px), dtype=bool)
+    while len(rules) < max_rules and open_.any():
+        grown = _grow(gx, open_, orders, left & (open_ | ~gy), max_conditions)
+        if not grown.conditions:
             break
-        g, h = rule.covers(gx), rule.covers(px)
+        rule = _prune(grown, px[p_left], py[p_left])
+        g, h = rule.covers(gx) & left, rule.covers(px) & p_left
         right = int((g & gy).sum() + (h & py).sum())
         wrong = int((g & ~gy).sum() + (h & ~py).sum())
         held_p, held_n = int((h & py).sum()), int((h & ~py).sum())
-        if not (g & gy).any() or right < precision * (right + wrong) or (
-                held_p + held_n and held_p < precision * (held_p + held_n)):
-            break
+        if right < precision * (right + wrong) or held_p < precision * (held_p + held_n) or base ** held_p > chance:
+            open_ &= ~grown.covers(gx)
+            continue
         rules.append(rule)
-        gx, gy, px, py = gx[~g], gy[~g], px[~h], py[~h]
+        left, open_, p_left = left & ~g, open_ & ~g, p_left & ~h
     return rules
 
 

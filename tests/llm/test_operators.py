@@ -260,6 +260,22 @@ def test_quality_rules(spark):
     assert quality.judge(docs.limit(0), labels)[0].count() == 0
 
 
+def test_rare_kinds_get_their_rules():
+    rng = np.random.default_rng(1)
+    n = 20_000
+    x = rng.random((n, len(quality.FEATURES)))
+    rare, noisy, late = np.arange(n) % 100 == 0, np.arange(n) % 100 < 20, np.arange(n) % 50 == 1
+    x[:, 2] = np.where(rare, 0.3 + 0.2 * x[:, 2], 0.1 * x[:, 2])
+    order = rng.integers(0, 1 << 40, n)
+    rules = quality.learn(x, rare, order)
+    assert len(rules) == 1 and (rules[0].covers(x) == rare).all()
+    # most poor rows are told by nothing: their rules fail, the precise ones still come
+    x[:, 4] = np.where(late, 0.9 + 0.1 * x[:, 4], 0.8 * x[:, 4])
+    poor = rare | late | (noisy & (rng.random(n) < 0.3))
+    covered = np.any([r.covers(x) for r in quality.learn(x, poor, order)], axis=0)
+    assert covered[rare | late].all() and not (covered & ~poor).any()
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://a/", "x" * 100), (3, "http://b/\r\nX: y", "x" * 100), (4, None, "x" * 99), (6, "u", "x" * 99),
             (7, "u", None), (8, "u", ""), (9, "u", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n" + "é\u0000" * 60), (9, "u", "x" * 100),
