@@ -1,16 +1,19 @@
 """Packing documents into fixed windows by lexical retrieval.
 
 A document is tokenized and ends with id 0. Its full windows are sequences of
-their own; what is left over is packed. Left-overs are dealt to shards of
-bounded size whose inverted index is scored by BM25 with the corpus's document
-frequencies: a seed asks its shard for unused neighbours, best first, and they
-fill its window greedily. The neighbour that does not fit is cut; its rest
+their own; what is left over is packed, and stands for the whole document's
+terms. Documents are dealt to shards of bounded size by content: a tree of
+balanced cuts through their weighted terms, so that neighbours meet. A shard's
+inverted index is scored by BM25 with the corpus's document frequencies: a seed
+asks its shard for unused neighbours, best first, and they fill its window
+greedily. The neighbour that does not fit is cut; its rest
 seeds the next window. The last tokens of a shard become sequences of
 power-of-two lengths, which need no padding.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -93,7 +96,7 @@ def crc(ids: np.ndarray) -> int:
 
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("crcs", pa.list_(pa.int64())),
-                  ("rest", pa.binary()), ("mark", pa.int32())])
+                  ("rest", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary())])
 
 
 def _tokenized(path: str, window: int):
@@ -106,7 +109,7 @@ def _tokenized(path: str, window: int):
                 full = len(ids) // window
                 rest = ids[full * window:]
                 held.append((docs[i].as_py(), len(ids), [crc(ids[k * window:(k + 1) * window]) for k in range(full)],
-                             rest.astype("<u2").tobytes(), int(rest.max()) if len(rest) else -1))
+                             rest.astype("<u2").tobytes(), *bag_bytes(ids if full and len(rest) else rest[:0])))
                 weight += 2 * len(rest) + 8 * full
                 if weight >= 4 << 20 or len(held) >= 5_000:
                     yield _rows(held, _DOC)
@@ -117,39 +120,135 @@ def _tokenized(path: str, window: int):
     return run
 
 
+def bag_bytes(ids: np.ndarray) -> tuple[bytes | None, bytes | None]:
+    if not len(ids):
+        return None, None
+    terms, counts = np.unique(ids, return_counts=True)
+    return terms.astype("<u2").tobytes(), counts.astype("<u4").tobytes()
+
+
+def bag(rest: bytes, terms: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document and how often it has each. They are kept
+    for documents of more than a window; others are their left-over."""
+    if terms is None:
+        return np.unique(np.frombuffer(rest, dtype="<u2"), return_counts=True)
+    return np.frombuffer(terms, dtype="<u2"), np.frombuffer(counts, dtype="<u4").astype(np.int64)
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many left-overs of this task have each id; id -1: how many there
-    are, and their tokens."""
+    """How many documents with a left-over have each id in this task; id -1:
+    how many there are, and their tokens."""
     df, docs, tokens = np.zeros(1 << 16, dtype=np.int64), 0, 0
     for batch in batches:
-        for rest in batch.column(0):
-            ids = np.frombuffer(rest.as_py(), dtype="<u2")
-            df[np.unique(ids)] += 1
+        for rest, terms, counts in zip(*(batch.column(c) for c in ("rest", "terms", "counts"))):
+            ids, n = bag(rest.as_py(), terms.as_py(), counts.as_py())
+            df[ids] += 1
             docs += bool(len(ids))
-            tokens += len(ids)
+            tokens += int(n.sum())
     has = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(has, -1).astype(np.int32)), pa.array(np.append(df[has], docs)),
                                       pa.array(np.append(np.zeros(len(has), np.int64), tokens))], names=["id", "n", "tokens"])
 
 
+K1, B = 1.2, 0.75
+
+
+def weighed(term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a document that have weight, and their BM25 weights."""
+    size, worth = tf.sum(), idf[term]
+    term, tf, worth = term[worth > 0], tf[worth > 0], worth[worth > 0]
+    return term, worth * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+DIMENSIONS = 128
+
+
+@functools.cache
+def _directions() -> np.ndarray:
+    """A fixed row of random signs per id."""
+    return np.random.default_rng(8).choice(np.array([-1, 1], dtype=np.float32), (1 << 16, DIMENSIONS))
+
+
+def point(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted terms as a vector of length 1 (in expectation), projected."""
+    size = float(np.sqrt((weight ** 2).sum()))
+    if not size:
+        return np.zeros(DIMENSIONS, dtype=np.float32)
+    return (weight.astype(np.float32) / size) @ _directions()[term] / np.float32(np.sqrt(DIMENSIONS))
+
+
+def tree(points: np.ndarray, sizes: np.ndarray, most: float, least: int = 8) -> list[tuple[np.ndarray, float, int, int]]:
+    """Nodes (direction, cut, below, above) of balanced cuts between two means,
+    down to cells of ``most`` in size or under ``least`` sampled points. A child
+    under 0 is a cell; cells are numbered -1, -2, ... in the tree's order."""
+    nodes: list[tuple[np.ndarray, float, int, int]] = []
+    cells = 0
+
+    def split(at: np.ndarray) -> int:
+        nonlocal cells
+        if len(at) >= least and sizes[at].sum() > most:
+            x = points[at]
+            centre = x[np.random.default_rng(len(at)).choice(len(at), 2, replace=False)]
+            for _ in range(8):
+                side = x @ (centre[0] - centre[1]) > ((centre[0] ** 2).sum() - (centre[1] ** 2).sum()) / 2
+                if side.all() or not side.any():
+                    break
+                centre = np.stack([x[side].mean(0), x[~side].mean(0)])
+            along = x @ (centre[0] - centre[1])
+            order = np.argsort(along, kind="stable")
+            held = np.cumsum(sizes[at][order])
+            middle = min(max(1, int(np.searchsorted(held, held[-1] / 2))), len(at) - 1)
+            cut = float(along[order[middle]])
+            below = along < cut
+            if below.any():
+                me = len(nodes)
+                nodes.append((centre[0] - centre[1], cut, 0, 0))
+                nodes[me] = (*nodes[me][:2], split(at[below]), split(at[~below]))
+                return me
+        cells += 1
+        return -cells
+
+    split(np.arange(len(points)))
+    return nodes
+
+
+FINE = 8
+
+
+def _cells(nodes: list[tuple[np.ndarray, float, int, int]], idf: np.ndarray, mean: float):
+    """With the content key of each document as ``mark``: its cell, then the
+    sides of ``FINE`` fixed directions on which it lies."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for rest, terms, counts in zip(*(batch.column(c) for c in ("rest", "terms", "counts"))):
+                x = point(*weighed(*bag(rest.as_py(), terms.as_py(), counts.as_py()), idf, mean))
+                at = 0 if nodes else -1
+                while at >= 0:
+                    direction, cut, below, above = nodes[at]
+                    at = above if float(x @ direction) >= cut else below
+                marks.append((-1 - at) << FINE | int((x[:FINE] > 0) @ (1 << np.arange(FINE))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int32())], names=[*batch.schema.names, "mark"])
+
+    return run
+
+
 class Index:
-    """BM25 over the left-overs of one shard; ids in more than half of all
-    left-overs have no weight."""
+    """BM25 over the documents of one shard; ids in more than half of all
+    documents have no weight."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float):
         self.size, self.terms = len(docs), []
         doc_of, weights = [], []
-        for i, ids in enumerate(docs):
-            term, tf = np.unique(ids, return_counts=True)
-            worth = idf[term]
-            term, tf, worth = term[worth > 0], tf[worth > 0], worth[worth > 0]
+        for i, (ids, counts) in enumerate(docs):
+            term, weight = weighed(ids, counts, idf, mean)
             self.terms.append(term)
             doc_of.append(np.full(len(term), i, dtype=np.int64))
-            weights.append(worth * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / mean)))
+            weights.append(weight)
         term = np.concatenate(self.terms) if docs else np.empty(0, np.uint16)
         order = np.argsort(term, kind="stable")
         self.doc_of = np.concatenate(doc_of)[order] if docs else np.empty(0, np.int64)
@@ -164,9 +263,10 @@ class Index:
         return np.bincount(self.doc_of[place], weights=self.weight[place], minlength=self.size)
 
 
-def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float,
+         window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (doc, begin, end) pieces; all but the last are full."""
-    index = Index(docs, idf, mean)
+    index = Index(bags, idf, mean)
     free = np.ones(len(docs), dtype=bool)
     seed, begin, upto = -1, 0, 0  # a cut neighbour's rest seeds the next window
     while True:
@@ -235,7 +335,8 @@ def _packed(idf: np.ndarray, mean: float, window: int):
                 at += 1
         rests = [np.frombuffer(r, dtype="<u2") for r in shard["rest"]]
         has = [i for i, r in enumerate(rests) if len(r)]
-        for pieces in fill([rests[i] for i in has], idf, mean, window):
+        bags = [bag(*x) for x in zip(shard["rest"], shard["terms"], shard["counts"])]
+        for pieces in fill([rests[i] for i in has], [bags[i] for i in has], idf, mean, window):
             whole = sum(e - b for _, b, e in pieces) == window
             for part in [pieces] if whole else halves(pieces):
                 offset = 0
@@ -251,7 +352,8 @@ def _packed(idf: np.ndarray, mean: float, window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_tokens: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_tokens: int = 400_000,
+         sample: int = 4_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per
     piece; the pieces of a document are its ids, each once.
 
@@ -259,17 +361,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
     packed each for itself; a null doc_id stays null; an empty table gives no
     rows; other columns are ignored.
 
-    Shards: left-overs with the same highest id (the rarest entry of the
-    vocabulary, as it was learned last) go together, small groups share a
-    shard and large ones are split by hash, so no shard holds much over
-    ``shard_tokens``. The tables on the driver, document frequencies and shard
-    plan, have one row per vocabulary entry at most.
+    Shards: a tree of balanced cuts is grown on the driver from ``sample``
+    documents (smallest hashed id and left-over), and its cells are parted by a few fixed
+    directions. Small parts next to each other share a shard; only what lies in
+    one part and is too large is split by hash, so no shard holds much over
+    ``shard_tokens``. The tables on the driver, document frequencies, sample and
+    shard plan, have a bounded number of rows.
     """
     path = tokenizer or default_tokenizer()
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _tokenized(path, window), "doc_id bigint, tokens bigint, crcs array<bigint>, rest binary, mark int")
+        _tokenized(path, window), "doc_id bigint, tokens bigint, crcs array<bigint>, rest binary, terms binary, counts binary")
     held = written(read.select(F.monotonically_increasing_id().alias("uid"), "*"), "pack-tokens")
-    stats = (held.select("rest").mapInArrow(_frequencies, "id int, n bigint, tokens bigint")
+    stats = (held.select("rest", "terms", "counts").mapInArrow(_frequencies, "id int, n bigint, tokens bigint")
              .groupBy("id").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).toPandas())
     total = stats[stats["id"] == -1]
     n_docs, n_tokens = (int(total["n"].iloc[0]), int(total["tokens"].iloc[0])) if len(total) else (0, 0)
@@ -277,6 +380,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
     known = stats[stats["id"] >= 0]
     df[known["id"].to_numpy(np.int64)] = known["n"].to_numpy()
     idf = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5))) * (df > 0)
+    mean = n_tokens / max(1, n_docs)
+    seen = (held.where(F.octet_length("rest") > 0).select(F.xxhash64("doc_id", "rest").alias("at"), "rest", "terms", "counts")
+            .orderBy("at").limit(sample).collect())
+    points = np.array([point(*weighed(*bag(r.rest, r.terms, r.counts), idf, mean)) for r in seen]).reshape(-1, DIMENSIONS)
+    in_rest = np.array([len(r.rest) / 2 for r in seen])
+    per_row = n_docs / max(1, len(seen))
+    nodes = tree(points, in_rest * per_row, shard_tokens)
+    keys = held.select("uid", "doc_id", "tokens", "crcs", "rest", "terms", "counts")
+    held = written(keys.mapInArrow(_cells(nodes, idf, mean), "uid bigint, doc_id bigint, tokens bigint, crcs array<bigint>, "
+                                   "rest binary, terms binary, counts binary, mark int"), "pack-cells")
     sizes = (held.groupBy("mark").agg(F.sum(F.octet_length("rest") / 2 + F.size("crcs")).alias("tokens")).orderBy("mark").toPandas())
     plan, shard, room = [], 0, shard_tokens
     for mark, tokens in zip(sizes["mark"].tolist(), sizes["tokens"].tolist()):
@@ -293,5 +406,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
     where = spark.createDataFrame(plan, "mark int, base bigint, parts int")
     dealt = held.join(F.broadcast(where), "mark").withColumn(
         "shard", F.col("base") + F.pmod(F.xxhash64("uid"), F.col("parts")))
-    return dealt.select("shard", "uid", "doc_id", "tokens", "crcs", "rest").groupBy("shard").applyInPandas(
-        _packed(idf, n_tokens / max(1, n_docs), window), _OUT)
+    return dealt.select("shard", "uid", "doc_id", "tokens", "crcs", "rest", "terms", "counts").groupBy("shard").applyInPandas(
+        _packed(idf, mean, window), _OUT)

@@ -192,6 +192,24 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_keeps_neighbours_together(spark):
+    rng = random.Random(8)
+    common = "the of and to in that it was for on with as his they at be this from have or".split()
+    topics = [["river", "stone", "water", "bridge", "forest", "valley"], ["market", "price", "trade", "money", "bank", "credit"],
+              ["music", "song", "voice", "dance", "stage", "theatre"], ["engine", "wheel", "motor", "metal", "steel", "power"]]
+    rare = [chr(0x4E00 + k) for k in range(400)]  # each text has an entry of its own at the vocabulary's end
+    rows = []
+    for i in range(160):
+        of = lambda words, n: " ".join(rng.choice(words) if rng.random() < 0.7 else rng.choice(common) for _ in range(n))
+        text = of(topics[i % 4], 200)
+        if i % 8 < 4:  # a long text whose left-over alone tells no topic
+            text = of(topics[i % 4], 1000) + " " + of(common, 200)
+        rows.append((i, text + " " + rng.choice(rare)))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), shard_tokens=8000).toPandas()
+    mixed = [len(set(s.doc_id % 4)) for _, s in got.groupby("sequence_id") if len(s) > 1 and s.length.sum() == 1024]
+    assert len(mixed) > 20 and sum(n == 1 for n in mixed) > 0.7 * len(mixed)
+
+
 @pytest.mark.parametrize("text", ["a  b", "  x ", "a\n\nb c", "x <|endoftext|> y", "", "　a b\xa0 c", "a \x1cb", "it's 'll  'd"])
 def test_ids_are_the_tokenizers(text):
     from tokenizers import Tokenizer
