@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space, tab, \n, \v, \f, \r. On UTF-8
@@ -51,6 +51,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered(df: DataFrame, group: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 0) inside its ``group`` of non-null
+    columns, by ``order``; rows equal in that are dealt by where they stand.
+
+    The rows are cut into ranges of (group, order) and written once. Counts per
+    range and group are summed in range order, rows are numbered inside their
+    range, so no task sees a whole group.
+    """
+    keys = [*[F.col(c) for c in group], *order, F.col("_row")]
+    cut = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys)
+    ranged = written(cut.withColumn("_range", F.spark_partition_id()), f"numbered-{name}")
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        *group, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order, "_row"))
+    return (ranged.withColumn("_in", inside).join(before, [*group, "_range"])
+            .withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_row", "_range", "_in", "_before"))
+
+
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

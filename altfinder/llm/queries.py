@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, lzprint, mixing, neardup, packing, quality, secret_scan, substring_dedup, warc
+from . import (
+    chat, collocation, htmltext, lzprint, merkle, mixing, neardup, packing, quality, secret_scan, sharding, substring_dedup, warc,
+)
 from .common import table
 
 
@@ -67,9 +69,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in quality.STATS[:5]], "base_failed", "kept")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(table(spark, sf_dir, "documents"))
+    folded = merkle.fold(F.col("tampered"), F.col("path"))
+    return (out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                       folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_text, op2_warc_archive, op3_near_duplicates, op4_substring_dedup, op5_phrase_fingerprints,
-    op6_source_mix, op7_chat_format, op8_retrieval_packing, op9_secret_scan, op10_quality_rules)}
+    op6_source_mix, op7_chat_format, op8_retrieval_packing, op9_secret_scan, op10_quality_rules, op11_phrase_collocations,
+    op12_balanced_shards, op13_merkle_manifest)}
 
 ORACLE = {
     "op2_warc_archive": """
@@ -130,4 +151,89 @@ ORACLE = {
                  list_transform(list_sort(list_filter(range(1, len(w.w) + 1), lambda i: not list_contains(g.gone, i))),
                                 lambda i: w.w[i]) end, ' ')) as kept_sha256
         from w left join g using (doc_id)""",
+    "op11_phrase_collocations": r"""
+        with p as (
+          select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+          from documents),
+        w as (select lang, row_number() over () as id, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+        o as (select lang, id, unnest(w) as w, generate_subscripts(w, 1) as i from w),
+        x as (select lang, w, lead(w, 1) over s as w2, lead(w, 2) over s as w3, lead(w, 3) over s as w4 from o
+              window s as (partition by id order by i)),
+        g as (
+          select lang, 1 as m, w as phrase from x
+          union all select lang, 2, w || ' ' || w2 from x where w2 is not null
+          union all select lang, 3, w || ' ' || w2 || ' ' || w3 from x where w3 is not null
+          union all select lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 from x where w4 is not null),
+        f as (select lang, m, phrase, count(*) as f from g group by all),
+        n as (select lang, sum(f)::bigint as n from f where m = 1 group by lang),
+        c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 30),
+        h as (select c.lang, c.m, c.phrase, c.a, k.k, array_to_string(c.w[1:k.k], ' ') as one, array_to_string(c.w[k.k + 1:], ' ') as two
+              from c join (values (1), (2), (3)) as k(k) on k.k < c.m),
+        k as (
+          select h.lang, h.phrase, h.a, h.k, l.f as l, r.f as r, ((2000000::hugeint * h.a) // (l.f + r.f))::bigint as score
+          from h join f l on l.lang = h.lang and l.phrase = h.one join f r on r.lang = h.lang and r.phrase = h.two),
+        b as (select *, row_number() over (partition by lang, phrase order by score, k) as pick from k),
+        i as (
+          select lang, array_to_string(w[i.i:i.i + z.z - 1], ' ') as phrase, max(a) as longer
+          from c cross join (values (1), (2), (3)) as i(i) cross join (values (2), (3)) as z(z)
+          where z.z < m and i.i + z.z - 1 <= m group by all)
+        select lang, rank, phrase, a, l, r, n, score from (
+          select b.lang, b.phrase, b.a, b.l, b.r, n.n, b.score,
+                 row_number() over (partition by b.lang order by b.score desc, b.a desc, encode(b.phrase)) as rank
+          from b join n using (lang) left join i on i.lang = b.lang and i.phrase = b.phrase
+          where b.pick = 1 and (i.longer is null or 100 * i.longer < 80 * b.a)) where rank <= 2000""",
+    "op13_merkle_manifest": r"""
+        with recursive t as (
+          select doc_id, coalesce('1' || lang, '0') as tree,
+                 coalesce(strlen(doc_id::varchar)::varchar || ':' || doc_id::varchar, '-')
+                 || coalesce(strlen(source)::varchar || ':' || source, '-') || coalesce(strlen(lang)::varchar || ':' || lang, '-')
+                 || coalesce(strlen(n_chars::varchar)::varchar || ':' || n_chars::varchar, '-') as head,
+                 text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as small,
+                 xor(list_reduce(list_transform(flatten(list_transform(string_split(doc_id::varchar, ''), lambda d:
+                     list_transform(range(8), lambda i: (ascii(d) >> i::int) & 1))), lambda x: x::bigint),
+                   lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295) as crc
+          from documents),
+        leaves as (
+          select doc_id, tree, crc, leaf, changed, row_number() over (partition by tree order by doc_id, leaf) - 1 as pos,
+                 count(*) over (partition by tree) as n
+          from (select *, sha256(head || coalesce(strlen(text)::varchar || ':' || text, '-')) as leaf,
+                       sha256(head || coalesce(strlen(small)::varchar || ':' || small, '-')) as changed from t)),
+        low as (
+          select tree, 0 as level, pos, leaf as h, n from leaves
+          union all
+          select tree, level + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (any_value(n) + 7) // 8
+          from low where n > 1 group by tree, level, pos // 8),
+        subroots as (select tree, h as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from low where n = 1),
+        top as (
+          select '' as tree, 100 as level, pos, subroot as h, n from subroots
+          union all
+          select tree, level + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (any_value(n) + 7) // 8
+          from top where n > 1 group by tree, level, pos // 8),
+        nodes as (select * from low where n > 1 union all select * from top where n > 1),
+        way as (
+          select l.doc_id, l.tree as lang, l.pos as leaf_at, n.level, n.tree, n.pos
+          from leaves l join nodes n on n.tree = l.tree and n.pos = l.pos // (8 ** n.level)::bigint
+          union all
+          select l.doc_id, l.tree, l.pos, n.level, n.tree, n.pos
+          from leaves l join subroots s on s.tree = l.tree
+          join nodes n on n.tree = '' and n.pos = s.pos // (8 ** (n.level - 100))::bigint),
+        steps as (
+          select w.lang, w.leaf_at, w.level, row_number() over (partition by w.lang, w.leaf_at order by w.level) as step,
+                 coalesce(string_agg(s.h, '' order by s.pos) filter (s.pos < w.pos), '') as l,
+                 coalesce(string_agg(s.h, '' order by s.pos) filter (s.pos > w.pos), '') as r
+          from way w join nodes s on s.tree = w.tree and s.level = w.level and s.pos // 8 = w.pos // 8
+          group by w.lang, w.leaf_at, w.level, w.pos),
+        fold as (
+          select tree, pos, 0::bigint as step, case when crc % 3 = 0 then changed else leaf end as h from leaves
+          union all
+          select f.tree, f.pos, f.step + 1, sha256(s.l || f.h || s.r)
+          from fold f join steps s on s.lang = f.tree and s.leaf_at = f.pos and s.step = f.step + 1),
+        ends as (select tree, pos, arg_max(h, step) as folded_root from fold group by tree, pos),
+        proofs as (select lang, leaf_at, sha256(string_agg(l || r, '' order by step)) as proof from steps group by lang, leaf_at),
+        root as (select h as root from top where n = 1)
+        select l.doc_id, l.leaf, s.subroot, root.root, coalesce(p.proof, sha256('')) as proof_sha256, e.folded_root,
+               e.folded_root = root.root as verified
+        from leaves l join subroots s using (tree) cross join root join ends e on e.tree = l.tree and e.pos = l.pos
+        left join proofs p on p.lang = l.tree and p.leaf_at = l.pos""",
 }
