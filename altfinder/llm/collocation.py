@@ -8,11 +8,12 @@ shorter phrase is the flow of its node: the weights of all edges that begin
 with it, end-marked ones included.
 
 1. Scan: an Arrow task turns words into numbers of its own, counts its edges by
-   one sort, and writes them in packets, one for each bucket of the first two
+   one sort, and deals them in packets, one for each bucket of the first two
    words: a word list and columns of numbers, compressed.
-2. A bucket with more edges than a task should sort is split, by more bits of
-   the first two words, then by three, then by four words, so that a pair that
-   starts a third of all edges is dealt over many tasks. Nothing is dropped.
+2. A task that reads a bucket with more edges than it should sort deals them
+   again instead, packet by packet: by more bits of the first two words, then
+   by three, then by four words. So a pair that starts a third of all edges is
+   spread over many tasks. Nothing is dropped.
 3. Merge: a task sorts the edges of one bucket and reads flows off the sorted
    run. Nodes with one way on and no piece end carry the same flow as the edge
    that follows; such unary paths leave as one row (words, from length, to
@@ -40,15 +41,16 @@ LONGEST = 4
 END = 0
 #: First words that choose an edge's bucket, by round of splitting.
 ROUNDS = (2, 2, 3, 4)
-FLUSH_WORDS = 3_000_000
-BUCKET_EDGES = 2_000_000
+FLUSH_WORDS = 1_500_000
+BUCKET_EDGES = 4_000_000
 MAX_FAN_OUT = 4096
+AGAIN = 64  # buckets that a bucket is split into
 
 _TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Piece delimiters become 0xFF, a byte that UTF-8 never has.
 _CUT = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else _TO_LOWER[b] for b in range(256))
 PACKETS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("edges", pa.int64()), ("packet", pa.binary())])
-FLOWS = pa.schema([("lang", pa.string()), ("words", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("flow", pa.int64())])
+FLOWS = pa.schema([*PACKETS, ("words", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("flow", pa.int64())])
 
 
 class _Numbers(dict):
@@ -118,22 +120,39 @@ def summed(columns: list[np.ndarray], weights: np.ndarray | None, size: int) ->
     return [c[starts] for c in columns], weights.astype(np.int64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: small
+    numbers leave runs of zeros."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _values(raw: bytes, n: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, n) if n else np.zeros((np.dtype(kind).itemsize, 0), np.uint8)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _pack(words: list[bytes], columns: list[np.ndarray], weights: np.ndarray) -> bytes:
-    """A packet: its own word list, then the columns in its own numbers."""
-    used, inside = np.unique(np.concatenate([np.zeros(1, dtype=np.int64), *columns]), return_inverse=True)
-    listed = b"\n".join([words[i - 1] for i in used[1:].tolist()])
-    body = np.concatenate([inside[1:].reshape(LONGEST, -1).astype(np.uint32).ravel(), weights.view(np.uint32)])
-    head = np.array([len(listed), len(weights)], dtype=np.uint64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + listed + body.tobytes())
+    """A packet: its own sorted word list, then the columns in its own
+    numbers, in order, so that a column's numbers differ little."""
+    used, inside = np.unique(np.concatenate([np.zeros(1, dtype=np.int32), *columns]), return_inverse=True)
+    listed = sorted((words[i - 1], at) for at, i in enumerate(used.tolist()) if at)
+    to = np.zeros(len(used), dtype=np.uint32)
+    to[[at for _, at in listed]] = np.arange(1, len(used), dtype=np.uint32)
+    rows = to[inside[1:]].reshape(LONGEST, -1)
+    order = _grouped(list(rows), len(used))
+    names = b"\n".join([w for w, _ in listed])
+    head = np.array([len(names), len(weights)], dtype=np.uint64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(
+        b"".join([head, names, *(_planes(c[order]) for c in rows), _planes(weights[order])]))
 
 
 def _unpack(packet: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words, columns, weights); word i has number i + 1."""
     raw = zstandard.ZstdDecompressor().decompress(packet)
     n_bytes, n = (int(x) for x in np.frombuffer(raw, dtype=np.uint64, count=2))
-    listed = raw[16:16 + n_bytes]
-    body = np.frombuffer(raw[16 + n_bytes:], dtype=np.uint32)
-    return listed.split(b"\n"), body[:LONGEST * n].reshape(LONGEST, n).astype(np.int64), body[LONGEST * n:].view(np.int64)
+    at = 16 + n_bytes
+    columns = [_values(raw[at + 4 * n * i:at + 4 * n * (i + 1)], n, np.uint32).astype(np.int32) for i in range(LONGEST)]
+    return raw[16:at].split(b"\n"), np.stack(columns), _values(raw[at + 4 * n * LONGEST:], n, np.int64)
 
 
 def _dealt(words: list[bytes], columns: list[np.ndarray], weights: np.ndarray, level: int, fan_out: int, parent: int,
@@ -155,16 +174,22 @@ def _dealt(words: list[bytes], columns: list[np.ndarray], weights: np.ndarray, l
                _pack(words, [c[rows] for c in columns], weights[rows]))
 
 
-def _batches(packets: Iterator[tuple], held: int = 64 << 20) -> Iterator[pa.RecordBatch]:
-    rows, size = [], 0
-    for p in packets:
-        rows.append(p)
-        size += len(p[3])
+def _batches(rows: Iterator[tuple], schema: pa.Schema, held: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of packets as batches of about ``held`` bytes."""
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), PACKETS.types, strict=True)]
+        columns += [pa.nulls(len(some), t) for t in schema.types[len(columns):]]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    some, size = [], 0
+    for r in rows:
+        some.append(r)
+        size += len(r[3])
         if size >= held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKETS.types, strict=True)], schema=PACKETS)
-            rows, size = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKETS.types, strict=True)], schema=PACKETS)
+            yield batch()
+            some, size = [], 0
+    if some:
+        yield batch()
 
 
 def _scan(fan_out: int, flush: int):
@@ -172,7 +197,7 @@ def _scan(fan_out: int, flush: int):
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
         n = 0
-        end = np.zeros(1, dtype=np.int64)
+        end = np.zeros(1, dtype=np.int32)
 
         def emptied() -> Iterator[tuple]:
             for lang, (numbers, rows) in held.items():
@@ -187,7 +212,7 @@ def _scan(fan_out: int, flush: int):
                 if lang not in held:
                     held[lang] = (_Numbers(), [])
                 numbers, rows = held[lang]
-                row = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+                row = np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))
                 rows += (row, end)
                 n += len(words)
                 if n >= flush:
@@ -195,64 +220,78 @@ def _scan(fan_out: int, flush: int):
                     n = 0
         yield from emptied()
 
-    return lambda batches: _batches(packets(batches))
-
+    return lambda batches: _batches(packets(batches), PACKETS)
+
+
+def _flows(packets: list[bytes], whole: int, min_count: int) -> tuple[list[str], list[int], list[int], np.ndarray]:
+    """(words, from length, to length, flow) of the nodes of one bucket; nodes
+    of ``whole`` words or more are complete in it."""
+    numbers, all_columns, all_weights = _Numbers(), [], []
+    while packets:
+        words, columns, weights = _unpack(packets.pop())
+        to = np.concatenate([np.zeros(1, dtype=np.int32),
+                             np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))])
+        all_columns.append(to[columns])
+        all_weights.append(weights)
+    columns, weights = summed(list(np.concatenate(all_columns, axis=1)), np.concatenate(all_weights), len(numbers))
+    words = [b"", *numbers.words()]
+    begins, flows = _new(columns), []
+    for begin in begins:  # flow of each node at its first edge
+        starts = np.flatnonzero(begin)
+        f = np.zeros(len(weights), dtype=np.int64)
+        f[starts] = np.add.reduceat(weights, starts)
+        flows.append(f)
+    texts, lows, highs, counts = [], [], [], []
+
+    def leave(at: np.ndarray, lo: int, hi: int) -> None:
+        listed = zip(*(columns[d][at].tolist() for d in range(hi)), strict=True)
+        texts.extend(b" ".join([words[i] for i in w]).decode("utf-8", "surrogatepass") for w in listed)
+        lows.extend([lo] * len(at))
+        highs.extend([hi] * len(at))
+        counts.append(flows[lo - 1][at])
+
+    for d in range(1, whole):  # parts
+        leave(np.flatnonzero(begins[d - 1] & (columns[d - 1] != END)), d, d)
+    for lo in range(whole, LONGEST + 1):  # unary paths over complete nodes
+        head = begins[lo - 1] & (columns[lo - 1] != END) & (flows[lo - 1] >= min_count)
+        if lo > whole:
+            head &= ~(begins[lo - 2] & (flows[lo - 2] == flows[lo - 1]))
+        for hi in range(lo, LONGEST + 1):
+            if hi > lo:  # the path goes on while the one edge carries all of the flow
+                head &= (columns[hi - 1] != END) & (flows[hi - 1] == flows[lo - 1])
+            stops = head if hi == LONGEST else head & ((columns[hi] == END) | (flows[hi] != flows[lo - 1]))
+            leave(np.flatnonzero(stops), lo, hi)
+    return texts, lows, highs, np.concatenate(counts)
+
+
+def _merge(level: int, min_count: int, bucket_edges: int):
+    """applyInArrow: one bucket's packets to flows; if they hold more than
+    ``bucket_edges`` edges, to the packets of smaller buckets."""
+    def again(held: list[bytes], batches: Iterator[pa.RecordBatch], bucket: int, lang: str) -> Iterator[tuple]:
+        def every() -> Iterator[bytes]:
+            while held:
+                yield held.pop()
+            for batch in batches:
+                yield from (p.as_py() for p in batch.column("packet"))
+        for packet in every():
+            words, columns, weights = _unpack(packet)
+            yield from _dealt(words, list(columns), weights, level + 1, AGAIN, bucket, lang)
 
-def _resplit(level: int, fan_out: int):
-    """mapInArrow: packets of buckets that are too large, dealt again."""
-    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, lang = (k.as_py() for k in key)
+        held, edges = [], 0
         for batch in batches:
-            for bucket, lang, packet in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "packet")), strict=True):
-                words, columns, weights = _unpack(packet)
-                yield from _dealt(words, list(columns), weights, level, fan_out, bucket, lang)
-
-    return lambda batches: _batches(packets(batches))
-
-
-def _merge(level: int, min_count: int):
-    """applyInArrow: one bucket's edges to flows. Nodes of at least
-    ``ROUNDS[level]`` words are complete in their bucket."""
-    whole = ROUNDS[level]
-
-    def run(packets: pa.Table) -> pa.Table:
-        numbers, all_columns, all_weights = _Numbers(), [], []
-        for packet in packets.column("packet").to_pylist():
-            words, columns, weights = _unpack(packet)
-            to = np.concatenate([np.zeros(1, dtype=np.int64),
-                                 np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))])
-            all_columns.append(to[columns])
-            all_weights.append(weights)
-        columns, weights = summed(list(np.concatenate(all_columns, axis=1)), np.concatenate(all_weights), len(numbers))
-        words = [b"", *numbers.words()]
-        flows, begins = [], _new(columns)
-        for begin in begins:  # flow of each node at its first edge
-            starts = np.flatnonzero(begin)
-            f = np.zeros(len(weights), dtype=np.int64)
-            f[starts] = np.add.reduceat(weights, starts)
-            flows.append(f)
-        texts, lows, highs, counts = [], [], [], []
-
-        def leave(at: np.ndarray, lo: int, hi: int) -> None:
-            listed = zip(*(columns[d][at].tolist() for d in range(hi)), strict=True)
-            texts.extend(b" ".join([words[i] for i in w]).decode("utf-8", "surrogatepass") for w in listed)
-            lows.extend([lo] * len(at))
-            highs.extend([hi] * len(at))
-            counts.append(flows[lo - 1][at])
-
-        for d in range(1, whole):  # parts
-            leave(np.flatnonzero(begins[d - 1] & (columns[d - 1] != END)), d, d)
-        for lo in range(whole, LONGEST + 1):  # unary paths over complete nodes
-            head = begins[lo - 1] & (columns[lo - 1] != END) & (flows[lo - 1] >= min_count)
-            if lo > whole:
-                head &= ~(begins[lo - 2] & (flows[lo - 2] == flows[lo - 1]))
-            for hi in range(lo, LONGEST + 1):
-                if hi > lo:  # the path goes on while the one edge carries all of the flow
-                    head &= (columns[hi - 1] != END) & (flows[hi - 1] == flows[lo - 1])
-                stops = head if hi == LONGEST else head & ((columns[hi] == END) | (flows[hi] != flows[lo - 1]))
-                leave(np.flatnonzero(stops), lo, hi)
-        lang = packets.column("lang")[0].as_py()
-        return pa.table([pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.string()), pa.array(lows, pa.int32()),
-                         pa.array(highs, pa.int32()), pa.array(np.concatenate(counts), pa.int64())], schema=FLOWS)
+            held += batch.column("packet").to_pylist()
+            edges += sum(batch.column("edges").to_pylist())
+            if edges > bucket_edges and level + 1 < len(ROUNDS):
+                yield from _batches(again(held, batches, bucket, lang), FLOWS)
+                return
+        texts, lows, highs, counts = _flows(held, ROUNDS[level], min_count)
+        n = len(texts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa.int64()), pa.array([lang] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+             pa.array(texts, pa.string()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(counts, pa.int64())],
+            schema=FLOWS)
 
     return run
 
@@ -265,24 +304,17 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, bucket_edges: int = BUCK
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a word takes some six bytes
     fan_out = int(min(MAX_FAN_OUT, max(1, -(-size // (6 * (bucket_edges // 3))))))
-    packets = written(texts.mapInArrow(_scan(fan_out, flush), "bucket long, lang string, edges long, packet binary"), "phrases-edges")
-    merged, level = None, 0
-    while True:
-        large = None
-        if level + 1 < len(ROUNDS):
-            sizes = packets.groupBy("bucket", "lang").agg(F.sum("edges").alias("n"))
-            large = written(sizes.where(F.col("n") > bucket_edges).select("bucket", "lang"), "phrases-large")
-            if not large.limit(1).count():
-                large = None
-        small = packets if large is None else packets.join(large, ["bucket", "lang"], "left_anti")
-        flows = small.groupBy("bucket", "lang").applyInArrow(_merge(level, min_count), "lang string, words string, lo int, hi int, flow long")
-        flows = written(flows, "phrases-flows")
+    packets = texts.mapInArrow(_scan(fan_out, flush), "bucket long, lang string, edges long, packet binary")
+    merged = None
+    for level in range(len(ROUNDS)):
+        out = written(packets.groupBy("bucket", "lang").applyInArrow(
+            _merge(level, min_count, bucket_edges),
+            "bucket long, lang string, edges long, packet binary, words string, lo int, hi int, flow long"), "phrases-flows")
+        flows = out.where("packet is null").select("lang", "words", "lo", "hi", "flow")
         merged = flows if merged is None else merged.unionByName(flows)
-        if large is None:
+        packets = out.where("packet is not null").select("bucket", "lang", "edges", "packet")
+        if not packets.limit(1).count():
             break
-        level += 1
-        again = packets.join(large, ["bucket", "lang"], "left_semi")
-        packets = written(again.mapInArrow(_resplit(level, 64), "bucket long, lang string, edges long, packet binary"), "phrases-edges")
     phrases = merged.select("lang", F.explode(F.sequence("lo", "hi")).alias("words"), F.col("words").alias("path"), "flow").select(
         "lang", F.expr("substring_index(path, ' ', words)").alias("phrase"), "words", "flow")
     counted = phrases.groupBy("lang", "phrase", "words").agg(F.sum("flow").alias("count"))
