@@ -147,3 +147,34 @@ def fold_sql(expr: str) -> str:
 
 def stop_words_sql() -> str:
     return "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+
+def _aligned(a: Column, b: Column) -> Column:
+    """Optimal string alignment distance by its table, a row per character of
+    ``a``; a swapped pair is not edited again."""
+    def row(held: Column, x: Column, x_before: Column, chars: Column) -> Column:
+        """Row i from rows i-1 (``p``) and i-2 (``q``)."""
+        p, q, i = held["p"], held["q"], held["i"]
+
+        def cell(done: Column, j: Column) -> Column:
+            y, y_before = F.get(chars, j - 1), F.get(chars, j - 2)
+            plain = F.least(F.get(p, j) + 1, F.get(done, j - 1) + 1, F.get(p, j - 1) + F.when(x == y, 0).otherwise(1))
+            swapped = F.coalesce((i > 1) & (j > 1) & (x == y_before) & (x_before == y), F.lit(False))
+            return F.concat(done, F.array(F.when(swapped, F.least(plain, F.get(q, j - 2) + 1)).otherwise(plain)))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), F.array(i), cell)
+
+    def steps(xs: Column, chars: Column) -> Column:
+        first = F.sequence(F.lit(0), F.size(chars))
+        start = F.struct(F.lit(1).alias("i"), first.alias("p"), first.alias("q"))
+        last = F.aggregate(F.sequence(F.lit(1), F.size(xs)), start, lambda held, i: F.struct(
+            (held["i"] + 1).alias("i"), row(held, F.get(xs, i - 1), F.get(xs, i - 2), chars).alias("p"), held["p"].alias("q")))
+        return F.try_element_at(last["p"], F.lit(-1))
+    return steps(F.split(a, ""), F.split(b, ""))
+
+
+def edits_with_swaps(a: Column, b: Column) -> Column:
+    """Edits between two non-empty strings if at most 2, else 3 or more; an
+    adjacent swap is one edit (optimal string alignment). Only pairs whose plain
+    distance leaves it open are aligned: a swap counts two there."""
+    plain = F.levenshtein(a, b, 4)
+    return F.when(plain.between(0, 1), plain).when(plain.between(2, 4), F.least(plain, _aligned(a, b))).otherwise(F.lit(3))

@@ -196,7 +196,7 @@ qt AS (
   ) GROUP BY query_id, field, term
 ),
 ex0 AS (
-  SELECT t.field, t.term, v.term AS match_term, levenshtein(t.term, v.term) AS edits,
+  SELECT t.field, t.term, v.term AS match_term, damerau_levenshtein(t.term, v.term) AS edits,
          CASE WHEN length(t.term) <= 2 THEN 0 WHEN length(t.term) <= 5 THEN 1 ELSE 2 END AS max_d
   FROM (SELECT DISTINCT field, term FROM qt) t
   JOIN vocab v ON v.field = t.field AND substr(v.term, 1, 2) = substr(t.term, 1, 2)
@@ -1248,7 +1248,7 @@ def _rules_sql() -> str:
         + [f"CASE WHEN (s_{f} IS NULL) <> (c_{f} IS NULL) THEN '{f}' END" for f in ["voltage", "material", "size"]])
         + "], lambda x: x IS NOT NULL)")
     score = (f"CASE WHEN src_item = item_number THEN {atr.SAME_PRODUCT} WHEN {critical} THEN {atr.EXCLUDED} "
-             f"WHEN s_grp = 'fan' AND {both('cfm')} AND c_cfm < s_cfm THEN {atr.LOWER_FLOW} "
+             f"WHEN s_grp = 'fan' AND {both('cfm')} AND c_cfm < s_cfm THEN {atr.LOWER_RATING} "
              f"WHEN s_size IS NULL AND c_size IS NULL THEN {atr.UNVERIFIED_SIZE} "
              f"ELSE greatest({atr.FLOOR_SCORE}, {atr.BASE_SCORE} - {atr.PER_VARYING} * len({varying})) END")
     return (f"CASE WHEN src_name = lower(item_name) THEN {atr.SAME_PRODUCT} ELSE {score} END AS match_score, "
@@ -1554,6 +1554,33 @@ RULE_PAIRS = [
     ("{} in. 3/4 HP 115 V Sump Pump", "{} in. 1/2 HP 115 V Sump Pump", 0, ""),
     ("{} in. Duct Fan", "{} in. Sump Pump", 0, ""),
     ("{} in. Duct Fan 300 CFM", "{} in. Booster Fan 300 CFM", 90, "type"),
+    # names that lack the group's own words
+    ("pump {} hp 115v", "{} hp pump 120 volt", 60, ""),
+    ("{} in fan 500 cfm", "ventilator {} in", 95, ""),
+    ("{} in fan 500 cfm", "{}-inch Exhaust Fan", 95, ""),
+    ("cord {} ft", "cord 120 V", 60, "voltage"),
+    ("{} in. valve", "valve", 90, "size"),
+    # the same quantity in another notation
+    ("1/2 in. x {} ft Copper Pipe", "0.5 inch Copper Pipe {} feet", 95, ""),
+    ("1-1/2 in. PVC Elbow {} psi", "1.5 in PVC Elbow {} psi", 95, ""),
+    ("1 1/2\" PVC Elbow", "38.1 mm PVC Elbow {} psi", 95, ""),
+    ("{} x 4 in. Duct Fan", "4 in. x {} in. Duct Fan", 95, ""),
+    ("{} x 4 in. Duct Fan", "{} x 5 in. Duct Fan", 0, ""),
+    ("{} in. Duct Fan 1,200 CFM", "{} in. Duct Fan 900 CFM", 65, "cfm"),
+    ("{} in. Duct Fan 900 cfm", "{} in. Duct Fan 1,200 cfm", 90, "cfm"),
+    ("500 mA Relay 24 VDC {} in", "0.5 amp Relay 24V {} inch", 95, ""),
+    ("Relay 24 VDC 750 mA {} in", "Relay 24 VDC 0.5 A {} in", 0, ""),
+    ("115/230 V {} Amp Contactor", "208-240 V {} Amp Contactor", 60, ""),
+    ("115/230 V {} Amp Contactor", "480 V {} Amp Contactor", 0, ""),
+    # what may only rise
+    ("{} in. Brass Valve 150 psi", "{} in. Brass Valve 300 psi", 90, "pressure"),
+    ("{} in. Brass Valve 20 bar", "{} in. Brass Valve 150 psi", 65, "pressure"),
+    ("120 V {} in. Transformer 1.5 kW", "120 V {} in. Transformer 1,800 watt", 90, "wattage"),
+    ("120 V {} in. Transformer 1.5 kW", "120 V {} in. Transformer 1,000 W", 65, "wattage"),
+    ("{} in. Sump Pump 20 GPM", "{} in. Sump Pump 600 gph", 65, "gpm"),
+    ("{} in. x 10 ft PVC Pipe", "{} in. x 20 ft PVC Pipe", 90, "length"),
+    ("1/100 HP 110 V Evaporator Fan Motor Kit {} in", "{} in. Evaporator Fan Motor 0.01 hp 115V", 95, ""),
+    ("", "{} in. Duct Fan", 90, "size"),
 ]
 
 RULE_PAIRS_SQL = ("SELECT p_partkey, " + "CASE p_partkey % {n} ".format(n=len(RULE_PAIRS))
