@@ -165,10 +165,15 @@ def _finish(pairs: DataFrame, k: int) -> DataFrame:
 PAIR_SCHEMA = "query_id long, id long, cosine double"
 
 
-def _knn_blocked(queries: DataFrame, vectors: DataFrame, k: int, keys: list[str],
-                 q_block_rows: int, v_block_rows: int) -> DataFrame:
-    """Exact top-k within equal ``keys`` (none: all against all), by blocks of
-    bounded size. Block counts per key come from a small count per key."""
+def _stacked(pdf: pd.DataFrame) -> np.ndarray:
+    return _unit(np.stack(pdf["vec"].to_numpy()))
+
+
+def _knn_blocked(queries: DataFrame, vectors: DataFrame, k: int, keys: list[str], q_block_rows: int, v_block_rows: int,
+                 matrix: Callable[[pd.DataFrame], np.ndarray] = _stacked) -> DataFrame:
+    """Top-k by dot product within equal ``keys`` (none: all against all), by
+    blocks of bounded size. Block counts per key come from a small count per
+    key; ``matrix`` gives the vectors of a block of rows (keys, id, vec)."""
     qc = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq")) if keys else \
         queries.agg(F.count(F.lit(1)).alias("nq"))
     vc = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("nv")) if keys else \
@@ -195,8 +200,8 @@ def _knn_blocked(queries: DataFrame, vectors: DataFrame, k: int, keys: list[str]
         if len(qpdf) == 0 or len(vpdf) == 0:
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
                                  "cosine": pd.Series([], dtype="float64")})
-        res = _topk_block(qpdf["query_id"].to_numpy(dtype=np.int64), _unit(np.stack(qpdf["vec"].to_numpy())),
-                          vpdf["id"].to_numpy(dtype=np.int64), _unit(np.stack(vpdf["vec"].to_numpy())), k)
+        res = _topk_block(qpdf["query_id"].to_numpy(dtype=np.int64), _stacked(qpdf),
+                          vpdf["id"].to_numpy(dtype=np.int64), matrix(vpdf), k)
         return pd.DataFrame({"query_id": res[0], "id": res[1], "cosine": res[2]})
 
     gk = [*keys, "qb", "vb"]

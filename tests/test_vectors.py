@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from altfinder.operators import codes
 from altfinder.operators import vectors as vx
 
 
@@ -58,3 +59,48 @@ def test_embed_blank_and_hook(spark):
     hook = vx.embed(df, dim=3, embedder=lambda texts: np.ones((len(texts), 3)))
     h = {r["id"]: r for r in hook.collect()}
     assert list(h[1]["embedding"]) == [1.0, 1.0, 1.0] and h[2]["embedding"] is None
+
+
+def test_codes_stand_for_their_vectors():
+    rnd = np.random.default_rng(4)
+    unit = vx._unit(rnd.normal(size=(600, 10)))
+    centres = codes._kmeans(unit, 7)
+    book = codes.Codebook(centres, np.zeros((3, codes.BOOK, 4)))
+    rest = book.padded(unit - centres[np.argmax(unit @ centres.T, axis=1)])
+    for p in range(3):
+        book.books[p] = codes._kmeans(rest[:, 4 * p:4 * p + 4], codes.BOOK)
+    cell, code = book.encode(unit)
+    # each part is the nearest entry of its book
+    for i in (0, 17, 599):
+        for p in range(3):
+            far = ((book.books[p] - rest[i, 4 * p:4 * p + 4]) ** 2).sum(1)
+            assert far[code[i, p]] <= far.min() + 1e-12
+    assert np.linalg.norm(book.decode(cell, code) - unit, axis=1).mean() < 0.35
+
+
+def test_knn_by_codes(spark):
+    v, m = _vectors(spark, n=900, dim=12)
+    q = v.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    exact = _brute(m, 5)
+    book = codes.train(v)
+    assert len(book.centres) == 30 and book.books.shape == (3, 256, 4)
+
+    def answers(df):
+        out = {}
+        for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+            out.setdefault(r.query_id, []).append((r.id, round(r.cosine, 6)))
+        return out
+    # a short list of every vector is the exact search
+    assert answers(codes.knn_codes(q, v, k=5, book=book, short_list=180)) == {i: exact[i] for i in exact if i % 9 == 0}
+    near = answers(codes.knn_codes(q, v, k=5, book=book))
+    share = np.mean([len({i for i, _ in near[x]} & {i for i, _ in exact[x]}) / 5 for x in near])
+    assert share >= 0.9
+    probed = answers(codes.knn_codes(q, v, k=5, book=book, nprobe=15))
+    assert all(len(found) == 5 for found in probed.values()) and len(probed) == 100
+    with_all = codes.knn_codes(q, v, k=5, book=book, nprobe=30, short_list=180)
+    assert answers(with_all) == {i: exact[i] for i in exact if i % 9 == 0}
+
+
+def test_code_sample_is_bounded(spark):
+    v, _ = _vectors(spark, n=900, dim=4)
+    assert len(codes.train(v, sample_rows=100).centres) <= 30
