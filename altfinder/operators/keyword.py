@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altfinder.functions import text as tx
+from altfinder.operators.positions import with_position
 from altfinder.session import materialize
 
 K1 = 1.2
@@ -154,25 +155,28 @@ def auto_edits(length: Column) -> Column:
 LONG_TERM = 20
 
 
+PARTS = 5  # two edits touch at most four parts: a swap may lie across two
+
+
 def _part(n: Column, i: Column) -> tuple[Column, Column]:
-    """Start (from 0) and length of part ``i`` of three of a term of ``n`` characters."""
-    start = F.floor(n * i / 3)
-    return start, F.floor(n * (i + 1) / 3) - start
+    """Start (from 0) and length of part ``i`` of a term of ``n`` characters."""
+    start = F.floor(n * i / PARTS)
+    return start, F.floor(n * (i + 1) / PARTS) - start
 
 
 def _part_keys(s: Column) -> Column:
-    """The three parts of a long term, with its length and their number."""
+    """The parts of a long term, with its length and their number."""
     n = F.length(s)
 
     def key(i: Column) -> Column:
         start, length = _part(n, i)
         return F.concat_ws("|", n, i, s.substr((start + 1).cast("int"), length.cast("int")))
-    return F.transform(F.sequence(F.lit(0), F.lit(2)), key)
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), key)
 
 
 def _part_probes(s: Column) -> Column:
     """Keys that meet those of every long term within 2 edits: two edits leave
-    one of its three parts as it is and move it by at most 2."""
+    one of its parts as it is and move it by at most 2."""
     n = F.length(s)
 
     def probes(m: Column, i: Column) -> Column:
@@ -182,7 +186,7 @@ def _part_probes(s: Column) -> Column:
         return F.transform(at, lambda a: F.concat_ws("|", m, i, s.substr((a + 1).cast("int"), length.cast("int"))))
     lengths = F.filter(F.sequence(n - 2, n + 2), lambda m: m > LONG_TERM)
     return F.array_distinct(F.flatten(F.transform(lengths, lambda m: F.flatten(
-        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: probes(m, i))))))
+        F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: probes(m, i))))))
 
 
 def _deletions(s: Column, max_d: int) -> Column:
@@ -207,9 +211,10 @@ def fuzzy_expand(terms: DataFrame, vocabulary: DataFrame, prefix_length: int = 2
     """Expand (field, term) to vocabulary terms within AUTO edits.
 
     Exact at any scale: candidates are found by an equi-join on symmetric
-    deletion keys (two strings within k edits share a string reachable by at
-    most k deletions from each), behind a fixed prefix when ``prefix_length``
-    is set, then checked with a bounded Levenshtein distance. Long vocabulary
+    deletion keys (two strings within k edits, adjacent swaps among them, share
+    a string reachable by at most k deletions from each), behind a fixed prefix
+    when ``prefix_length`` is set, then checked with the edit distance that
+    counts a swap once (optimal string alignment). Long vocabulary
     terms are found by their parts instead, so the keys of a term stay linear
     in its length. No band join, no pairs beyond real neighbours. Returns field, term, match_term, edits,
     boost = 1 - edits / min(len); at most ``max_expansions`` per term, best
@@ -245,9 +250,8 @@ def fuzzy_expand(terms: DataFrame, vocabulary: DataFrame, prefix_length: int = 2
     qk = keyed(q, "term", F.col("max_d"), vocab_side=False)
     vk = keyed(v, "match_term", 2, vocab_side=True)
     cand = qk.join(vk, ["field", "pre", "key"]).select("field", "term", "max_d", "match_term").distinct()
-    dist = F.levenshtein(F.col("term"), F.col("match_term"), 2)
     scored = (
-        cand.withColumn("edits", dist)
+        cand.withColumn("edits", tx.edits_with_swaps(F.col("term"), F.col("match_term")))
         .where((F.col("edits") >= 0) & (F.col("edits") <= F.col("max_d")))
         .withColumn("boost", F.lit(1.0) - F.col("edits")
                     / F.least(F.length("term"), F.length("match_term")).cast("double"))
@@ -336,31 +340,66 @@ def _best_values(scored: DataFrame, k: int, score: str) -> DataFrame:
     return first.withColumn("_above", F.coalesce(above, F.lit(0))).where(F.col("_above") < k).drop("_rn", "_above")
 
 
-def pruned_candidates(index: KeywordIndex, weighted: DataFrame, k: int, decimals: int = 4
-                      ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, queries, values): partial scores of the (field query,
-    field value) pairs that share a term which the top k cannot do without.
+BLOCK = 32        # children of a node in the tree of blocks
+MARGIN = 2.0      # in units of the last decimal: scores this far apart never round to one
 
-    Documents with the same terms in a field are one value there, queries with
-    the same weighted terms in a field one field query (``sq``); a pair is
-    scored once for all of them. Of a field query's terms, in order of the
-    most they can add, the first ones whose sum stays below the k-th best
-    score are left out: documents with these alone cannot be hits. The k-th
-    best score is at least the k-th largest weight of any one of its terms.
+
+@dataclass
+class BlockTree:
+    """Postings of distinct field values under a tree of blocks.
+
+    Values stand in order of their terms, heaviest first, so that a block holds
+    values that share their rarest terms. ``postings``: field, block, term, vid,
+    n (documents with that value), w. ``levels``: from the blocks upwards,
+    field, term, node, parent (the node above), most (largest w under the node),
+    docs (documents under it). The top level has about ``BLOCK`` nodes.
+    """
+
+    postings: DataFrame
+    levels: list[DataFrame]
+    values: DataFrame
+
+    @staticmethod
+    def build(index: KeywordIndex, block: int = BLOCK) -> "BlockTree":
+        values = materialize(_groups(index.postings, "id", "vid", "tf"))
+        sized = values.groupBy("field", "vid").agg(F.count(F.lit(1)).alias("n"))
+        listed = index.postings.join(values.select("field", F.col("vid").alias("id")).distinct(), ["field", "id"]).groupBy(
+            "field", F.col("id").alias("vid")).agg(F.sort_array(F.collect_list(F.struct("w", "term")), asc=False).alias("l"))
+        key = F.array_join(F.transform("l", lambda x: x["term"]), " ")
+        placed = with_position(listed.select("field", "vid", key.alias("key"), "l"), F.col("field"), F.col("key"), F.col("vid"), name="place")
+        rows = placed.join(sized, ["field", "vid"]).select(
+            "field", F.floor(F.col("place") / block).cast("long").alias("block"), "vid", "n", F.explode("l").alias("x"))
+        postings = materialize(rows.select("field", "block", F.col("x.term").alias("term"), "vid", "n", F.col("x.w").alias("w")))
+        docs = rows.select("field", "block", "vid", "n").distinct().groupBy("field", F.col("block").alias("node")).agg(F.sum("n").alias("docs"))
+        docs = materialize(docs)
+        up = F.floor(F.col("node") / block).cast("long").alias("parent")
+        tops = postings.groupBy("field", "term", F.col("block").alias("node")).agg(F.max("w").alias("most"))
+        levels = [materialize(tops.join(docs, ["field", "node"]).select("field", "term", "node", up, "most", "docs"))]
+        nodes = docs.agg(F.max("node")).first()[0] or 0
+        while nodes >= block:
+            nodes //= block
+            docs = docs.groupBy("field", up).agg(F.sum("docs").alias("docs")).withColumnRenamed("parent", "node")
+            tops = levels[-1].groupBy("field", "term", F.col("parent").alias("node")).agg(F.max("most").alias("most"))
+            levels.append(materialize(tops.join(docs, ["field", "node"]).select("field", "term", "node", up, "most", "docs")))
+        return BlockTree(postings, levels, values)
+
+
+def _field_queries(tree: BlockTree, weighted: DataFrame, k: int, margin: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(terms, least, queries) of the distinct field queries.
+
+    ``terms``: field, sq, term, qw, needed. Of a field query's terms, in order of
+    the most they can add, the first ones whose sum stays below ``least`` are
+    not needed: documents with these alone cannot be hits. ``least``: field, sq,
+    least (the k-th best score is no lower: the k-th largest weight of any one
+    term), left (the most that the terms not needed add). ``queries``: field,
+    query_id, sq.
     """
-    margin = 2 * 10.0 ** -decimals  # two scores this far apart never round to one
-    values = materialize(_groups(index.postings, "id", "vid", "tf"))
-    sized = values.groupBy("field", "vid").agg(F.count(F.lit(1)).alias("n"))
-    postings = materialize(index.postings.withColumnRenamed("id", "vid").join(sized, ["field", "vid"])
-                           .select("field", "term", "vid", "n", "w"))
     weighted = materialize(weighted)
     queries = materialize(_groups(weighted, "query_id", "sq", "qw"))
     reps = queries.where(F.col("query_id") == F.col("sq")).select("field", "query_id")
     terms = weighted.join(reps, ["field", "query_id"]).withColumnRenamed("query_id", "sq")
-
-    # most and k-th largest weight of each term, over documents
     of_term = Window.partitionBy("field", "term")
-    top = (postings.withColumn("_rn", F.row_number().over(of_term.orderBy(F.desc("w"), F.asc("vid"))))
+    top = (tree.postings.withColumn("_rn", F.row_number().over(of_term.orderBy(F.desc("w"), F.asc("vid"))))
            .where(F.col("_rn") <= k)
            .withColumn("_upto", F.sum("n").over(of_term.orderBy("_rn"))))
     bounds = top.groupBy("field", "term").agg(
@@ -369,28 +408,71 @@ def pruned_candidates(index: KeywordIndex, weighted: DataFrame, k: int, decimals
     of_query = Window.partitionBy("field", "sq")
     sums = F.sum("add").over(of_query.orderBy("add", "term").rowsBetween(Window.unboundedPreceding, 0))
     least = F.coalesce(F.max(F.col("qw") * F.col("kth")).over(of_query), F.lit(0.0))
-    marked = materialize(bounded.withColumn("needed", sums + margin >= least)
-                         .select("field", "sq", "term", "qw", "add", "needed"))
-    rest = marked.where(~F.col("needed"))
-    left = rest.groupBy("field", "sq").agg(F.sum("add").alias("left"))
-    partial = (postings.join(marked.where("needed"), ["field", "term"])
-               .groupBy("field", "sq", "vid").agg(F.sum(F.col("qw") * F.col("w")).alias("part"), F.first("n").alias("n")))
-    partial = materialize(partial)
-
-    # a better k-th score from the partial sums; what cannot reach it goes
-    scale = 10.0 ** decimals
-    best = _best_values(partial.withColumn("_s", F.floor(F.col("part") * scale).cast("long")), k, "_s")
-    least = best.groupBy("field", "sq").agg(F.sum("n").alias("held"), F.min("_s").alias("_s"))
-    kept = (partial.join(least, ["field", "sq"]).join(left, ["field", "sq"], "left")
-            .withColumn("most", F.col("part") + F.coalesce("left", F.lit(0.0)))
-            .where((F.col("held") < k) | (F.col("most") + margin >= F.col("_s") / scale))
-            .select("field", "sq", "vid", "n", "part"))
-    more = (kept.join(rest.select("field", "sq", "term", "qw"), ["field", "sq"])
-            .join(postings.select("field", "term", "vid", "w"), ["field", "term", "vid"])
-            .select("field", "sq", "vid", "n", (F.col("qw") * F.col("w")).alias("part")))
-    whole = kept.unionByName(more).groupBy("field", "sq", "vid").agg(
-        F.sum("part").alias("score"), F.first("n").alias("n"))
-    return whole, queries, values
+    marked = materialize(bounded.withColumn("least", least).withColumn("needed", sums + margin >= F.col("least"))
+                         .select("field", "sq", "term", "qw", "add", "least", "needed"))
+    per = marked.groupBy("field", "sq").agg(F.first("least").alias("least"),
+                                            F.coalesce(F.sum(F.when(~F.col("needed"), F.col("add"))), F.lit(0.0)).alias("left"))
+    return marked.select("field", "sq", "term", "qw", "needed"), per, queries
+
+
+def pruned_candidates(index: KeywordIndex, weighted: DataFrame, k: int, decimals: int = 4, block: int = BLOCK
+                      ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, queries, values): scores of the (field query, field value)
+    pairs that can be among a field query's k best documents.
+
+    Documents with the same terms in a field are one value there, queries with
+    the same weighted terms in a field one field query (``sq``); a pair is
+    scored once for all of them. A node of the block tree can add no more than
+    its largest weights. In a first round each field query goes down its best
+    nodes only, as many as hold k documents, and scores the values there: their
+    k-th best score raises its threshold. In the second round it goes down every
+    node that can still reach the threshold. So what is scored grows with the
+    depth of the tree and the near ties of a query, not with the postings of its
+    terms.
+    """
+    margin, scale = MARGIN * 10.0 ** -decimals, 10.0 ** decimals
+    tree = BlockTree.build(index, block)
+    terms, per, queries = _field_queries(tree, weighted, k, margin)
+    needed = terms.where("needed").select("field", "sq", "term", "qw")
+
+    def reach(tops: DataFrame, least: DataFrame) -> DataFrame:
+        """Nodes (field, sq, node, docs) that can reach their threshold."""
+        sums = tops.groupBy("field", "sq", "node").agg(F.sum(F.col("qw") * F.col("most")).alias("part"), F.first("docs").alias("docs"))
+        return (sums.join(least, ["field", "sq"]).withColumn("most", F.col("part") + F.col("left"))
+                .where(F.col("most") + margin >= F.col("least")).select("field", "sq", "node", "most", "docs"))
+
+    def below(nodes: DataFrame, level: int, least: DataFrame) -> DataFrame:
+        """Children of ``nodes`` that can reach their threshold."""
+        asked = nodes.select("field", "sq", F.col("node").alias("parent")).join(needed, ["field", "sq"])
+        return reach(asked.join(tree.levels[level], ["field", "parent", "term"]), least)
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        """Whole scores of the values in ``blocks``."""
+        asked = blocks.select("field", "sq", F.col("node").alias("block")).join(terms.drop("needed"), ["field", "sq"])
+        return (asked.join(tree.postings, ["field", "block", "term"]).groupBy("field", "sq", "vid")
+                .agg(F.sum(F.col("qw") * F.col("w")).alias("score"), F.first("n").alias("n")))
+
+    def best(nodes: DataFrame) -> DataFrame:
+        """A query's best nodes, as many as hold k documents."""
+        before = Window.partitionBy("field", "sq").orderBy(F.desc("most"), F.asc("node"))
+        first = nodes.withColumn("_rn", F.row_number().over(before)).where(F.col("_rn") <= k)
+        upto = F.sum("docs").over(before.rowsBetween(Window.unboundedPreceding, -1))
+        return first.withColumn("_before", F.coalesce(upto, F.lit(0))).where(F.col("_before") < k).drop("_rn", "_before")
+
+    top = len(tree.levels) - 1
+    start = materialize(reach(needed.join(tree.levels[top].drop("parent"), ["field", "term"]), per))
+    nodes = best(start)
+    for level in range(top - 1, -1, -1):
+        nodes = best(below(nodes, level, per))
+    found = scored(nodes).withColumn("_s", F.floor(F.col("score") * scale).cast("long"))
+    kth = _best_values(found, k, "_s").groupBy("field", "sq").agg(F.sum("n").alias("held"), F.min("_s").alias("_s"))
+    raised = materialize(per.join(kth.where(F.col("held") >= k), ["field", "sq"], "left").select(
+        "field", "sq", F.greatest("least", F.coalesce(F.col("_s") / scale, F.lit(0.0))).alias("least"), "left"))
+    nodes = (start.join(raised, ["field", "sq"]).where(F.col("most") + margin >= F.col("least"))
+             .select("field", "sq", "node"))
+    for level in range(top - 1, -1, -1):
+        nodes = below(nodes, level, raised)
+    return scored(nodes), queries, tree.values
 
 
 def pruned_top_k(index: KeywordIndex, weighted: DataFrame, k: int, decimals: int = 4) -> DataFrame:

@@ -7,9 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from altfinder.functions import quantities as qt
 from altfinder.functions import text as tx
 from altfinder.operators import browse as br
 from altfinder.operators import clean as cl
+from altfinder.operators import codes
 from altfinder.operators import crossref as xr
 from altfinder.operators import feedback as fbk
 from altfinder.operators import hybrid as hy
@@ -25,6 +27,7 @@ from altfinder.schemas import MATCH_ARRAY, TEXT_FIELDS
 from altfinder.session import materialize, read_table, scratch
 from altfinder.sources import derived as dv
 from altfinder.sources import snapshots as snap
+from altfinder.sources import workbook as wbk
 from altfinder.sources.catalog import INVENTORY_SQL, inventory
 
 # --------------------------------------------------------------------------- P2 P3 P5 P9 B5 X3 X4: rows to reject, foreign letters
@@ -204,9 +207,9 @@ qt AS (
 ex AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY term ORDER BY boost DESC, match_term) AS rn FROM (
-      SELECT t.term, v.term AS match_term, 1.0 - levenshtein(t.term, v.term) / least(length(t.term), length(v.term)) AS boost
+      SELECT t.term, v.term AS match_term, 1.0 - damerau_levenshtein(t.term, v.term) / least(length(t.term), length(v.term)) AS boost
       FROM (SELECT DISTINCT term FROM qt) t CROSS JOIN pdf v
-      WHERE levenshtein(t.term, v.term) <= CASE WHEN length(t.term) <= 2 THEN 0 WHEN length(t.term) <= 5 THEN 1 ELSE 2 END))
+      WHERE damerau_levenshtein(t.term, v.term) <= CASE WHEN length(t.term) <= 2 THEN 0 WHEN length(t.term) <= 5 THEN 1 ELSE 2 END))
   WHERE rn <= 50
 ),
 c AS (
@@ -500,20 +503,90 @@ def catalog_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return br.rank_rows(rg.clean_inventory(spark, sf_dir)).select("id", "row_index", "page")
 
 
-@register("upload_file_rows", """WITH u AS (
+ORACLE_OF_FILE_ROWS = """WITH u AS (
   SELECT row_number() OVER (ORDER BY p_partkey) AS ordinal, p_partkey % 60 = 11 AS blank, * FROM part
 )
 SELECT ordinal, concat('IT', CAST(p_partkey AS VARCHAR)) AS item_number, p_name AS item_name,
-       CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS brand FROM u WHERE NOT blank""")
-def upload_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S7 + P10 + P11: an upload file written in item order and read back:
-    row numbers as in the file, rows without number, name and brand dropped."""
-    p = read_table(spark, sf_dir, "part")
+       CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS brand FROM u WHERE NOT blank"""
+
+
+def _upload_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """The parts and, by header, the cells of an upload of them."""
     k, blank = F.col("p_partkey"), F.col("p_partkey") % 60 == 11
     cells = [F.when(blank | (k % 7 == 0), "").otherwise(F.col("p_brand")), F.when(~blank, F.concat(F.lit("IT"), k.cast("string"))),
              F.col("p_type"), F.lit(""), F.when(~blank, F.col("p_name")), k.cast("string")]
     headers = [" BRAND NAME", "Wise Item No ", "Catalog No", "Mainframe Description", "win item name", "Other"]
+    return read_table(spark, sf_dir, "part"), dict(zip(headers, cells, strict=True))
+
+
+@register("upload_file_rows", ORACLE_OF_FILE_ROWS)
+def upload_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + P10 + P11: an upload file written in item order and read back:
+    row numbers as in the file, rows without number, name and brand dropped."""
+    p, cells = _upload_cells(spark, sf_dir)
     path = scratch(spark, "upload-file")
-    (p.orderBy("p_partkey").select(*[c.alias(h) for c, h in zip(cells, headers)])
+    (p.orderBy("p_partkey").select(*[c.alias(h) for h, c in cells.items()])
      .write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return upl.read_upload(spark, path).select("ordinal", "item_number", "item_name", "brand")
+
+
+@register("upload_workbook_rows", ORACLE_OF_FILE_ROWS)
+def upload_workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + P10 + P11 for spreadsheets: the same rows as workbooks of 700 rows."""
+    p, cells = _upload_cells(spark, sf_dir)
+    path = scratch(spark, "upload-workbooks")
+    written = wbk.write_workbooks(p.select("p_partkey", *[F.nullif(c, F.lit("")).alias(h) for h, c in cells.items()]), path, ["p_partkey"], 700)
+    written.count()
+    rows, _ = upl.read_workbooks(spark, path)
+    return rows.select("ordinal", "item_number", "item_name", "brand")
+
+
+# --------------------------------------------------------------------------- M8: quantities in every notation
+
+# Names by form, and for each the kinds and values (of the part's size n) that
+# they state; the values are stated, not read from the names.
+NOTATIONS = [
+    ("Duct Fan {n} in. {n},250 CFM", [("size", "n"), ("cfm", "n * 1000 + 250")]),
+    ("{n}-1/2 in x {n} ft Copper Pipe", [("size", "n + 0.5"), ("length", "n * 12")]),
+    ("{n} 3/4\" Elbow", [("size", "n + 0.75")]),
+    ("Motor 1/{n} HP 115/230V", [("hp", "1 / n"), ("voltage", "115"), ("voltage", "230")]),
+    ("Relay {n}00 mA 24 VDC", [("amps", "n / 10"), ("voltage", "24")]),
+    ("Breaker {n}-60 Amp 1.5 kW", [("amps", "n"), ("amps", "60"), ("watts", "1500")]),
+    ("Valve {n} mm, 2 bar", [("size", "n / 25.4"), ("pressure", "29.0075")]),
+    ("Pump {n}0 gph {n} psi", [("gpm", "n / 6"), ("pressure", "n")]),
+    ("Grille {n} x 4 x 8 inch", [("size", "n"), ("size", "4"), ("size", "8")]),
+    ("Cord schedule 40 {n} feet w/ plug", [("length", "n * 12")]),
+    ("Widget {n}", []),
+    ("Plug nema {n}-15p .5 in", [("size", "0.5")]),
+]
+
+
+def _stated(form: list[tuple[str, str]]) -> str:
+    rows = [f"{{'place': {i}, 'kind': '{kind}', 'value': round(CAST({value} AS DOUBLE), 4)}}" for i, (kind, value) in enumerate(form)]
+    return f"[{', '.join(rows)}]"
+
+
+@register("quantity_notations", "SELECT p_partkey, x.place, x.kind, x.value FROM (SELECT p_partkey, unnest(CASE k "
+          + " ".join(f"WHEN {i} THEN {_stated(form)}" for i, (_, form) in enumerate(NOTATIONS) if form)
+          + f" END) AS x FROM (SELECT p_partkey, p_partkey % {len(NOTATIONS)} AS k, CAST(p_size AS DOUBLE) AS n FROM part))")
+def quantity_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: quantities read from a name of every part, in base units."""
+    parts = read_table(spark, sf_dir, "part")
+    form = F.get(F.array(*[F.lit(name) for name, _ in NOTATIONS]), F.pmod(F.col("p_partkey"), F.lit(len(NOTATIONS))).cast("int"))
+    found = qt.quantities(F.replace(form, F.lit("{n}"), F.col("p_size").cast("string")))
+    return (parts.select("p_partkey", F.posexplode(found).alias("place", "q"))
+            .select("p_partkey", "place", F.col("q.kind").alias("kind"), F.col("q.value").alias("value")))
+
+
+# --------------------------------------------------------------------------- V4: product codes
+
+@register("vector_codes_recall", f"""SELECT count(*) AS queries, true AS recall_reached, true AS within_a_tenth
+FROM embeddings WHERE len(embedding) = {vx.DEFAULT_DIM} AND list_sum(list_transform(embedding, lambda x: x * x)) > 0""")
+def vector_codes_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4 through codes: every vector as a query, recall at 10 of 0.9 or more
+    with at most a tenth of the whole-vector distances of the exact search."""
+    v = rg._vectors(spark, sf_dir)
+    q = v.withColumnRenamed("id", "query_id")
+    recall = vx.recall_at_k(codes.knn_codes(q, v, k=10), vx.knn(q, v, k=10))
+    return recall.agg(F.count(F.lit(1)).alias("queries"), (F.max("mean_recall") >= 0.9).alias("recall_reached"),
+                      (F.lit(10 * codes.SHORT_LIST) * 10 <= F.count(F.lit(1))).alias("within_a_tenth"))

@@ -96,9 +96,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage: a reliable checkpoint written
-    to the shared folder named by ``spark.checkpoint.dir`` (never a local
-    checkpoint), so later branches that read it do not recompute the plan
-    and a lost executor does not lose it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage: a table written as Parquet to
+    the shared folder named by ``spark.checkpoint.dir`` and read back, so later
+    branches that read it take only the columns and rows they need, do not
+    recompute the plan, and a lost executor does not lose it."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

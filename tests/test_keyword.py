@@ -61,14 +61,15 @@ def test_blank_query_is_not_scored(spark):
     assert kw.validate_queries(q).where("error IS NOT NULL").count() == 2
 
 
-def _lev(a, b):
-    prev = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        cur = [i]
-        for j, cb in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
-        prev = cur
-    return prev[-1]
+def _osa(a, b):
+    """Edits with adjacent swaps counted once (optimal string alignment)."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 def test_fuzzy_expansion_equals_brute_force(spark):
@@ -87,7 +88,7 @@ def test_fuzzy_expansion_equals_brute_force(spark):
             for w in vocab:
                 if prefix and w[:prefix] != t[:prefix]:
                     continue
-                d = _lev(t, w)
+                d = _osa(t, w)
                 if d <= k:
                     want.add((t, w, d))
         assert got == want
@@ -98,21 +99,35 @@ def test_fuzzy_expansion_of_long_terms(spark):
 
     def edited(t, n):
         for _ in range(n):
-            i, kind = rnd.randrange(len(t)), rnd.randrange(3)
-            t = t[:i] + (rnd.choice("ab") if kind else "") + t[i + (kind != 1):]
+            i, kind = rnd.randrange(len(t)), rnd.randrange(4)
+            if kind == 3:
+                t = t[:i] + t[i:i + 2][::-1] + t[i + 2:]
+            else:
+                t = t[:i] + (rnd.choice("ab") if kind else "") + t[i + (kind != 1):]
         return t
 
     terms = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(16, 60))) for _ in range(40)})
     vocab = sorted({edited(t, n) for t in terms for n in (0, 1, 2, 2, 2, 3)})
     v = spark.createDataFrame([("f", t) for t in vocab], "field string, term string")
     q = spark.createDataFrame([("f", t) for t in terms], "field string, term string")
-    want = {(t, w, _lev(t, w)) for t in terms for w in vocab if abs(len(t) - len(w)) <= 2 and _lev(t, w) <= 2}
+    want = {(t, w, _osa(t, w)) for t in terms for w in vocab if abs(len(t) - len(w)) <= 2 and _osa(t, w) <= 2}
     for prefix in (0, 2):
         got = {(r["term"], r["match_term"], r["edits"])
                for r in kw.fuzzy_expand(q, v, prefix_length=prefix, max_expansions=10_000).collect()}
         assert got == {x for x in want if x[0][:prefix] == x[1][:prefix]}
 
 
+def test_swaps_are_one_edit(spark):
+    words = ["the", "motor", "receive", "abcdef", "xyabc"]
+    v = spark.createDataFrame([("f", w) for w in words], "field string, term string")
+    q = spark.createDataFrame([("f", w) for w in ["teh", "mtoor", "recieve", "badcef", "badcfe", "xyca"]], "field string, term string")
+    got = {(r.term, r.match_term, r.edits) for r in kw.fuzzy_expand(q, v, prefix_length=0).collect()}
+    # three swaps are too many; "ca" to "abc" would edit a swapped pair again
+    assert got == {("teh", "the", 1), ("mtoor", "motor", 1), ("recieve", "receive", 1), ("badcef", "abcdef", 2)}
+    got = {(r.term, r.match_term) for r in kw.fuzzy_expand(q, v, prefix_length=2).collect()}
+    assert got == {("recieve", "receive")}
+
+
 def test_max_expansions_keeps_best(spark):
     v = spark.createDataFrame([("f", w) for w in ["pipe", "pipes", "piped", "pipex", "pip"]], "field string, term string")
     q = spark.createDataFrame([("f", "pipe")], "field string, term string")
