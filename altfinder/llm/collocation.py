@@ -7,6 +7,11 @@ piece-end corrections. Only edges are counted over the corpus. The count of a
 shorter phrase is the flow of its node: the weights of all edges that begin
 with it, end-marked ones included.
 
+0. Sketch: words are counted into ``CELLS`` cells by hash. A word whose cell
+   stays below ``min_count`` is certainly rarer than that, so no candidate holds
+   it. It ends a piece like a delimiter does: the flow of the nodes before it is
+   the same. The sketch has a fixed size; when many words share its cells it
+   spares less and loses nothing.
 1. Scan: an Arrow task turns words into numbers of its own, counts its edges by
    one sort, and deals them in packets, one for each bucket of the first two
    words: a word list and columns of numbers, compressed.
@@ -21,11 +26,13 @@ with it, end-marked ones included.
    only with ``min_count`` or more; flows of single words, and of nodes split
    over buckets, leave as parts and are summed.
 
-Phrases are told by their words, never by hashes; hashes only choose buckets.
+Phrases are told by their words, never by hashes; hashes only choose buckets
+and cells.
 """
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +52,14 @@ FLUSH_WORDS = 1_500_000
 BUCKET_EDGES = 4_000_000
 MAX_FAN_OUT = 4096
 AGAIN = 64  # buckets that a bucket is split into
+CELLS = 1 << 26
+CHUNKS = 256  # rows that a sketch travels in
 
 _TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Piece delimiters become 0xFF, a byte that UTF-8 never has.
 _CUT = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else _TO_LOWER[b] for b in range(256))
 PACKETS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("edges", pa.int64()), ("packet", pa.binary())])
+SKETCH = pa.schema([("lang", pa.string()), ("words", pa.int64()), ("chunk", pa.int32()), ("cells", pa.binary())])
 FLOWS = pa.schema([*PACKETS, ("words", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("flow", pa.int64())])
 
 
@@ -67,6 +77,42 @@ class _Numbers(dict):
         return list(self)[1:]
 
 
+def _hashes(words: list[bytes], seed: int) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+
+
+def _seed(lang: str, level: int) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), level)
+
+
+def _cells(words: list[bytes], lang: str) -> np.ndarray:
+    return (_hashes(words, _seed(lang, 99)) % np.uint64(CELLS)).astype(np.int64)
+
+
+class _Kept:
+    """Words of one language that may be frequent, with numbers from 1; others
+    and the piece mark have number 0. Emptied with each flush."""
+
+    def __init__(self, lang: str, frequent: np.ndarray):
+        self.lang, self.frequent = lang, frequent
+        self.number: dict[bytes, int] = {b"\xff": END}
+        self.words: list[bytes] = []
+
+    def row(self, words: list[bytes]) -> np.ndarray:
+        new = list(set(words).difference(self.number))
+        if new:
+            cells = _cells(new, self.lang)
+            may = (self.frequent[cells >> 3] >> (cells & 7)) & 1
+            for word, kept in zip(new, may.tolist(), strict=True):
+                if kept:
+                    self.words.append(word)
+                    self.number[word] = len(self.words)
+                else:
+                    self.number[word] = END
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int32, count=len(words))
+
+
 def piece_words(text: str) -> list[bytes]:
     """Words of a text, lower-cased A-Z, with b'\\xff' wherever a piece ends."""
     return text.encode("utf-8", "surrogatepass").translate(_CUT).replace(b"\xff", b" \xff ").split()
@@ -159,10 +205,8 @@ def _dealt(words: list[bytes], columns: list[np.ndarray], weights: np.ndarray, l
            lang: str) -> Iterator[tuple]:
     """Packets (bucket, lang, edges, packet) of the edges, by the hash of
     their first words. A bucket's number holds its parent's."""
-    seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=level)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=level) for w in words), dtype=np.uint64, count=len(words))
-    hashes = np.concatenate([np.zeros(1, dtype=np.uint64), hashes])
-    key = np.full(len(weights), seed, dtype=np.uint64)
+    hashes = np.concatenate([np.zeros(1, dtype=np.uint64), _hashes(words, level)])
+    key = np.full(len(weights), _seed(lang, level), dtype=np.uint64)
     for c in columns[:ROUNDS[level]]:
         key = mix64(key ^ hashes[c])
     bucket = (key % np.uint64(fan_out)).astype(np.int64)
@@ -192,28 +236,102 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, held: int = 16 << 20) ->
         yield batch()
 
 
-def _scan(fan_out: int, flush: int):
+def _sketch(flush: int):
+    """mapInArrow: texts (lang, text) to (lang, words, chunk, cells), counts of
+    cells by chunk, and once a flush each language's number of words."""
+    width = CELLS // CHUNKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, collections.Counter] = {}
+        n = 0
+
+        def emptied() -> pa.RecordBatch:
+            rows, cells, counts = [], [], []
+            for lang, counter in held.items():
+                total = sum(counter.values()) - counter.pop(b"\xff", 0)
+                rows.append((lang, total, None, None))
+                cells.append(_cells(list(counter), lang))
+                counts.append(np.fromiter(counter.values(), dtype=np.int64, count=len(counter)))
+            held.clear()
+            cells, counts = np.concatenate(cells), np.concatenate(counts)
+            order = np.argsort(cells)
+            cells, starts = np.unique(cells[order], return_index=True)
+            counts = np.minimum(np.add.reduceat(counts[order], starts), 1 << 30).astype(np.uint32) if len(starts) else counts
+            cuts = np.searchsorted(cells, np.arange(0, CELLS + 1, width)).tolist()
+            pack = zstandard.ZstdCompressor(level=1).compress
+            for chunk, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if hi > lo:
+                    steps = np.diff(cells[lo:hi], prepend=chunk * width).astype(np.uint32)
+                    rows.append((None, None, chunk, pack(_planes(np.concatenate([steps, counts[lo:hi]])))))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SKETCH.types, strict=True)], schema=SKETCH)
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = piece_words(text.as_py())
+                held.setdefault(lang, collections.Counter()).update(words)
+                n += len(words)
+                if n >= flush:
+                    yield emptied()
+                    n = 0
+        if held:
+            yield emptied()
+
+    return run
+
+
+def _chunk_bits(min_count: int):
+    """applyInArrow: the parts of a chunk to one bit a cell: it may hold a word
+    of ``min_count`` or more."""
+    width = CELLS // CHUNKS
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(width, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column("cells"):
+                raw = zstandard.ZstdDecompressor().decompress(packed.as_py())
+                steps, more = np.split(_values(raw, len(raw) // 4, np.uint32), 2)
+                counts[np.cumsum(steps.astype(np.int64))] += more
+        bits = np.packbits(counts >= min_count, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits], pa.binary())], names=["chunk", "bits"])
+
+    return run
+
+
+def frequent_cells(texts: DataFrame, min_count: int, flush: int) -> tuple[np.ndarray, DataFrame]:
+    """(a bit for each cell that may hold a frequent word, in CELLS / 8 bytes;
+    (lang, n), the words of each language)."""
+    parts = written(texts.mapInArrow(_sketch(flush), "lang string, words long, chunk int, cells binary"), "phrases-sketch")
+    bits = np.zeros(CELLS // 8, dtype=np.uint8)
+    width = len(bits) // CHUNKS
+    chunks = parts.where("chunk is not null").select("chunk", "cells")
+    for row in chunks.groupBy("chunk").applyInArrow(_chunk_bits(min_count), "chunk int, bits binary").collect():
+        bits[row["chunk"] * width:(row["chunk"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
+    totals = parts.where("chunk is null").groupBy("lang").agg(F.sum("words").alias("n"))
+    return bits, totals
+
+
+def _scan(frequent, fan_out: int, flush: int):
     """mapInArrow: texts (lang, text) to packets of counted edges."""
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
+        held: dict[str, tuple[_Kept, list[np.ndarray]]] = {}
         n = 0
         end = np.zeros(1, dtype=np.int32)
 
         def emptied() -> Iterator[tuple]:
-            for lang, (numbers, rows) in held.items():
-                columns, weights = summed(edges_of(np.concatenate(rows)), None, len(numbers))
+            for lang, (kept, rows) in held.items():
+                columns, weights = summed(edges_of(np.concatenate(rows)), None, len(kept.words) + 1)
                 if len(weights):
-                    yield from _dealt(numbers.words(), columns, weights, 0, fan_out, 1, lang)
+                    yield from _dealt(kept.words, columns, weights, 0, fan_out, 1, lang)
             held.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = piece_words(text.as_py())
                 if lang not in held:
-                    held[lang] = (_Numbers(), [])
-                numbers, rows = held[lang]
-                row = np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))
-                rows += (row, end)
+                    held[lang] = (_Kept(lang, frequent.value), [])
+                kept, rows = held[lang]
+                rows += (kept.row(words), end)
                 n += len(words)
                 if n >= flush:
                     yield from emptied()
@@ -296,15 +414,18 @@ def _merge(level: int, min_count: int, bucket_edges: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, min_count: int = 30, bucket_edges: int = BUCKET_EDGES, flush: int = FLUSH_WORDS) -> DataFrame:
-    """(lang, phrase, words, count): every phrase of 1 to 4 words that stands
-    ``min_count`` times or more in the pieces of its language, and every single
-    word whatever its count. Null texts count as empty, a null lang is 'und'."""
+def phrase_counts(docs: DataFrame, min_count: int = 30, bucket_edges: int = BUCKET_EDGES, flush: int = FLUSH_WORDS
+                  ) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, words, count): every phrase of 1 to 4 words that stands
+    ``min_count`` times or more in the pieces of its language; (lang, n): its
+    words). Null texts count as empty, a null lang is 'und'."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text is not null")
+    bits, totals = frequent_cells(texts, min_count, flush)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a word takes some six bytes
     fan_out = int(min(MAX_FAN_OUT, max(1, -(-size // (6 * (bucket_edges // 3))))))
-    packets = texts.mapInArrow(_scan(fan_out, flush), "bucket long, lang string, edges long, packet binary")
+    frequent = docs.sparkSession.sparkContext.broadcast(bits)
+    packets = texts.mapInArrow(_scan(frequent, fan_out, flush), "bucket long, lang string, edges long, packet binary")
     merged = None
     for level in range(len(ROUNDS)):
         out = written(packets.groupBy("bucket", "lang").applyInArrow(
@@ -318,7 +439,7 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, bucket_edges: int = BUCK
     phrases = merged.select("lang", F.explode(F.sequence("lo", "hi")).alias("words"), F.col("words").alias("path"), "flow").select(
         "lang", F.expr("substring_index(path, ' ', words)").alias("phrase"), "words", "flow")
     counted = phrases.groupBy("lang", "phrase", "words").agg(F.sum("flow").alias("count"))
-    return counted.where((F.col("words") == 1) | (F.col("count") >= min_count))
+    return counted.where(F.col("count") >= min_count), totals
 
 
 def collocations(docs: DataFrame, min_count: int = 30, top: int = 2000, covered_percent: int = 80, scale: int = 2_000_000,
@@ -336,9 +457,8 @@ def collocations(docs: DataFrame, min_count: int = 30, top: int = 2000, covered_
     repeated rows count each time; an empty table gives no rows; other columns
     are ignored. Words may hold any character but blanks and delimiters.
     """
-    counts = written(phrase_counts(docs, min_count, bucket_edges, flush), "phrases-counts")
-    totals = counts.where("words = 1").groupBy("lang").agg(F.sum("count").alias("n"))
-    frequent = counts.where(F.col("count") >= min_count)
+    counts, totals = phrase_counts(docs, min_count, bucket_edges, flush)
+    frequent = written(counts, "phrases-counts")
     candidates = frequent.where("words > 1").withColumnRenamed("count", "a")
 
     whole = lambda c: F.col(c).cast("decimal(20,0)")
