@@ -1112,6 +1112,7 @@ def match_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- F5 (stream = batch fold)
 
+from altfinder.streaming import feedback_state as fstate  # noqa: E402
 from altfinder.streaming import feedback_stream as fstream  # noqa: E402
 
 
@@ -1130,6 +1131,19 @@ def feedback_stream_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("m.l").alias("likes"), F.col("m.d").alias("dislikes"))
 
 
+@register("feedback_state_table", FOLD_TABLE_SQL)
+def feedback_state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the same fold with keyed state in the state store."""
+    xref = dv.crossref_from_events(spark, sf_dir)
+    base = scratch(spark, "feedback-state")
+    events = dv.feedback_of(read_stream(spark, sf_dir, "events"))
+    fstate.start(events, xref, f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    new = fstate.table(spark, xref, f"{base}/state")
+    return new.select("item_number", F.posexplode("matches").alias("pos", "m")).select(
+        "item_number", F.col("pos").cast("int").alias("pos"), F.col("m.r").alias("r"),
+        F.col("m.l").alias("likes"), F.col("m.d").alias("dislikes"))
+
+
 # --------------------------------------------------------------------------- I5-I7 as a stream
 
 from altfinder.streaming import ingest_stream as istream  # noqa: E402

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from altfinder.operators import feedback as fb
 from altfinder.schemas import CROSSREF_SCHEMA
+from altfinder.streaming import feedback_state as fst
 from altfinder.streaming import feedback_stream as fs
 
 
@@ -63,6 +64,42 @@ def test_stream_equals_batch(spark, tmp_base):
     assert norm(batch) == norm(_streamed(spark, tmp_base, ev, t, 5, 3))  # restarted after each file, merged twice
 
 
+def test_keyed_state_equals_batch_in_any_order_of_arrival(spark, tmp_base):
+    import os
+    import shutil
+
+    t = table(spark, [("S", [("A|90|", None, None), ("B|80|", 0, 6), ("A|70|", 2, 4)]), ("N", [("A|1|", None, None)]), ("E", [])])
+    rows = [(h, "S", "A" if h % 3 else "B", "dislike" if h % 2 else "like") for h in range(40)]
+    rows += [(5, "N", "A", "dislike")] * 4 + [(33, "N", "A", "like"), (7, "E", "A", "like"), (8, "S", "Z", "like"), (9, "S", "A", "wow")]
+    rows += [(1, "N", "A", "dislike"), (2, "N", "A", "like")]  # these two come with the last file: late
+    ev = events(spark, rows)
+    last = len(rows) - 2
+    # files hold ten hours each; every fourth event comes a file late, less than the delay
+    place = F.floor(F.hour("ts") / 10 + F.datediff("ts", F.lit("2024-01-01").cast("date")) * 2.4)
+    filed = ev.withColumn("file", F.when(F.col("event_id") >= last, 4).otherwise(
+        F.least(F.lit(4), place + (F.col("event_id") % 4 == 3).cast("int")))).persist()
+    os.makedirs(f"{tmp_base}/events")
+    names = []
+    for k in range(5):
+        filed.where(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{tmp_base}/part{k}")
+        names.append(next(f for f in os.listdir(f"{tmp_base}/part{k}") if f.endswith(".parquet")))
+    late = 0
+    for present in (2, 5):  # stopped after two files, then started again with the others
+        for k in range(present):
+            if not os.path.exists(f"{tmp_base}/events/f{k}.parquet"):
+                shutil.copy(f"{tmp_base}/part{k}/{names[k]}", f"{tmp_base}/events/f{k}.parquet")
+                os.utime(f"{tmp_base}/events/f{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_base}/events")
+        query = fst.start(stream, t, f"{tmp_base}/state", f"{tmp_base}/checkpoint", delay="16 hours")
+        query.awaitTermination()
+        late += fst.late_events(query)
+        norm = lambda df: sorted((r["item_number"], [(m["r"], m["l"], m["d"]) for m in r["matches"]])
+                                 for r in df.collect())
+        seen = filed.where((F.col("file") < present) & (F.col("event_id") < last)).drop("file")
+        assert norm(fst.table(spark, t, f"{tmp_base}/state")) == norm(fb.fold(t, seen)[0])
+    assert late == 2
+
+
 def _python_fold(lists, evs):
     """The reference's one-request-at-a-time fold, in plain Python."""
     lists = {k: [dict(r=r, l=l or 0, d=d or 0) for r, l, d in v] for k, v in lists.items()}
