@@ -120,6 +120,7 @@ def manifest(docs: DataFrame, fanout: int = FANOUT) -> DataFrame:
     tamper = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0, F.lit(False))
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("1"), "lang"), F.lit("0")).alias("tree"), leaf_digest().alias("leaf"),
                        F.when(tamper, leaf_digest(F.translate("text", UPPER, LOWER))).alias("changed"))
+    rows = written(rows, "merkle-rows")  # hashed once; the numbering reads them twice
     leaves = written(numbered(rows, ["tree"], [F.col("doc_id"), F.col("leaf")], "at"), "merkle-leaves")
     counts = written(leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), "merkle-counts")
     most, trees = counts.agg(F.max("n"), F.count(F.lit(1))).first()
