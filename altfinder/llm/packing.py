@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +77,7 @@ class Tokens(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = self[piece] = np.array(self.plain.encode_ordinary(" " + piece), dtype="<u2").tobytes()
+        ids = self[piece] = array("H", self.plain.encode_ordinary(" " + piece)).tobytes()
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -109,8 +111,8 @@ def _tokenized(path: str, window: int):
                 full = len(ids) // window
                 rest = ids[full * window:]
                 held.append((docs[i].as_py(), len(ids), [crc(ids[k * window:(k + 1) * window]) for k in range(full)],
-                             rest.astype("<u2").tobytes(), *bag_bytes(ids if full and len(rest) else rest[:0])))
-                weight += 2 * len(rest) + 8 * full
+                             rest.astype("<u2").tobytes(), *bag_bytes(ids if len(rest) else rest[:0])))
+                weight += 8 * len(rest) + 8 * full
                 if weight >= 4 << 20 or len(held) >= 5_000:
                     yield _rows(held, _DOC)
                     held, weight = [], 0
@@ -128,8 +130,7 @@ def bag_bytes(ids: np.ndarray) -> tuple[bytes | None, bytes | None]:
 
 
 def bag(rest: bytes, terms: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a document and how often it has each. They are kept
-    for documents of more than a window; others are their left-over."""
+    """The distinct ids of a document with a left-over, and how often it has each."""
     if terms is None:
         return np.unique(np.frombuffer(rest, dtype="<u2"), return_counts=True)
     return np.frombuffer(terms, dtype="<u2"), np.frombuffer(counts, dtype="<u4").astype(np.int64)
@@ -381,8 +382,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
     df[known["id"].to_numpy(np.int64)] = known["n"].to_numpy()
     idf = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5))) * (df > 0)
     mean = n_tokens / max(1, n_docs)
-    seen = (held.where(F.octet_length("rest") > 0).select(F.xxhash64("doc_id", "rest").alias("at"), "rest", "terms", "counts")
-            .orderBy("at").limit(sample).collect())
+    # a cutoff first, so that what the tasks send does not grow with their number
+    place, span = F.pmod(F.xxhash64("doc_id", "rest"), F.lit(1 << 30)), min(1 << 30, math.ceil((1 << 30) * 2 * sample / max(1, n_docs)))
+    seen = (held.where(F.octet_length("rest") > 0).select(place.alias("at"), "rest", "terms", "counts").where(F.col("at") < span)
+            .orderBy("at", "rest").limit(sample).collect())
     points = np.array([point(*weighed(*bag(r.rest, r.terms, r.counts), idf, mean)) for r in seen]).reshape(-1, DIMENSIONS)
     in_rest = np.array([len(r.rest) / 2 for r in seen])
     per_row = n_docs / max(1, len(seen))
