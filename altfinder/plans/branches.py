@@ -503,6 +503,31 @@ def catalog_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return br.rank_rows(rg.clean_inventory(spark, sf_dir)).select("id", "row_index", "page")
 
 
+@register("catalog_page_by_seek", f"""WITH {rg.CLEAN_INV_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS row_index FROM docs)
+SELECT id, item_number, item_name FROM r WHERE row_index // 50 + 1 = 7""")
+def catalog_page_by_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page found in the index of pages and read by its range of ids."""
+    docs = materialize(rg.clean_inventory(spark, sf_dir).repartitionByRange("id").sortWithinPartitions("id"))
+    index = materialize(br.page_index(docs))
+    return br.seek_page(docs, index, 7).select("id", "item_number", "item_name")
+
+
+ACCENTED = ["", "É", "e", "Ä ", "z-", "Zoë ", "o'", "10 ", "9 ", "ñ"]
+
+
+@register("catalog_sorted_by_locale", f"""WITH n AS (
+  SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE
+         CASE p_partkey % 10 {" ".join("WHEN %d THEN '%s'" % (i, a.replace("'", "''")) for i, a in enumerate(ACCENTED))} END || p_name END AS item_name
+  FROM part)
+SELECT id, item_name, row_number() OVER (ORDER BY lower(coalesce(item_name, '')) COLLATE "en_us", id) - 1 AS row_index FROM n""")
+def catalog_sorted_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: names with accents, marks and digits in locale order, ties by id."""
+    k = F.col("p_partkey")
+    first = F.get(F.array(*[F.lit(a) for a in ACCENTED]), (k % 10).cast("int"))
+    named = read_table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 17 != 0, F.concat(first, "p_name")).alias("item_name"))
+    return br.rank_rows(named, "name_asc", collation="UNICODE").select("id", "item_name", "row_index")
+
+
 ORACLE_OF_FILE_ROWS = """WITH u AS (
   SELECT row_number() OVER (ORDER BY p_partkey) AS ordinal, p_partkey % 60 = 11 AS blank, * FROM part
 )
