@@ -16,9 +16,7 @@ from __future__ import annotations
 import functools
 import json
 import math
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +31,6 @@ WINDOW = 1024
 SPECIAL = "<|endoftext|>"
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_DOUBLE = re.compile(r"\s\s")
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def default_tokenizer() -> str:
@@ -50,23 +46,20 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Tokens(dict):
-    """Encodes whole texts. A space between two visible characters always
-    begins a new pre-token, so a text is the join of its space-led pieces;
-    the ids of a piece are remembered (at most ``limit`` pieces)."""
+class Tokens:
+    """Encodes whole texts, each in one call; loaded once per worker."""
 
     _loaded: dict[str, Tokens] = {}
 
-    def __init__(self, path: str, limit: int = 400_000):
-        super().__init__()
+    def __init__(self, path: str):
         import tiktoken
 
-        self.path, self.limit, self.slow = path, limit, None
+        self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
-        self.plain = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def at(cls, path: str) -> Tokens:
@@ -74,12 +67,6 @@ class Tokens(dict):
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self[piece] = array("H", self.plain.encode_ordinary(" " + piece)).tobytes()
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         """The ids that the tokenizer file gives to the whole text."""
         if SPECIAL in text:
@@ -88,9 +75,7 @@ class Tokens(dict):
 
                 self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u2")
-        pieces = _BETWEEN.split(text) if _DOUBLE.search(text) else text.split(" ")
-        head = np.array(self.plain.encode_ordinary(pieces[0]), dtype="<u2").tobytes()
-        return np.frombuffer(head + b"".join(map(self.__getitem__, pieces[1:])), dtype="<u2")
+        return self.plain.encode_to_numpy(text).astype("<u2")
 
 
 def crc(ids: np.ndarray) -> int:
