@@ -104,3 +104,29 @@ def test_knn_by_codes(spark):
 def test_code_sample_is_bounded(spark):
     v, _ = _vectors(spark, n=900, dim=4)
     assert len(codes.train(v, sample_rows=100).centres) <= 30
+
+
+def test_ivf_scores_the_probed_cells_and_sends_a_query_once_per_block(spark):
+    v, m = _vectors(spark)
+    q = v.withColumnRenamed("id", "query_id")
+    centres = vx.sample_centres(v, 16)
+    cen = np.array([r["centre"] for r in centres.orderBy("cell").collect()], dtype=np.float64)
+    u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    cen /= np.linalg.norm(cen, axis=1, keepdims=True)
+    near = np.argsort(-np.rint(u @ cen.T * 1e6).astype(int), axis=1, kind="stable")
+    s = np.round(u @ u.T, 6)
+    want = {(a, j): s[a, j] for a in range(len(m)) for j in sorted(
+        (j for j in range(len(m)) if near[j, 0] in near[a, :5]), key=lambda j: (-s[a, j], j))[:4]}
+    for rows in (8, 64):  # cells cut into several blocks; several cells in a block
+        got = vx.knn_ivf(q, v, k=4, centres=centres, nprobe=5, q_block_rows=rows, v_block_rows=rows).collect()
+        assert {(r["query_id"], r["id"]): r["cosine"] for r in got} == want
+    plain_q, plain_v = q.select("query_id", F.col("embedding").alias("vec")), v.select("id", F.col("embedding").alias("vec"))
+    sent, _ = vx._probed_blocks(plain_q, vx._in_cells(plain_v, cen), cen, 12, 64, 128)
+    assert sent.count() == len(m)  # one block of vectors, though twelve cells are probed
+
+
+def test_small_blocks_do_not_multiply_the_rows_sent(spark):
+    v, m = _vectors(spark)
+    sent = vx._tiles(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("vec")),
+                     v.select("id", F.col("embedding").alias("vec")), 16, 16)
+    assert [side.count() for side in sent] == [len(m), len(m)]
