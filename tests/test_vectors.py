@@ -130,3 +130,20 @@ def test_small_blocks_do_not_multiply_the_rows_sent(spark):
     sent = vx._tiles(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("vec")),
                      v.select("id", F.col("embedding").alias("vec")), 16, 16)
     assert [side.count() for side in sent] == [len(m), len(m)]
+
+
+def test_later_blocks_of_a_tile_cannot_lose_ties_or_better_vectors():
+    rnd = np.random.default_rng(3)
+    m = vx._unit(rnd.integers(-1, 2, size=(700, 4)) + 0.0)  # many equal cosines
+    ids = rnd.permutation(700).astype(np.int64)
+    probed, cells = rnd.random((700, 9)) < 0.4, rnd.integers(0, 9, 700)
+    s = np.rint(m @ m.T * 1e6).astype(int)
+    for mask in (None, probed):
+        got = vx._topk_tile(ids, m, ids, m, 6, 50, 16, mask, None if mask is None else cells)
+        found = {}
+        for q, v, _ in zip(*got):
+            found.setdefault(q, set()).add(v)
+        for i in range(700):
+            js = [j for j in range(700) if mask is None or mask[i, cells[j]]]
+            want = {ids[j] for j in sorted(js, key=lambda j: (-s[i, j], ids[j]))[:6]}
+            assert found.get(ids[i], set()) == want
