@@ -160,3 +160,14 @@ def test_pruned_top_k_equals_scoring_every_pair(spark, k):
     cols = ["query_id", "rank", "id", "score", "best_field"]
     want = sorted(map(tuple, full.select(cols).collect()))
     assert sorted(map(tuple, pruned.select(cols).collect())) == want and len(want) == 30 * k
+
+
+def test_index_tasks_follow_the_documents_and_pairs_are_dealt_before_sums(spark, monkeypatch):
+    monkeypatch.setattr(kw, "DOCS_PER_TASK", 10)
+    docs = spark.range(200).select("id", F.concat(F.lit("steel pipe w"), F.col("id") % 9).alias("text"))
+    assert kw._term_counts(docs, ["text"], "id", False).rdd.getNumPartitions() == 20
+    queries = docs.where("id < 5").select(F.col("id").alias("query_id"), "text")
+    hits = kw.search(kw.KeywordIndex.build(docs, ["text"]), queries, ["text"], k=3, fuzzy=False)
+    plan = hits._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2  # the hits and the totals
+    assert {r["total_hits"] for r in hits.collect()} == {200}
