@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, written
+from .common import Rolling, WordHashes
 
 LEAST = 8
 COVERED = 0.8
@@ -237,41 +237,44 @@ def suffixes(host: str, stream: list[str], least: int = LEAST) -> tuple[np.ndarr
     return names.view(np.int64), np.array(owner, np.int64), np.arange(len(names))
 
 
-_STREAM = pa.schema([("host", pa.string()), ("page", pa.int64()), ("stream", pa.string())])
+_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()),
+                   ("marks", pa.list_(pa.int32())), ("stream", pa.string())])
 _COUNT = pa.schema([("host", pa.string()), ("s", pa.int64()), ("n", pa.int64())])
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]*)"
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, stream): all blocks of a page, a line each. Pages of one
-    host with equal blocks outside the noise are one page; a task sends it once."""
+    """Of each page: the marks of its blocks, and their texts, a line each. Pages
+    of one host with equal blocks outside the noise are one page; a task names it
+    once, by ``page``, which is null in its copies and in pages without text."""
     import xxhash
 
     sent: set[tuple[str, int]] = set()
     for batch in batches:
-        hosts, pages = batch.columns
+        ids, urls, hosts, pages = batch.columns
         for s in range(0, batch.num_rows, 500):
             rows = []
             for i in range(s, min(s + 500, batch.num_rows)):
                 host, found = hosts[i].as_py(), blocks(pages[i].as_py() or "")
                 own = "\n".join(text for marks, text in found if marks != NOISE)
-                if not own:
-                    continue
-                page = xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")) - (1 << 63)
-                if (host, page) in sent:
-                    continue
-                if len(sent) >= 200_000:
-                    sent.clear()
-                sent.add((host, page))
-                rows.append((host, page, "\n".join(text for _, text in found)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STREAM)], schema=_STREAM)
+                page = None
+                if own:
+                    page = xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    if (host, page) in sent:
+                        page = None
+                    else:
+                        if len(sent) >= 200_000:
+                            sent.clear()
+                        sent.add((host, page))
+                rows.append((ids[i].as_py(), urls[i].as_py(), host, page, [marks for marks, _ in found],
+                             "\n".join(text for _, text in found)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PAGE)], schema=_PAGE)
 
 
 def _counts(least: int, share: float, most: int = 4 << 20):
     """Of rows sorted by host, part and page: how many distinct pages there are
-    (s null), and how many have each suffix. A host that is one part is decided
+    (s null), and how many have each suffix; rows without a page are passed over. A host that is one part is decided
     here. The parts of a larger one are random, so a suffix is named where a
     quarter of the asked share has it, and in parts of few pages always."""
     def told(host: str, pages: list[np.ndarray], whole: bool) -> pa.RecordBatch:
@@ -286,6 +289,8 @@ def _counts(least: int, share: float, most: int = 4 << 20):
         for batch in batches:
             hosts, parts, part, ids, streams = (batch.column(c) for c in ("host", "parts", "part", "page", "stream"))
             for i in range(batch.num_rows):
+                if not ids[i].is_valid:
+                    continue
                 now = (hosts[i].as_py(), part[i].as_py(), parts[i].as_py())
                 if now != at or weight >= most:
                     if pages:
@@ -335,9 +340,12 @@ def main_text(found: list[tuple[int, str]], host: str, shared: list[int], firm:
 def _texts(least: int, covered: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, pages, shared, firm = (batch.column(c) for c in ("host", "html", "shared", "firm"))
-            texts = [main_text(blocks(pages[i].as_py() or ""), hosts[i].as_py(), shared[i].as_py() or [], firm[i].as_py() or [],
-                               least, covered) for i in range(batch.num_rows)]
+            hosts, marks, streams, shared, firm = (batch.column(c) for c in ("host", "marks", "stream", "shared", "firm"))
+            texts = []
+            for i in range(batch.num_rows):
+                found = marks[i].as_py()
+                found = list(zip(found, streams[i].as_py().split("\n"))) if found else []
+                texts.append(main_text(found, hosts[i].as_py(), shared[i].as_py() or [], firm[i].as_py() or [], least, covered))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
 
@@ -355,27 +363,29 @@ def extract(pages: DataFrame, least: int = LEAST, covered: float = COVERED, shar
     An empty table gives no rows; other columns are ignored.
 
     Hosts of over ``part_pages`` pages are counted in parts, so none is one
-    task; the table of their numbers of parts is broadcast.
+    task; the table of their numbers of parts is broadcast. A page is parsed
+    once and its blocks are dealt once: counting and cutting read the same
+    exchange, for which both take all of its columns.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html",
-                        F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"), "html")
     large = (rows.groupBy("host").count().where(F.col("count") > part_pages)
              .select("host", F.ceil(F.col("count") / part_pages).cast("long").alias("parts")))
-    dealt = (rows.select("host", "html").mapInArrow(_streams, "host string, page bigint, stream string")
+    # rows that are not counted are dealt by row, so that many copies of a page do not meet
+    key = F.coalesce("page", F.xxhash64("page_id", "url"))
+    dealt = (rows.mapInArrow(_streams, "page_id bigint, url string, host string, page bigint, marks array<int>, stream string")
              .join(F.broadcast(large), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-             .withColumn("part", F.pmod("page", "parts")))
-    counts = written(dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page")
-                     .select("host", "parts", "part", "page", "stream")
-                     .mapInArrow(_counts(least, share), "host string, s bigint, n bigint")
-                     .groupBy("host", "s").agg(F.sum("n").alias("n")), "pages-runs")
-    total = counts.where("s is null").select("host", F.col("n").alias("total"))
-    shared = (counts.where("s is not null and n >= 2").join(total, "host").where(F.col("n") >= F.col("total") * share)
+             .withColumn("part", F.pmod(key, "parts"))
+             .select("page_id", "url", "host", "parts", "part", "page", "marks", "stream").repartition("host", "part"))
+    counts = (dealt.sortWithinPartitions("host", "part", "page").mapInArrow(_counts(least, share), "host string, s bigint, n bigint")
+              .groupBy("host", "s").agg(F.sum("n").alias("n")))
+    # the row without a suffix holds the number of pages
+    total = F.max(F.when(F.col("s").isNull(), F.col("n"))).over(Window.partitionBy("host"))
+    shared = (counts.withColumn("total", total).where("s is not null and n >= 2").where(F.col("n") >= F.col("total") * share)
               .groupBy("host").agg(F.collect_list("s").alias("shared"),
                                    F.collect_list(F.when(F.col("n") >= firm, F.col("s"))).alias("firm")))
     # a large host's runs meet its pages in as many parts
     shared = (shared.join(F.broadcast(large), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
               .select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "shared", "firm"))
-    rows = (rows.join(F.broadcast(large), "host", "left")
-            .withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long")))))
-    return rows.join(shared, ["host", "part"], "left").select("page_id", "url", "host", "html", "shared", "firm").mapInArrow(
+    return dealt.join(shared, ["host", "part"], "left").mapInArrow(
         _texts(least, covered), "page_id bigint, url string, text string")

@@ -373,6 +373,21 @@ def test_html_copies_and_ordinary_repeats_stay(spark):
     assert all(texts_from(spark, near))
 
 
+def test_html_pages_are_dealt_once(spark):
+    club = "<p>Join our club today and get every offer first</p>"
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}/{i}", f"<body><p>{own_words(i)}</p>{club}</body>") for i in range(30)],
+                                  "page_id bigint, url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = htmltext.extract(pages)
+        out.collect()
+        ran = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ran.count("MapInArrow _streams") == 1  # parsed in one place
+    assert any("ReusedExchange" in line and "stream#" in line for line in ran.splitlines()), ran
+
+
 def test_html_containers(spark):
     long, more = own_words(1, 30), own_words(2)
     pages = [f"<main><h1>Title</h1><article><p>{long}</p></article></main>",
