@@ -171,3 +171,33 @@ def test_index_tasks_follow_the_documents_and_pairs_are_dealt_before_sums(spark,
     plan = hits._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("REPARTITION_BY_COL") == 2  # the hits and the totals
     assert {r["total_hits"] for r in hits.collect()} == {200}
+
+
+def test_pruned_top_k_writes_few_pairs(spark, monkeypatch):
+    """Values that share a frequent term with every query are ranked where
+    they meet: the pairs are neither written nor dealt out one by one."""
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, f"{words[i % 40]} {words[i * 7 % 40]} {words[i * i % 40]} x{i}") for i in range(600)],
+                                 "id bigint, name string")
+    queries = spark.createDataFrame([(i, f"{words[i % 40]} {words[i * 3 % 40]} {words[i * 11 % 40]}") for i in range(200)],
+                                    "query_id bigint, text string")
+    index = kw.KeywordIndex.build(docs, ["name"])
+    weighted = kw.weighted_terms(index, kw.query_terms(queries, ["name"]), fuzzy=False)
+    pairs = kw.score_pairs(index, weighted, ["name"]).withColumn("score", F.round("score", 4))
+    want = sorted(map(tuple, kw.top_k(pairs, 3).select("query_id", "rank", "id", "score").collect()))
+    written = []
+
+    def told(df):
+        out = real(df)
+        if "vid" in out.columns and "sq" in out.columns:
+            written.append(out.count())
+        return out
+    real = kw.materialize
+    monkeypatch.setattr(kw, "materialize", told)
+    got = sorted(map(tuple, kw.pruned_top_k(index, weighted, 3).select("query_id", "rank", "id", "score").collect()))
+    assert got == want
+    assert written and max(written) * 3 < pairs.count()
+    # the same over many small tiles
+    monkeypatch.setattr(kw, "TILE_QUERIES", 20, raising=False)
+    monkeypatch.setattr(kw, "TILE_VALUES", 60, raising=False)
+    assert sorted(map(tuple, kw.pruned_top_k(index, weighted, 3).select("query_id", "rank", "id", "score").collect())) == want
