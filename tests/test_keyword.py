@@ -201,3 +201,38 @@ def test_pruned_top_k_writes_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(kw, "TILE_QUERIES", 20, raising=False)
     monkeypatch.setattr(kw, "TILE_VALUES", 60, raising=False)
     assert sorted(map(tuple, kw.pruned_top_k(index, weighted, 3).select("query_id", "rank", "id", "score").collect())) == want
+
+
+@pytest.mark.parametrize("tile", [None, 7])
+def test_totals_from_tiles_equal_scoring_every_pair(spark, monkeypatch, tile):
+    """Repeated and null document ids, classes of equal documents, ties."""
+    rng = random.Random(3)
+    words = ["steel", "pipe", "brass", "in", "elbow", "elbows", "8", "12", "duct"]
+    name = lambda: " ".join(rng.choices(words, [9, 9, 3, 30, 2, 1, 4, 2, 1], k=rng.randint(1, 5)))
+    rows = [(None if i % 23 == 5 else i % 90, name(), rng.choice([None, "steel", name()])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "id long, a string, b string")
+    queries = spark.createDataFrame([(i, name()) for i in range(30)] + [(30, "zzz"), (31, ""), (None, "steel")],
+                                    "query_id long, text string")
+    index = kw.KeywordIndex.build(docs, ["a", "b"], edge=True)
+    fields = ["a", "b", "a.edge", "b.edge"]
+    weighted = kw.weighted_terms(index, kw.query_terms(queries, ["a", "b"], edge=True))
+    pairs = kw.score_pairs(index, weighted, fields).withColumn("score", F.round("score", 4))
+    totals = pairs.groupBy("query_id").agg(F.count("score").alias("total_hits"))
+    cols = ["query_id", "rank", "id", "score", "best_field", "total_hits"]
+    want = sorted(map(str, kw.top_k(pairs, 4).join(totals, "query_id").select(cols).collect()))
+    if tile:
+        monkeypatch.setattr(kw, "TILE_QUERIES", tile)
+        monkeypatch.setattr(kw, "TILE_VALUES", tile)
+    written = []
+
+    def told(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+    real = kw.materialize
+    monkeypatch.setattr(kw, "materialize", told)
+    hits = kw.search(index, queries, ["a", "b"], k=4, edge=True)
+    assert sorted(map(str, hits.select(cols).collect())) == want and len(want) == 120
+    assert "query_id" not in index.postings.columns and "sha2" not in want[0]
+    shuffled = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "match_term" not in shuffled  # the pairs were scored in the tiles, not in the plan of the hits
