@@ -236,3 +236,15 @@ def test_totals_from_tiles_equal_scoring_every_pair(spark, monkeypatch, tile):
     assert "query_id" not in index.postings.columns and "sha2" not in want[0]
     shuffled = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "match_term" not in shuffled  # the pairs were scored in the tiles, not in the plan of the hits
+
+
+def test_pairs_of_one_field_are_summed_in_tasks_of_bounded_size(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "id long, text string")
+    q = spark.createDataFrame([(n, "steel pipe fitting") for n in range(20)], "query_id long, text string")
+    index = kw.KeywordIndex.build(docs, ["text"])
+    weighted = kw.weighted_terms(index, kw.query_terms(q, ["text"]), fuzzy=False)
+    monkeypatch.setattr(kw, "PAIRS_PER_TASK", 10)
+    pairs = kw.score_pairs(index, weighted, ["text"])
+    # steel is in three documents, pipe in two, fitting in one: 20 x 6 sums, 10 to a task
+    assert pairs.rdd.getNumPartitions() == 12
+    assert pairs.count() == 20 * 3
