@@ -11,3 +11,11 @@ def test_written_table_is_not_broadcast_by_its_file_size(spark):
     other = materialize(rows.withColumnRenamed("id", "other"))
     plan = table.join(other, F.col("id") == F.col("other"))._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_a_small_table_is_embedded_on_all_cores(spark):
+    from altfinder.plans import substitutes as sb
+    from altfinder.schemas import TEXT_FIELDS
+
+    rows = spark.range(0, 500, 1, 1).select("id", *[F.concat(F.lit(f"{f} "), "id").alias(f) for f in TEXT_FIELDS])
+    assert sb._embedded(rows, 8, None).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
