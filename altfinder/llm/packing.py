@@ -17,6 +17,7 @@ import functools
 import json
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,10 @@ SPECIAL = "<|endoftext|>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Cuts every text as PATTERN does, without stepping back inside a run.
+FAST = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -59,7 +64,7 @@ class Tokens:
             vocabulary = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
-        self.plain = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain = tiktoken.Encoding("whole", pat_str=FAST, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def at(cls, path: str) -> Tokens:
@@ -75,7 +80,7 @@ class Tokens:
 
                 self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u2")
-        return self.plain.encode_to_numpy(text).astype("<u2")
+        return np.frombuffer(array("H", self.plain.encode_ordinary(text)), dtype=np.uint16)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -249,6 +254,20 @@ class Index:
         return np.bincount(self.doc_of[place], weights=self.weight[place], minlength=self.size)
 
 
+NEAR = 64
+
+
+def ranked(scores: np.ndarray) -> Iterator[int]:
+    """Places by falling score, equal ones in order. Few are asked for, so the
+    best come first from a part of the scores, the others if need be."""
+    seen = 0
+    if len(scores) > 2 * NEAR:
+        best = np.flatnonzero(scores >= np.partition(scores, -NEAR)[-NEAR])
+        yield from best[np.argsort(-scores[best], kind="stable")]
+        seen = len(best)
+    yield from np.argsort(-scores, kind="stable")[seen:]
+
+
 def fill(docs: list[np.ndarray], bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float,
          window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (doc, begin, end) pieces; all but the last are full."""
@@ -268,8 +287,7 @@ def fill(docs: list[np.ndarray], bags: list[tuple[np.ndarray, np.ndarray]], idf:
         rest = -1
         while room > 0:
             if best is None:
-                scores = np.where(free, index.scores(seed), -1.0)
-                best = iter(np.argsort(-scores, kind="stable"))
+                best = ranked(np.where(free, index.scores(seed), -1.0))
             near = next(best, None)
             if near is None or not free[near]:
                 break

@@ -403,3 +403,23 @@ def test_html_containers(spark):
     got = texts_from(spark, [(f"h{i}", page) for i, page in enumerate(pages)])
     assert got == [f"Title\n\n{long}", f"{long}\n\n{more}", long, f"{more}\n\n{long}", f"Title\n\n{long}", f"{long}\n\n{more}",
                    more, more, more, more]
+
+
+def test_packing_cuts_and_ranks_as_the_plain_forms():
+    import random
+
+    import numpy as np
+    import tiktoken
+
+    from altfinder.llm import packing
+
+    fast = packing.Tokens.at(packing.default_tokenizer()).plain
+    plain = tiktoken.Encoding("plain", pat_str=packing.PATTERN, mergeable_ranks=fast._mergeable_ranks, special_tokens={})
+    rnd = random.Random(4)
+    for _ in range(3_000):
+        text = "".join(rnd.choice(" \t\n\r  'sdmtlvreLé漢١2½#-_.\x85") for _ in range(rnd.randrange(14)))
+        assert fast.encode_ordinary(text) == plain.encode_ordinary(text)
+    for n in (1, packing.NEAR, 1_000):
+        scores = np.random.default_rng(n).integers(-1, 5, n).astype(float)
+        scores[: n // 3] = np.random.default_rng(n).random(n // 3)
+        assert list(packing.ranked(scores)) == np.argsort(-scores, kind="stable").tolist()
