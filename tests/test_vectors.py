@@ -147,3 +147,20 @@ def test_later_blocks_of_a_tile_cannot_lose_ties_or_better_vectors():
             js = [j for j in range(700) if mask is None or mask[i, cells[j]]]
             want = {ids[j] for j in sorted(js, key=lambda j: (-s[i, j], ids[j]))[:6]}
             assert found.get(ids[i], set()) == want
+
+
+def test_terms_are_counted_in_bounded_parts(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from altfinder.operators import vectors as vx
+
+    rows = [np.arange(n, dtype=np.int32) % 5 for n in (3, 0, 40, 7, 0, 1, 25)]
+    calls = []
+    count = np.bincount
+    monkeypatch.setattr(vx.np, "bincount", lambda x, **how: calls.append(len(x)) or count(x, **how))
+    monkeypatch.setattr(vx, "TERMS_AT_ONCE", 20)
+    got = vx._bucket_counts_to_unit.func(pd.Series(rows), pd.Series([5] * len(rows)))
+    want = [count(r, minlength=5) for r in rows]
+    assert np.allclose(np.stack(got), [w / max(1e-9, np.linalg.norm(w)) for w in want])
+    assert sum(calls) == 76 and max(calls) < 20 + 40
