@@ -19,3 +19,15 @@ def test_a_small_table_is_embedded_on_all_cores(spark):
 
     rows = spark.range(0, 500, 1, 1).select("id", *[F.concat(F.lit(f"{f} "), "id").alias(f) for f in TEXT_FIELDS])
     assert sb._embedded(rows, 8, None).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_candidates_are_planned_without_the_steps_of_their_legs(spark):
+    from altfinder.plans import substitutes as sb
+    from altfinder.schemas import TEXT_FIELDS
+
+    raw = spark.range(6).select("id", *[F.concat(F.lit(f"steel {f} "), "id").alias(f) for f in TEXT_FIELDS])
+    sources = raw.select(F.col("id").alias("query_id"), F.col("item_name").alias("query_text"))
+    found = sb.candidates(raw, sb.Legs.build(raw, 8), sources, top_k=2, dim=8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" not in plan  # the vector leg's tiles
+    assert "WindowGroupLimit" not in plan and found.where("in_vector").count() == 24
