@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,8 +35,13 @@ SPECIAL = "<|endoftext|>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-#: Cuts every text as PATTERN does, without stepping back inside a run.
-FAST = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: PATTERN without its look ahead, which only matters inside a run of white
+#: space. Cut such runs before their last character if a word follows, and this
+#: cuts the parts as PATTERN does the text, in one pass; ASCII texts need few classes.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CUT = re.compile(rf"[{SPACE}](?=[{SPACE}][^{SPACE}])")
+FAST = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+ASCII = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+"
 
 
 def default_tokenizer() -> str:
@@ -51,20 +57,32 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _encoding(cuts: str, ranks: dict[bytes, int]):
+    import tiktoken
+
+    class Encoding(tiktoken.Encoding):
+        def encode_ordinary(self, text: str) -> list[int]:
+            ends = [run.end() for run in CUT.finditer(text)]
+            if not ends:
+                return super().encode_ordinary(text)
+            return [i for b, e in zip([0, *ends], [*ends, len(text)]) for i in super(Encoding, self).encode_ordinary(text[b:e])]
+
+    return Encoding("whole", pat_str=cuts, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokens:
-    """Encodes whole texts, each in one call; loaded once per worker."""
+    """Encodes whole texts, each in one call but for runs of white space;
+    loaded once per worker."""
 
     _loaded: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
-        import tiktoken
-
         self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
-        self.plain = tiktoken.Encoding("whole", pat_str=FAST, mergeable_ranks=ranks, special_tokens={})
+        self.plain, self.ascii = _encoding(FAST, ranks), _encoding(ASCII, ranks)
 
     @classmethod
     def at(cls, path: str) -> Tokens:
@@ -80,7 +98,8 @@ class Tokens:
 
                 self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u2")
-        return np.frombuffer(array("H", self.plain.encode_ordinary(text)), dtype=np.uint16)
+        encoding = self.ascii if text.isascii() else self.plain
+        return np.frombuffer(array("H", encoding.encode_ordinary(text)), dtype=np.uint16)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -115,8 +134,9 @@ def _tokenized(path: str, window: int):
 def bag_bytes(ids: np.ndarray) -> tuple[bytes | None, bytes | None]:
     if not len(ids):
         return None, None
-    terms, counts = np.unique(ids, return_counts=True)
-    return terms.astype("<u2").tobytes(), counts.astype("<u4").tobytes()
+    ids = np.sort(ids, kind="stable")  # by digits, as these are 16 bits
+    at = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+    return ids[at].astype("<u2").tobytes(), np.diff(at, append=len(ids)).astype("<u4").tobytes()
 
 
 def bag(rest: bytes, terms: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +171,8 @@ K1, B = 1.2, 0.75
 def weighed(term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a document that have weight, and their BM25 weights."""
     size, worth = tf.sum(), idf[term]
-    term, tf, worth = term[worth > 0], tf[worth > 0], worth[worth > 0]
+    has = worth > 0
+    term, tf, worth = term[has], tf[has], worth[has]
     return term, worth * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
 
 
@@ -160,8 +181,8 @@ DIMENSIONS = 128
 
 @functools.cache
 def _directions() -> np.ndarray:
-    """A fixed row of random signs per id."""
-    return np.random.default_rng(8).choice(np.array([-1, 1], dtype=np.float32), (1 << 16, DIMENSIONS))
+    """A fixed row of random signs per id, a byte each."""
+    return np.random.default_rng(8).choice(np.array([-1, 1], dtype=np.int8), (1 << 16, DIMENSIONS))
 
 
 def point(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -169,7 +190,7 @@ def point(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
     size = float(np.sqrt((weight ** 2).sum()))
     if not size:
         return np.zeros(DIMENSIONS, dtype=np.float32)
-    return (weight.astype(np.float32) / size) @ _directions()[term] / np.float32(np.sqrt(DIMENSIONS))
+    return (weight.astype(np.float32) / size) @ _directions()[term].astype(np.float32) / np.float32(np.sqrt(DIMENSIONS))
 
 
 def tree(points: np.ndarray, sizes: np.ndarray, most: float, least: int = 8) -> list[tuple[np.ndarray, float, int, int]]:

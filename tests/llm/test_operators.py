@@ -423,3 +423,25 @@ def test_packing_cuts_and_ranks_as_the_plain_forms():
         scores = np.random.default_rng(n).integers(-1, 5, n).astype(float)
         scores[: n // 3] = np.random.default_rng(n).random(n // 3)
         assert list(packing.ranked(scores)) == np.argsort(-scores, kind="stable").tolist()
+
+
+def test_packing_cuts_ascii_texts_and_counts_ids_as_the_plain_forms():
+    import random
+
+    import numpy as np
+    import tiktoken
+
+    from altfinder.llm import packing
+
+    tokens = packing.Tokens.at(packing.default_tokenizer())
+    plain = tiktoken.Encoding("plain", pat_str=packing.PATTERN, mergeable_ranks=tokens.plain._mergeable_ranks, special_tokens={})
+    rnd = random.Random(5)
+    for _ in range(3_000):
+        text = "".join(rnd.choice("  \t\n\r\x0b\x1c\x00'sdmtlvreLZ09#-_.") for _ in range(rnd.randrange(16)))
+        ids = plain.encode_ordinary(text)
+        assert tokens.ascii.encode_ordinary(text) == tokens.plain.encode_ordinary(text) == tokens.encode(text).tolist() == ids
+        assert tokens.plain.encode_ordinary(text + "  　é") == plain.encode_ordinary(text + "  　é")
+        if ids:
+            terms, counts = np.unique(np.array(ids, np.uint16), return_counts=True)
+            got = packing.bag(b"", *packing.bag_bytes(np.array(ids, np.uint16)))
+            assert got[0].tolist() == terms.tolist() and got[1].tolist() == counts.tolist()
