@@ -164,3 +164,54 @@ def test_terms_are_counted_in_bounded_parts(monkeypatch):
     want = [count(r, minlength=5) for r in rows]
     assert np.allclose(np.stack(got), [w / max(1e-9, np.linalg.norm(w)) for w in want])
     assert sum(calls) == 76 and max(calls) < 20 + 40
+
+
+def test_rows_are_sent_once_however_many_blocks(spark, monkeypatch):
+    v, m = _vectors(spark)
+    monkeypatch.setattr(vx, "TILE_QUERIES", 16)
+    monkeypatch.setattr(vx, "TILE_VECTORS", 16)
+    plain = v.select("id", F.col("embedding").alias("vec"))
+    sent = vx._tiles(plain.withColumnRenamed("id", "query_id"), plain, 16, 16)
+    assert [side.count() for side in sent] == [len(m), len(m)]
+    got = vx.knn(v.withColumnRenamed("id", "query_id"), v, k=5, q_block_rows=16, v_block_rows=16)
+    want = _brute(m, 5)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["id"], r["cosine"]))
+    assert found == want
+
+
+def test_passed_over_pairs_cannot_be_among_the_best(monkeypatch):
+    rnd = np.random.default_rng(8)
+    many = vx._unit(rnd.integers(0, 2, size=(500, 70)) + rnd.random((500, 70)) * 1e-5)  # cosines about 1e-6 apart
+    equal = np.repeat(vx._unit(rnd.normal(size=(3, 70))), 170, axis=0)[:500]
+    for m in (many, equal, np.concatenate([many[:250], equal[:250]])):
+        ids = rnd.permutation(len(m)).astype(np.int64)
+        s = np.rint(m @ m.T * 1e6).astype(int)
+        best = vx._Best(ids, m, 9)
+        for at in range(0, len(m), 64):
+            best.meet(ids[at:at + 64], m[at:at + 64])
+        found = {}
+        for q, v, _ in zip(*best.pairs()):
+            found.setdefault(q, set()).add(v)
+        for i in range(len(m)):
+            want = sorted(range(len(m)), key=lambda j: (-s[i, j], ids[j]))[:9]
+            assert found[ids[i]] == {ids[j] for j in want}
+    few = vx._Best(ids[:4], m[:4], 9)
+    few.meet(ids[:5], m[:5])  # fewer vectors than asked for
+    assert len(few.pairs()[0]) == 20
+
+
+def test_short_lists_are_scored_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vx, "TILE_VECTORS", 50)
+    v, m = _vectors(spark, n=300, dim=12)
+    twice = v.unionByName(v.where("id < 3"))  # rows that repeat count as often as they come
+    q = v.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    got = codes.knn_codes(q, twice, k=4, short_list=80)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "Join Inner" not in plan.split("Join Cross")[0]  # no vector joined to its places
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.id, r.cosine))
+    want = {(r.query_id, r["rank"]): (r.id, r.cosine) for r in vx.knn(q, twice, k=4).collect()}
+    assert found[18] == [want[18, i] for i in (1, 2, 3, 4)] and len(found) == 34
