@@ -308,3 +308,19 @@ def test_totals_keep_a_bounded_number_of_equal_classes():
         best.meet(block, np.arange(500), vid)
     sq, vid, score, of, n = best.pairs()
     assert list(zip(sq, vid, score, n)) == [(4, 0, 2.0, 1), (4, 1, 2.0, 1), (4, 2, 2.0, 1), (4, kw.NO_ID, 0.0, 1000)]
+
+
+def test_hits_below_another_fields_k_best_are_not_sent_on(spark, monkeypatch):
+    """Each field query's k best went on to every query, whatever the other fields had."""
+    rows = [(i, "valve" if i < 5 else "pipe", None if i < 20 else "steel brass" if i < 40 else "steel") for i in range(100)]
+    docs = spark.createDataFrame(rows, "id long, a string, b string")
+    queries = spark.createDataFrame([(1, "valve steel"), (2, "valve brass"), (3, "zzz")], "query_id long, text string")
+    index = kw.KeywordIndex.build(docs, ["a", "b"])
+    weighted = kw.weighted_terms(index, kw.query_terms(queries, ["a", "b"]), fuzzy=False)
+    pairs = kw.score_pairs(index, weighted, ["a", "b"]).withColumn("score", F.round("score", 4))
+    want = sorted(map(str, kw.top_k(pairs, 4).select("query_id", "id", "score", "best_field", "rank").collect()))
+    sent, real = [], kw.top_k
+    monkeypatch.setattr(kw, "top_k", lambda pairs, k: sent.append(pairs.count()) or real(pairs, k))
+    got = kw.pruned_top_k(index, weighted, 4).select("query_id", "id", "score", "best_field", "rank")
+    assert sorted(map(str, got.collect())) == want
+    assert sent == [8]
